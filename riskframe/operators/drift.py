@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .. import constants as K
 from .cumulative import running_totals
@@ -88,7 +89,7 @@ def moments(long: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ks_pvalue(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     """Asymptotic two-sided p for the KS statistic (Kolmogorov series with en = n m / (n + m))."""
     en = (n * m / (n + m)).to_numpy(dtype=float)
@@ -131,7 +132,7 @@ def _gammaincc(a: float, x: float) -> float:
     return math.exp(-x + a * math.log(x) - gln) * h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_pvalue(stat: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([_gammaincc(k / 2.0, s / 2.0) if k > 0 else 1.0
                       for s, k in zip(stat.astype(float), dof.astype(float))])
@@ -142,10 +143,10 @@ def chi_square(long_cat: DataFrame) -> DataFrame:
     current total, statistic = sum (obs - exp)^2 / exp, dof = k - 1 (k <= 1 -> insufficient)."""
     c = long_cat.groupBy("feature", "value").agg(
         (F.count_if(F.col("side") == 0) + 1).alias("r"), (F.count_if(F.col("side") == 1) + 1).alias("q"))
-    tot = c.groupBy("feature").agg(F.sum("r").alias("R"), F.sum("q").alias("Q"),
+    tot = c.groupBy("feature").agg(F.sum("r").alias("ref_total"), F.sum("q").alias("cur_total"),
                                    F.count(F.lit(1)).alias("k"))
     j = c.join(tot, "feature")
-    exp_ = F.col("r") * F.col("Q") / F.col("R")
+    exp_ = F.col("r") * F.col("cur_total") / F.col("ref_total")
     s = j.groupBy("feature", "k").agg(F.sum((F.col("q") - exp_) * (F.col("q") - exp_) / exp_).alias("chi2_statistic"))
     return s.select("feature", "k", F.when(F.col("k") > 1, F.col("chi2_statistic")).alias("chi2_statistic"),
                     (F.col("k") - 1).alias("dof"))
