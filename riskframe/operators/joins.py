@@ -237,6 +237,6 @@ def apply_feedback(labels: DataFrame, feedback: DataFrame, key: str = "cve_id",
 def remediation_list(asset_map: DataFrame, risk: DataFrame, k: int = 10, asset_key: str = "asset_id",
                      key: str = "cve_id", score: str = "risk_score") -> DataFrame:
     """Asset -> CVE map joined with risk, ranked per asset, top k per asset."""
-    j = asset_map.join(risk.select(key, score), key, "inner")
+    j = asset_map.join(risk, key, "inner")
     w = Window.partitionBy(asset_key).orderBy(F.col(score).desc(), F.col(key))
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
