@@ -123,3 +123,146 @@ VIEW_SQL = {
 def with_views(*names: str) -> str:
     """``WITH`` prefix defining the named derived views for an oracle query."""
     return "WITH " + ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in names) + "\n"
+
+
+# ---- landed-feed forms derived from the same tables ------------------------
+# Rules (all deterministic in o_orderkey / o_custkey / line items):
+#   id '' when o_orderkey % 97 = 0 (dropped by the flattener)
+#   descriptions: es always; en "Flaw in <part names>" unless o_orderkey % 7 = 0
+#   v3.1 list unless o_orderkey % 5 = 0 (then v3.0); entry order by o_orderkey % 3:
+#     0 -> [Secondary(alt), Primary(main)], 1 -> [Secondary(main)], 2 -> [Primary(main), Secondary(alt)]
+#   v2 entry unless o_orderkey % 4 = 0; one weakness per line item plus a noinfo entry;
+#   one reference per line item (plus an empty url when o_orderkey is even); one CPE per line item.
+
+def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    j = li.join(p, li.l_partkey == p.p_partkey)
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name", "p_brand")
+    return j.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
+def _empty_like(elem):
+    """Empty array typed like ``elem`` (an array literal filtered to nothing)."""
+    return F.filter(F.array(elem), lambda x: F.lit(False))
+
+
+def nvd_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON record per CVE (``{"cve": {...}}``) in the shape of the public CVE API."""
+    from .functions.cvss import with_cvss
+    c = with_cvss(cves(spark, sf_dir))
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    items = _line_items(spark, sf_dir)
+    d = c.join(o, "o_orderkey").join(items, c.o_orderkey == items.l_orderkey, "left")
+    d = d.withColumn("items", F.coalesce("items", F.array().cast(items.schema["items"].dataType)))
+    k, cust = F.col("o_orderkey"), F.col("o_custkey")
+    fmt = "yyyy-MM-dd'T'HH:mm:ss.SSS"
+    parsed = {f: F.col(f) for f in ("attack_vector", "attack_complexity", "privileges_required", "user_interaction",
+                                     "scope", "confidentiality_impact", "integrity_impact", "availability_impact")}
+
+    def data(version, main: bool):
+        return F.struct(
+            F.lit(version).alias("version"),
+            (F.col("cvss_vector") if main else F.lit(None).cast("string")).alias("vectorString"),
+            parsed["attack_vector"].alias("attackVector"), parsed["attack_complexity"].alias("attackComplexity"),
+            parsed["privileges_required"].alias("privilegesRequired"),
+            parsed["user_interaction"].alias("userInteraction"), parsed["scope"].alias("scope"),
+            parsed["confidentiality_impact"].alias("confidentialityImpact"),
+            parsed["integrity_impact"].alias("integrityImpact"),
+            parsed["availability_impact"].alias("availabilityImpact"),
+            (F.col("base_score") if main else F.lit(0.0)).alias("baseScore"),
+            (F.col("base_severity") if main else F.lit("NONE")).alias("baseSeverity"))
+
+    def entry(version, typ, main: bool):
+        return F.struct(F.lit("nvd@example").alias("source"), F.lit(typ).alias("type"),
+                        data(version, main).alias("cvssData"),
+                        ((cust % 40) / F.lit(10.0) if main else F.lit(0.0)).alias("exploitabilityScore"),
+                        ((cust % 60) / F.lit(10.0) if main else F.lit(0.0)).alias("impactScore"))
+
+    sec_alt, prim = entry("3.1", "Secondary", False), entry("3.1", "Primary", True)
+    sec_main, prim_alt = entry("3.1", "Secondary", True), entry("3.1", "Secondary", False)
+    v31 = (F.when(k % 5 == 0, _empty_like(sec_alt))
+           .when(k % 3 == 0, F.array(sec_alt, prim))
+           .when(k % 3 == 1, F.array(sec_main))
+           .otherwise(F.array(prim, prim_alt)))
+    v30 = F.when(k % 5 == 0, F.array(entry("3.0", "Primary", True))).otherwise(
+        _empty_like(entry("3.0", "Primary", True)))
+    v2e = F.struct(F.lit("nvd@example").alias("source"), F.lit("Primary").alias("type"),
+                   F.struct(F.greatest(F.col("base_score") - F.lit(0.5), F.lit(0.0)).alias("baseScore"),
+                            F.lit(None).cast("string").alias("vectorString")).alias("cvssData"),
+                   F.col("base_severity").alias("baseSeverity"))
+    v2 = F.filter(F.array(v2e), lambda x: k % 4 != 0)
+    names = F.transform("items", lambda i: i["p_name"])
+    descs = F.concat(F.array(F.struct(F.lit("es").alias("lang"),
+                                      F.concat(F.lit("Vulnerabilidad "), F.col("cve_id")).alias("value"))),
+                     F.filter(F.array(F.struct(F.lit("en").alias("lang"),
+                                               F.concat(F.lit("Flaw in "), F.array_join(names, ", ")).alias("value"))),
+                              lambda x: k % 7 != 0))
+    lv = lambda lang, v: F.struct(F.lit(lang).alias("lang"), v.alias("value"))
+    weak = F.concat(
+        F.transform("items", lambda i: F.struct(F.lit("nvd@example").alias("source"), F.lit("Primary").alias("type"),
+                                                F.array(lv("en", F.concat(F.lit("CWE-"), (i["l_partkey"] % 1000).cast("string"))),
+                                                        lv("es", F.lit("CWE-1"))).alias("description"))),
+        F.array(F.struct(F.lit("nvd@example").alias("source"), F.lit("Secondary").alias("type"),
+                         F.array(lv("en", F.lit("NVD-CWE-noinfo"))).alias("description"))))
+    host = lambda i: (F.when(i["l_linenumber"] % 3 == 0, "advisories").when(i["l_linenumber"] % 3 == 1, "exploit-db")
+                      .otherwise("vendor"))
+    refs = F.concat(
+        F.transform("items", lambda i: F.struct(
+            F.concat(F.lit("https://"), host(i), F.lit(".example/"), i["l_partkey"].cast("string")).alias("url"),
+            F.lit("nvd@example").alias("source"))),
+        F.filter(F.array(F.struct(F.lit("").alias("url"), F.lit("nvd@example").alias("source"))),
+                 lambda x: k % 2 == 0))
+    cpe = F.transform("items", lambda i: F.struct(F.lit(True).alias("vulnerable"), F.concat(
+        F.lit("cpe:2.3:a:"), F.lower(i["p_brand"]), F.lit(":"), F.regexp_replace(i["p_name"], " ", "_"),
+        F.lit(":*:*")).alias("criteria")))
+    conf = F.array(F.struct(F.array(F.struct(F.lit("OR").alias("operator"), cpe.alias("cpeMatch"))).alias("nodes")))
+    status = (F.when(F.col("o_orderstatus") == "F", "Analyzed").when(F.col("o_orderstatus") == "O", "Modified")
+              .otherwise("Awaiting Analysis"))
+    rec = F.struct(
+        F.when(k % 97 == 0, F.lit("")).otherwise(F.col("cve_id")).alias("id"),
+        F.date_format("o_orderdate", fmt).alias("published"),
+        F.date_format(F.date_add(F.col("o_orderdate").cast("date"), (cust % 30).cast("int")).cast("timestamp"),
+                      fmt).alias("lastModified"),
+        status.alias("vulnStatus"), descs.alias("descriptions"),
+        F.struct(v31.alias("cvssMetricV31"), v30.alias("cvssMetricV30"), v2.alias("cvssMetricV2")).alias("metrics"),
+        weak.alias("weaknesses"), refs.alias("references"), conf.alias("configurations"))
+    return d.select(F.col("o_orderkey"), F.to_json(F.struct(rec.alias("cve"))).alias("json"))
+
+
+def kev_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog entries as JSON text (one per line); optional fields omitted by rule:
+    vendorProject when o_custkey % 3 = 0, shortDescription when o_orderkey is even,
+    knownRansomwareCampaignUse unless o_custkey % 4 = 0, notes always."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate") \
+        .where(F.col("o_orderkey") % 17 == 0)
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    added = F.date_add(F.col("o_orderdate").cast("date"), (c % 200 - 20).cast("int"))
+    cid = _cve_id(F.col("o_orderdate"), k)
+    e = F.struct(
+        cid.alias("cveID"),
+        F.when(c % 3 != 0, F.concat(F.lit("vendor"), (c % 50).cast("string"))).alias("vendorProject"),
+        F.concat(F.lit("product"), (k % 100).cast("string")).alias("product"),
+        F.concat(F.lit("Flaw "), cid).alias("vulnerabilityName"),
+        added.cast("string").alias("dateAdded"),
+        F.when(k % 2 != 0, F.lit("Exploited flaw")).alias("shortDescription"),
+        F.lit("Apply updates per vendor instructions.").alias("requiredAction"),
+        F.date_add(added, 21).cast("string").alias("dueDate"),
+        F.when(c % 4 == 0, F.lit("Known")).alias("knownRansomwareCampaignUse"))
+    return o.select(F.to_json(e).alias("json"))
+
+
+def epss_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bulk-CSV text lines per snapshot date: a '#' comment, the header, a blank line, one padded
+    data line per score, and junk lines (non-numeric, two fields) for every tenth score."""
+    h = epss_history(spark, sf_dir)
+    s = F.col("score").cast("string")
+    data = h.select("snapshot_date", F.concat(F.lit(" "), F.col("cve_id"), F.lit(" ,"), s, F.lit(","), s).alias("line"))
+    junk_rows = h.where((F.col("score") * 1000).cast("long") % 10 == 0)
+    junk = junk_rows.select("snapshot_date", F.explode(F.array(
+        F.concat(F.col("cve_id"), F.lit(",n/a,n/a")), F.concat(F.col("cve_id"), F.lit(",0.5")))).alias("line"))
+    dates = h.select("snapshot_date").distinct()
+    meta = dates.select("snapshot_date", F.explode(F.array(
+        F.concat(F.lit("#model_version:v2023.03.01,score_date:"), F.col("snapshot_date").cast("string")),
+        F.lit("cve,epss,percentile"), F.lit(""))).alias("line"))
+    return data.unionByName(junk).unionByName(meta)

@@ -111,7 +111,7 @@ def default_score_from_cvss(score) -> Column:
 
 def safe_double(c, default: float) -> Column:
     """Null / unparsable / NaN / infinite -> default."""
-    x = F.try_cast(as_col(c).cast("string"), "double") if not isinstance(c, (int, float)) else F.lit(float(c))
+    x = as_col(c).cast("string").try_cast("double") if not isinstance(c, (int, float)) else F.lit(float(c))
     bad = x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(math.inf))
     return F.when(bad, F.lit(default)).otherwise(x)
 
