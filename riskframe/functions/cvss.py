@@ -14,28 +14,21 @@ def cvss_fields(vector) -> dict[str, Column]:
 
     Null/blank or fewer than 9 '/'-separated parts -> every field null.
     Keys are case-sensitive, the last duplicate key wins, unknown codes give
-    null, extra segments are ignored.
+    null, extra segments are ignored, the first segment is never a metric.
+    Each field is one JVM regex (``/KEY:value`` not followed by another
+    ``/KEY:``) -- no per-element lambdas.
     """
     v = strip_ws(as_col(vector))
-    parts = F.split(v, "/", -1)
-    ok = v.isNotNull() & (v != "") & (F.size(parts) >= 9)
-    head = F.try_element_at(parts, F.lit(1))
+    ok = v.isNotNull() & (v != "") & (F.size(F.split(v, "/", -1)) >= 9)
+    head = F.substring_index(v, "/", 1)
     version = F.when(F.instr(head, ":") > 0, F.split(head, ":", -1).getItem(1))
-    tail = F.slice(parts, 2, F.size(parts))
     out = {"version": F.when(ok, version)}
     for key, field in K.CVSS_FIELDS.items():
-        hits = F.filter(tail, _has_key(key))
-        last = F.try_element_at(hits, F.lit(-1))
-        code = F.substr(last, F.instr(last, ":") + 1)
+        code = F.regexp_extract(v, f"(?s)/{key}:([^/]*)(?!.*/{key}:)", 1)
         out[field] = F.when(ok, case_map(code, K.CVSS_CODE_MAPS[key]))
     return out
 
 
-def _has_key(key: str):
-    # one-argument lambda: F.filter treats a two-argument one as (element, index)
-    return lambda x: (F.instr(x, ":") > 0) & (F.substring_index(x, ":", 1) == F.lit(key))
-
-
 def with_cvss(df, vector_col: str = "cvss_vector", onehot: bool = False):
     """df -> df: add parsed CVSS columns (and optionally the 22 one-hot flags)."""
     fields = cvss_fields(vector_col)

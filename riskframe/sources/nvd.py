@@ -111,7 +111,6 @@ def flatten(df: DataFrame, cve: str = "cve") -> DataFrame:
     v31, v30 = c["metrics"]["cvssMetricV31"], c["metrics"]["cvssMetricV30"]
     v3list = F.when(F.coalesce(F.size(v31), F.lit(0)) > 0, v31).otherwise(v30)
     v3 = _first_or(v3list, lambda e: e["type"] == "Primary")
-    data = v3["cvssData"]
     v2 = F.try_element_at(c["metrics"]["cvssMetricV2"], F.lit(1))
     cwes = F.filter(F.flatten(F.transform(F.coalesce(c["weaknesses"], F.array()),
                                           lambda w: F.coalesce(w["description"], F.array()))),
@@ -125,20 +124,29 @@ def flatten(df: DataFrame, cve: str = "cve") -> DataFrame:
                                lambda n: F.transform(F.coalesce(n["cpeMatch"], F.array()),
                                                      lambda m: m["criteria"]))))),
         lambda x: x.isNotNull() & (x != ""))
-    out = df.where(c["id"].isNotNull() & (c["id"] != "")).select(
+    # stage 1: evaluate each nested pick once (HOFs are interpreted; never repeat them per field)
+    # The id filter lives inside a generator (inline of a 0/1-element array): a plain filter would be
+    # pushed below the projection and re-evaluate the JSON parse and every pick for the predicate.
+    row = F.struct(
         c["id"].alias("cve_id"), c["published"].alias("published_date"),
         c["lastModified"].alias("last_modified_date"), c["vulnStatus"].alias("vuln_status"),
-        desc.alias("description"),
-        data["version"].alias("cvss_version"), data["vectorString"].alias("cvss_vector_string"),
-        data["attackVector"].alias("attack_vector"), data["attackComplexity"].alias("attack_complexity"),
-        data["privilegesRequired"].alias("privileges_required"), data["userInteraction"].alias("user_interaction"),
-        data["scope"].alias("scope"), data["confidentialityImpact"].alias("confidentiality_impact"),
-        data["integrityImpact"].alias("integrity_impact"), data["availabilityImpact"].alias("availability_impact"),
-        data["baseScore"].alias("base_score"), data["baseSeverity"].alias("base_severity"),
-        v3["exploitabilityScore"].alias("exploitability_score"), v3["impactScore"].alias("impact_score"),
-        v2["cvssData"]["baseScore"].alias("cvss_v2_score"), v2["baseSeverity"].alias("cvss_v2_severity"),
-        cwe_ids.alias("cwe_ids"), urls.alias("reference_urls"), cpes.alias("cpe_list"),
-        F.size(cpes).alias("vendor_count"), F.size(urls).alias("reference_count"),
+        desc.alias("description"), v3.alias("__v3"), v2.alias("__v2"), cwe_ids.alias("cwe_ids"),
+        urls.alias("reference_urls"), cpes.alias("cpe_list"))
+    keep = F.filter(F.array(row), lambda r: r["cve_id"].isNotNull() & (r["cve_id"] != ""))
+    st = df.select(F.inline(keep))
+    d, e = F.col("__v3.cvssData"), F.col("__v3")
+    out = st.select(
+        "cve_id", "published_date", "last_modified_date", "vuln_status", "description",
+        d["version"].alias("cvss_version"), d["vectorString"].alias("cvss_vector_string"),
+        d["attackVector"].alias("attack_vector"), d["attackComplexity"].alias("attack_complexity"),
+        d["privilegesRequired"].alias("privileges_required"), d["userInteraction"].alias("user_interaction"),
+        d["scope"].alias("scope"), d["confidentialityImpact"].alias("confidentiality_impact"),
+        d["integrityImpact"].alias("integrity_impact"), d["availabilityImpact"].alias("availability_impact"),
+        d["baseScore"].alias("base_score"), d["baseSeverity"].alias("base_severity"),
+        e["exploitabilityScore"].alias("exploitability_score"), e["impactScore"].alias("impact_score"),
+        F.col("__v2.cvssData.baseScore").alias("cvss_v2_score"), F.col("__v2.baseSeverity").alias("cvss_v2_severity"),
+        "cwe_ids", "reference_urls", "cpe_list",
+        F.size("cpe_list").alias("vendor_count"), F.size("reference_urls").alias("reference_count"),
     )
     return out
 
