@@ -26,14 +26,15 @@ def with_watermark(df: DataFrame, ts: str, delay: str = "10 minutes") -> DataFra
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
-def _win(ts: str, duration: str, slide: str | None = None):
-    return F.window(F.col(ts).cast("timestamp"), duration, slide) if slide else \
-        F.window(F.col(ts).cast("timestamp"), duration)
+def _win(df: DataFrame, ts: str, duration: str, slide: str | None = None):
+    # a watermarked column must be windowed as is (a cast would hide the watermark)
+    t = F.col(ts) if dict(df.dtypes)[ts] == "timestamp" else F.col(ts).cast("timestamp")
+    return F.window(t, duration, slide) if slide else F.window(t, duration)
 
 
 def request_rate(df: DataFrame, ts: str = "ts", duration: str = "1 minute", seconds: int = 60) -> DataFrame:
     """Requests per window and per second."""
-    g = df.groupBy(_win(ts, duration).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    g = df.groupBy(_win(df, ts, duration).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n",
                     (F.col("n") / F.lit(float(seconds))).alias("rate_per_sec"))
 
@@ -43,14 +44,14 @@ def latency_quantiles(df: DataFrame, value: str, ts: str = "ts", duration: str =
     """p50 / p95 per window (exact linear percentile, or bounded-memory approximate)."""
     probs = [0.5, 0.95]
     pct = F.percentile(value, probs) if exact else F.percentile_approx(value, probs, 10000)
-    g = df.groupBy(_win(ts, duration).alias("w")).agg(pct.alias("q"), F.count(F.lit(1)).alias("n"))
+    g = df.groupBy(_win(df, ts, duration).alias("w")).agg(pct.alias("q"), F.count(F.lit(1)).alias("n"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n",
                     F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"))
 
 
 def label_mix(df: DataFrame, label: str, ts: str = "ts", duration: str = "1 hour") -> DataFrame:
     """S3: count per label per window."""
-    g = df.groupBy(_win(ts, duration).alias("w"), F.col(label)).agg(F.count(F.lit(1)).alias("n"))
+    g = df.groupBy(_win(df, ts, duration).alias("w"), F.col(label)).agg(F.count(F.lit(1)).alias("n"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), label, "n")
 
 
@@ -58,7 +59,7 @@ def error_ratio(df: DataFrame, is_error, ts: str = "ts", duration: str = "5 minu
                 threshold: float = 0.05) -> DataFrame:
     """Share of errors per sliding window and the threshold flag."""
     e = is_error if not isinstance(is_error, str) else F.col(is_error)
-    g = df.groupBy(_win(ts, duration, slide).alias("w")).agg(F.count_if(e).alias("n_error"),
+    g = df.groupBy(_win(df, ts, duration, slide).alias("w")).agg(F.count_if(e).alias("n_error"),
                                                              F.count(F.lit(1)).alias("n"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_error", "n",
                     (F.col("n_error") / F.col("n")).alias("error_ratio"),
