@@ -201,3 +201,22 @@ CWE_PLACEHOLDERS = ["nan", "none", "n/a"]
 CWE_NOT_SPECIFIC = ["CWE-noinfo", "CWE-Other"]
 DEFAULT_VENDOR = "Enterprise Vendor"
 DEFAULT_CWE = "CWE-20"
+
+# Point-lookup default row (unknown id).
+LOOKUP_DEFAULTS = {"description": "Dynamic vulnerability record retrieved from platform sync.", "severity": "HIGH",
+                   "cvss_score": 7.5, "cisa_kev": False, "epss_score": 0.35, "vendor": "N/A", "cwe": "CWE-99"}
+
+# Fallback class probabilities (LOW, MEDIUM, HIGH, CRITICAL) without a trained model.
+TEXT_FALLBACK_PROBS = [
+    (["remote code", "rce", "arbitrary code", "buffer overflow"], [0.02, 0.08, 0.25, 0.65]),
+    (["sql inject", "privilege escal", "unauthenticated"], [0.05, 0.15, 0.65, 0.15]),
+    (["cross-site script", "xss", "traversal"], [0.10, 0.65, 0.20, 0.05]),
+]
+TEXT_FALLBACK_DEFAULT = [0.40, 0.40, 0.15, 0.05]
+SCORE_FALLBACK_PROBS = {"exploited_or_above_0_8": [0.02, 0.08, 0.25, 0.65], "above_0_4": [0.05, 0.15, 0.65, 0.15],
+                        "other": [0.25, 0.45, 0.25, 0.05]}
+
+# Alert risk score: fixed asset 0.9, exposure 1.0, confidence 0.95; SLA text by score.
+ALERT_ASSET, ALERT_EXPOSURE, ALERT_CONFIDENCE = 0.9, 1.0, 0.95
+ALERT_SLA = [(80, "24 Hours (URGENT)"), (60, "72 Hours")]
+ALERT_SLA_OTHER = "14 Days"

@@ -165,3 +165,21 @@ def prediction_columns(probs, labels=K.LABELS_ORDER) -> dict[str, Column]:
         "predicted_label": F.element_at(F.array(*[F.lit(x) for x in labels]), idx + 1),
         "probabilities": F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), p),
     }
+
+
+def contextual_multiplier(asset_tier, exposure_class) -> Column:
+    """Product of the asset-tier and exposure multipliers (1.0 when a class is unknown)."""
+    a = F.coalesce(case_map(as_col(asset_tier), K.ASSET_MULTIPLIERS), F.lit(1.0))
+    e = F.coalesce(case_map(as_col(exposure_class), K.EXPOSURE_MULTIPLIERS), F.lit(1.0))
+    return a * e
+
+
+def recent_or_latest(df: DataFrame, ts: str, since: str, n: int = 200) -> DataFrame:
+    """Rows at or after ``since``; when there are none, the ``n`` most recent rows instead.
+    Declarative: one aggregate (latest instant) decides which branch returns rows."""
+    t = F.col(ts).cast("timestamp")
+    s = F.lit(since).cast("timestamp")
+    latest = df.agg(F.max(t).alias("__latest"))
+    recent = df.where(t >= s)
+    fallback = df.orderBy(t.desc()).limit(n).crossJoin(latest).where(F.col("__latest") < s).drop("__latest")
+    return recent.unionByName(fallback)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES = ["scoring", "evaluation", "monitoring", "linking", "quality", "text", "ordering", "ingest", "streams", "learning"]
+PLAN_MODULES = ["scoring", "evaluation", "monitoring", "linking", "quality", "text", "ordering", "ingest", "streams", "learning", "serving"]
 
 
 def all_queries() -> dict:
