@@ -135,16 +135,30 @@ def with_views(*names: str) -> str:
 #   one reference per line item (plus an empty url when o_orderkey is even); one CPE per line item.
 
 def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per order, its line items in (line number, part, supplier) order, each carrying the
+    prebuilt weakness / reference / CPE structs (extra sort-key fields are ignored by the parser)."""
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     j = li.join(p, li.l_partkey == p.p_partkey)
-    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name", "p_brand")
+    ln, pk = F.col("l_linenumber"), F.col("l_partkey")
+    lv = lambda lang, v: F.struct(F.lit(lang).alias("lang"), v.alias("value"))
+    host = F.when(ln % 3 == 0, "advisories").when(ln % 3 == 1, "exploit-db").otherwise("vendor")
+    item = F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", "p_name", "p_brand",
+        F.struct(F.lit("nvd@example").alias("source"), F.lit("Primary").alias("type"),
+                 F.array(lv("en", F.concat(F.lit("CWE-"), (pk % 1000).cast("string"))),
+                         lv("es", F.lit("CWE-1"))).alias("description")).alias("weak"),
+        F.struct(F.concat(F.lit("https://"), host, F.lit(".example/"), pk.cast("string")).alias("url"),
+                 F.lit("nvd@example").alias("source")).alias("ref"),
+        F.struct(F.lit(True).alias("vulnerable"),
+                 F.concat(F.lit("cpe:2.3:a:"), F.lower("p_brand"), F.lit(":"), F.regexp_replace("p_name", " ", "_"),
+                          F.lit(":*:*")).alias("criteria")).alias("cpe"))
     return j.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
 def _empty_like(elem):
     """Empty array typed like ``elem`` (an array literal filtered to nothing)."""
-    return F.filter(F.array(elem), lambda x: F.lit(False))
+    return F.slice(F.array(elem), 1, 0)
 
 
 def nvd_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,31 +205,19 @@ def nvd_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.struct(F.greatest(F.col("base_score") - F.lit(0.5), F.lit(0.0)).alias("baseScore"),
                             F.lit(None).cast("string").alias("vectorString")).alias("cvssData"),
                    F.col("base_severity").alias("baseSeverity"))
-    v2 = F.filter(F.array(v2e), lambda x: k % 4 != 0)
-    names = F.transform("items", lambda i: i["p_name"])
-    descs = F.concat(F.array(F.struct(F.lit("es").alias("lang"),
-                                      F.concat(F.lit("Vulnerabilidad "), F.col("cve_id")).alias("value"))),
-                     F.filter(F.array(F.struct(F.lit("en").alias("lang"),
-                                               F.concat(F.lit("Flaw in "), F.array_join(names, ", ")).alias("value"))),
-                              lambda x: k % 7 != 0))
+    v2 = F.when(k % 4 != 0, F.array(v2e)).otherwise(_empty_like(v2e))
+    items = F.col("items")
+    names = items["p_name"]
+    es = F.struct(F.lit("es").alias("lang"), F.concat(F.lit("Vulnerabilidad "), F.col("cve_id")).alias("value"))
+    en = F.struct(F.lit("en").alias("lang"), F.concat(F.lit("Flaw in "), F.array_join(names, ", ")).alias("value"))
+    descs = F.concat(F.array(es), F.when(k % 7 != 0, F.array(en)).otherwise(_empty_like(en)))
     lv = lambda lang, v: F.struct(F.lit(lang).alias("lang"), v.alias("value"))
-    weak = F.concat(
-        F.transform("items", lambda i: F.struct(F.lit("nvd@example").alias("source"), F.lit("Primary").alias("type"),
-                                                F.array(lv("en", F.concat(F.lit("CWE-"), (i["l_partkey"] % 1000).cast("string"))),
-                                                        lv("es", F.lit("CWE-1"))).alias("description"))),
-        F.array(F.struct(F.lit("nvd@example").alias("source"), F.lit("Secondary").alias("type"),
-                         F.array(lv("en", F.lit("NVD-CWE-noinfo"))).alias("description"))))
-    host = lambda i: (F.when(i["l_linenumber"] % 3 == 0, "advisories").when(i["l_linenumber"] % 3 == 1, "exploit-db")
-                      .otherwise("vendor"))
-    refs = F.concat(
-        F.transform("items", lambda i: F.struct(
-            F.concat(F.lit("https://"), host(i), F.lit(".example/"), i["l_partkey"].cast("string")).alias("url"),
-            F.lit("nvd@example").alias("source"))),
-        F.filter(F.array(F.struct(F.lit("").alias("url"), F.lit("nvd@example").alias("source"))),
-                 lambda x: k % 2 == 0))
-    cpe = F.transform("items", lambda i: F.struct(F.lit(True).alias("vulnerable"), F.concat(
-        F.lit("cpe:2.3:a:"), F.lower(i["p_brand"]), F.lit(":"), F.regexp_replace(i["p_name"], " ", "_"),
-        F.lit(":*:*")).alias("criteria")))
+    weak = F.concat(items["weak"], F.array(F.struct(
+        F.lit("nvd@example").alias("source"), F.lit("Secondary").alias("type"),
+        F.array(lv("en", F.lit("NVD-CWE-noinfo"))).alias("description"))))
+    empty_ref = F.struct(F.lit("").alias("url"), F.lit("nvd@example").alias("source"))
+    refs = F.concat(items["ref"], F.when(k % 2 == 0, F.array(empty_ref)).otherwise(_empty_like(empty_ref)))
+    cpe = items["cpe"]
     conf = F.array(F.struct(F.array(F.struct(F.lit("OR").alias("operator"), cpe.alias("cpeMatch"))).alias("nodes")))
     status = (F.when(F.col("o_orderstatus") == "F", "Analyzed").when(F.col("o_orderstatus") == "O", "Modified")
               .otherwise("Awaiting Analysis"))

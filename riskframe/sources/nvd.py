@@ -91,9 +91,11 @@ def parse_records(df: DataFrame, col: str) -> DataFrame:
     return df.select(F.from_json(F.col(col), RECORD_SCHEMA)["cve"].alias("cve"))
 
 
-def _first_or(arr: Column, pred) -> Column:
-    """First element satisfying ``pred`` else the first element (null when empty)."""
-    return F.coalesce(F.try_element_at(F.filter(arr, pred), F.lit(1)), F.try_element_at(arr, F.lit(1)))
+def _first_where(arr: Column, field: str, value: str) -> Column:
+    """First element whose ``field`` equals ``value`` else the first element (null when empty);
+    native ``array_position`` on the field array, no lambda."""
+    pos = F.coalesce(F.array_position(arr[field], value), F.lit(0))
+    return F.when(pos > 0, F.element_at(arr, pos.cast("int"))).otherwise(F.try_element_at(arr, F.lit(1)))
 
 
 def flatten(df: DataFrame, cve: str = "cve") -> DataFrame:
@@ -103,28 +105,25 @@ def flatten(df: DataFrame, cve: str = "cve") -> DataFrame:
     else v3.0, inside it the first 'Primary' entry else the first; v2: first
     entry; CWE ids: 'en' descriptions starting 'CWE-' across all weaknesses;
     reference urls: non-empty; CPE list: criteria of nodes one level deep;
-    vendor_count = number of CPE strings.
+    vendor_count = number of CPE strings. Field arrays of struct arrays
+    (``arr.field``), ``array_position``, ``flatten`` and ``array_compact`` are
+    native; only the CWE filter needs a lambda.
     """
     c = F.col(cve)
-    desc = F.coalesce(F.try_element_at(F.filter(c["descriptions"], lambda d: d["lang"] == "en"), F.lit(1))["value"],
-                      F.lit(""))
+    descs = c["descriptions"]
+    en = F.coalesce(F.array_position(descs["lang"], "en"), F.lit(0))
+    desc = F.coalesce(F.when(en > 0, F.element_at(descs["value"], en.cast("int"))), F.lit(""))
     v31, v30 = c["metrics"]["cvssMetricV31"], c["metrics"]["cvssMetricV30"]
     v3list = F.when(F.coalesce(F.size(v31), F.lit(0)) > 0, v31).otherwise(v30)
-    v3 = _first_or(v3list, lambda e: e["type"] == "Primary")
+    v3 = _first_where(v3list, "type", "Primary")
     v2 = F.try_element_at(c["metrics"]["cvssMetricV2"], F.lit(1))
-    cwes = F.filter(F.flatten(F.transform(F.coalesce(c["weaknesses"], F.array()),
-                                          lambda w: F.coalesce(w["description"], F.array()))),
-                    lambda d: (d["lang"] == "en") & F.coalesce(d["value"], F.lit("")).startswith("CWE-"))
-    cwe_ids = F.transform(cwes, lambda d: d["value"])
-    urls = F.filter(F.transform(F.coalesce(c["references"], F.array()), lambda r: r["url"]),
-                    lambda u: u.isNotNull() & (u != ""))
-    cpes = F.filter(F.flatten(F.flatten(F.transform(
-        F.coalesce(c["configurations"], F.array()),
-        lambda cf: F.transform(F.coalesce(cf["nodes"], F.array()),
-                               lambda n: F.transform(F.coalesce(n["cpeMatch"], F.array()),
-                                                     lambda m: m["criteria"]))))),
-        lambda x: x.isNotNull() & (x != ""))
-    # stage 1: evaluate each nested pick once (HOFs are interpreted; never repeat them per field)
+    wdesc = F.flatten(F.array_compact(c["weaknesses"]["description"]))
+    cwes = F.filter(wdesc, lambda d: (d["lang"] == "en") & F.coalesce(d["value"], F.lit("")).startswith("CWE-"))
+    cwe_ids = F.coalesce(cwes["value"], F.array().cast("array<string>"))
+    urls = F.coalesce(F.array_remove(F.array_compact(c["references"]["url"]), ""), F.array().cast("array<string>"))
+    nodes = F.flatten(F.array_compact(c["configurations"]["nodes"]))
+    matches = F.flatten(F.array_compact(nodes["cpeMatch"]))
+    cpes = F.coalesce(F.array_remove(F.array_compact(matches["criteria"]), ""), F.array().cast("array<string>"))
     # The id filter lives inside a generator (inline of a 0/1-element array): a plain filter would be
     # pushed below the projection and re-evaluate the JSON parse and every pick for the predicate.
     row = F.struct(
@@ -132,7 +131,7 @@ def flatten(df: DataFrame, cve: str = "cve") -> DataFrame:
         c["lastModified"].alias("last_modified_date"), c["vulnStatus"].alias("vuln_status"),
         desc.alias("description"), v3.alias("__v3"), v2.alias("__v2"), cwe_ids.alias("cwe_ids"),
         urls.alias("reference_urls"), cpes.alias("cpe_list"))
-    keep = F.filter(F.array(row), lambda r: r["cve_id"].isNotNull() & (r["cve_id"] != ""))
+    keep = F.when(c["id"].isNotNull() & (c["id"] != ""), F.array(row))     # null -> no output row
     st = df.select(F.inline(keep))
     d, e = F.col("__v3.cvssData"), F.col("__v3")
     out = st.select(
