@@ -52,7 +52,7 @@ def latest_value(history: DataFrame, key: str = "cve_id", order: str = "snapshot
 
 
 def asof_join(left: DataFrame, history: DataFrame, key: str, left_time: str, hist_time: str,
-              value: str, out: str, bucket_days: int = 32) -> DataFrame:
+              value: str, out: str, bucket_days: int = 32, strict: bool = False) -> DataFrame:
     """C4 (as-of): for each left row, ``value`` of the latest history row with hist_time <= left_time.
 
     Skew-safe two-level plan (no window over a whole key):
@@ -61,7 +61,7 @@ def asof_join(left: DataFrame, history: DataFrame, key: str, left_time: str, his
       3. per (key, bucket) last history value -> tiny table, carried forward
          across buckets with a window over bucket summaries only;
       4. rows with no history earlier in their bucket take the carried value.
-    Ties: history at the same instant as the left row counts (<=).
+    Ties: history at the same instant as the left row counts (<=), unless ``strict`` (<).
     """
     payload = F.struct(*[F.col(c) for c in left.columns])
     q = left.select(F.col(key).alias("__k"), F.col(left_time).cast("date").alias("__t"),
@@ -71,7 +71,9 @@ def asof_join(left: DataFrame, history: DataFrame, key: str, left_time: str, his
                        F.lit(None).cast(q.schema["__row"].dataType).alias("__row"))
     u = q.unionByName(h).withColumn(
         "__b", F.floor(F.unix_date("__t") / F.lit(bucket_days)).cast("long"))
-    w_in = (Window.partitionBy("__k", "__b").orderBy("__t", "__q")
+    # at equal instants history sorts before the left row (<=) or after it (strict <)
+    tie = F.col("__q").desc() if strict else F.col("__q").asc()
+    w_in = (Window.partitionBy("__k", "__b").orderBy("__t", tie)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ran = u.withColumn("__run", F.last("__v", ignorenulls=True).over(w_in))
     hist_t = F.when(F.col("__q") == 0, F.col("__t"))

@@ -80,3 +80,20 @@ def test_membership_does_not_duplicate(spark):
     ids = spark.createDataFrame([("a",), ("a",), ("c",)], "cve_id string")
     r = sorted(tuple(x) for x in J.flag_membership(df, ids).collect())
     assert r == [("a", True), ("b", False)]
+
+
+def test_strict_asof_and_score_history(spark):
+    import datetime as dt
+    from riskframe.operators import splits as SP
+    rnd = random.Random(11)
+    base = dt.date(2021, 1, 1)
+    rows = list({(f"k{rnd.randint(0, 3)}", base + dt.timedelta(days=rnd.randint(0, 200))): None
+                 for _ in range(300)})
+    data = [(k, d, round(rnd.random(), 3)) for k, d in rows]
+    df = spark.createDataFrame(data, "k string, d date, v double")
+    got = {(r.k, r.d): (r.prev_value, r.is_latest) for r in SP.score_history(df, "k", "d", "v", bucket_days=20).collect()}
+    for k, d, v in data:
+        earlier = sorted((dd, vv) for kk, dd, vv in data if kk == k and dd < d)
+        prev = earlier[-1][1] if earlier else None
+        last = max(dd for kk, dd, _ in data if kk == k)
+        assert got[(k, d)] == (prev, d == last)
