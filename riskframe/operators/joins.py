@@ -14,7 +14,9 @@ from .. import constants as K
 
 # Largest distinct-pattern count shipped to every executor in a substring join.
 MAX_BROADCAST_PATTERNS = 20_000
-# Grams used to block the shuffle-based substring join.
+# Up to this many patterns a nested-loop scan is cheaper than gram blocking.
+NLJ_MAX_PATTERNS = 64
+# Grams used to block the substring join.
 GRAM = 4
 
 
@@ -86,15 +88,17 @@ def asof_join(left: DataFrame, history: DataFrame, key: str, left_time: str, his
 
 def substring_join(texts: DataFrame, text_cols: list[str], patterns: DataFrame, pattern_col: str,
                    text_key: str, array_cols: tuple[str, ...] = (),
-                   max_broadcast: int = MAX_BROADCAST_PATTERNS) -> DataFrame:
+                   max_broadcast: int = MAX_BROADCAST_PATTERNS, nlj_max: int = NLJ_MAX_PATTERNS) -> DataFrame:
     """C1 core: distinct (text_key, pattern) where lower(pattern) occurs in any text column.
 
-    Patterns are de-duplicated and counted (one number to the driver). Up to
-    ``max_broadcast`` distinct patterns: broadcast nested-loop match. Beyond:
-    exact gram blocking -- each pattern of length >= GRAM is keyed by its first
-    GRAM characters, every text emits its distinct GRAM-grams, the two sides
-    are equi-joined on the gram and verified with ``instr``; shorter patterns
-    (at most a bounded number) still go the broadcast way.
+    Patterns are de-duplicated and counted (one number to the driver), then:
+      * up to ``nlj_max`` patterns: broadcast nested loop, each text scanned once per pattern;
+      * up to ``max_broadcast``: exact gram blocking with the pattern table broadcast -- every
+        pattern of length >= GRAM is keyed by its first GRAM characters, each text emits its
+        distinct GRAM-grams (one native lookahead regex, no lambda), the gram hash join is done
+        map-side and candidates are verified with ``instr``;
+      * beyond: the same gram join shuffled on the gram (AQE splits hot grams).
+    Patterns shorter than GRAM (a bounded set) always take the nested-loop way.
     """
     pats = patterns.select(F.lower(F.col(pattern_col).cast("string")).alias("__p")).where(
         F.col("__p").isNotNull()).distinct()
@@ -103,20 +107,17 @@ def substring_join(texts: DataFrame, text_cols: list[str], patterns: DataFrame,
         cols.append(F.lower(F.coalesce(F.array_join(F.col(a), "\u0000"), F.lit(""))))
     # Array items are joined with NUL so a pattern never spans two items.
     t = texts.select(F.col(text_key).alias("__key"), F.array(*cols).alias("__texts"))
+    hit = F.exists("__texts", lambda x: F.instr(x, F.col("__p")) > 0)
     n = pats.count()
-    if n <= max_broadcast:
-        hit = F.exists("__texts", lambda s: F.instr(s, F.col("__p")) > 0)
+    if n <= nlj_max:
         return t.join(F.broadcast(pats), hit).select("__key", "__p").distinct()
     short = pats.where(F.length("__p") < GRAM)
     long_ = pats.where(F.length("__p") >= GRAM).withColumn("__g", F.substring("__p", 1, GRAM))
-    grams = t.select("__key", "__texts", F.explode(F.array_distinct(F.flatten(F.transform(
-        "__texts", lambda s: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(s) - GRAM + 1, F.lit(1))),
-            lambda i: F.substring(s, i, GRAM)))))).alias("__g"))
-    via_gram = (grams.join(long_, "__g")
-                .where(F.exists("__texts", lambda s: F.instr(s, F.col("__p")) > 0))
-                .select("__key", "__p"))
-    hit = F.exists("__texts", lambda s: F.instr(s, F.col("__p")) > 0)
+    joined = F.array_join("__texts", "\u0001")
+    grams = t.select("__key", "__texts", F.explode(F.array_distinct(F.regexp_extract_all(
+        joined, F.lit(f"(?s)(?=([^\u0001]{{{GRAM}}}))"), 1))).alias("__g"))
+    side = F.broadcast(long_) if n <= max_broadcast else long_
+    via_gram = grams.join(side, "__g").where(hit).select("__key", "__p")
     via_short = t.join(F.broadcast(short), hit).select("__key", "__p")
     return via_gram.unionByName(via_short).distinct()
 
@@ -124,7 +125,7 @@ def substring_join(texts: DataFrame, text_cols: list[str], patterns: DataFrame,
 def match_assets(cves: DataFrame, assets: DataFrame, product_col: str = "product",
                  asset_key: str = "asset_id", cve_key: str = "cve_id",
                  text_cols=("product", "description"), cpe_col: str | None = "cpe_list",
-                 max_broadcast: int = MAX_BROADCAST_PATTERNS) -> DataFrame:
+                 max_broadcast: int = MAX_BROADCAST_PATTERNS, nlj_max: int = NLJ_MAX_PATTERNS) -> DataFrame:
     """Distinct (asset_id, cve_id) where the asset product occurs in a CPE, the CVE product
     or the description (lower-cased substring; version ignored).
 
@@ -132,7 +133,7 @@ def match_assets(cves: DataFrame, assets: DataFrame, product_col: str = "product
     """
     tcols = [c for c in text_cols if c in cves.columns]
     acols = (cpe_col,) if cpe_col and cpe_col in cves.columns else ()
-    pairs = substring_join(cves, tcols, assets, product_col, cve_key, acols, max_broadcast)
+    pairs = substring_join(cves, tcols, assets, product_col, cve_key, acols, max_broadcast, nlj_max)
     a = assets.select(F.col(asset_key), F.lower(F.col(product_col).cast("string")).alias("__p"))
     return (pairs.join(a, "__p").select(F.col(asset_key), F.col("__key").alias(cve_key)).distinct())
 

@@ -76,15 +76,21 @@ ASSET_SQL = """WITH a AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS product
 SELECT DISTINCT a.product AS asset_id, p.p_partkey FROM a JOIN part p ON position(lower(a.product) IN lower(p.p_name)) > 0"""
 
 
-def asset_match_gram(spark, sf_dir):
-    """C1 through the shuffle path (gram blocking) -- same result as the broadcast path."""
+def asset_match_gram(spark, sf_dir, broadcast_patterns: bool = False):
+    """C1 through gram blocking (shuffled, or with the pattern table broadcast) -- same result as the
+    nested-loop path."""
     part = read_table(spark, sf_dir, "part")
     assets = part.select(F.try_element_at(F.split("p_name", " "), F.lit(2)).alias("product")) \
                  .where(F.col("product").isNotNull() & (F.col("product") != "")).distinct() \
                  .withColumn("asset_id", F.col("product"))
     texts = part.select("p_partkey", F.col("p_name").alias("product"))
     return J.match_assets(texts, assets, product_col="product", asset_key="asset_id",
-                          cve_key="p_partkey", text_cols=("product",), cpe_col=None, max_broadcast=0)
+                          cve_key="p_partkey", text_cols=("product",), cpe_col=None,
+                          max_broadcast=J.MAX_BROADCAST_PATTERNS if broadcast_patterns else 0, nlj_max=0)
+
+
+def asset_match_gram_broadcast(spark, sf_dir):
+    return asset_match_gram(spark, sf_dir, broadcast_patterns=True)
 
 
 def backfill_merge(spark, sf_dir):
@@ -155,6 +161,7 @@ QUERIES = {
     "kev_label_window": (kev_label_window, KEV_LABEL_SQL),
     "asset_match": (asset_match, ASSET_SQL),
     "asset_match_gram": (asset_match_gram, ASSET_SQL),
+    "asset_match_gram_broadcast": (asset_match_gram_broadcast, ASSET_SQL),
     "backfill_merge": (backfill_merge, _backfill_sql()),
     "tier_disagreement": (tier_disagreement, _tier_disagreement_sql()),
     "remediation": (remediation, _remediation_sql()),

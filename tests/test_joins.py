@@ -34,10 +34,10 @@ def test_substring_join_paths_agree_with_python(spark):
         for x in pats:
             if any(x.lower() in h for h in hay):
                 exp.add((i, x.lower()))
-    for limit in (100, 0):
+    for nlj, limit in ((100, 100), (0, 100), (0, 0)):          # nested loop, broadcast grams, shuffled grams
         got = {(r[0], r[1]) for r in J.substring_join(t, ["product"], p, "product", "id", ("cpe_list",),
-                                                            max_broadcast=limit).collect()}
-        assert got == exp, limit
+                                                            max_broadcast=limit, nlj_max=nlj).collect()}
+        assert got == exp, (nlj, limit)
 
 
 def test_match_assets_maps_back_to_assets(spark):
