@@ -174,5 +174,15 @@ def live_accuracy(cm: DataFrame, by: list[str] | None = None, min_matches: int =
     return s.withColumn("status", F.when(F.col("n") >= min_matches, "success").otherwise("awaiting_late_labels"))
 
 
+def realised_accuracy(cm: DataFrame, by: list[str] | None = None, min_rows: int = 20) -> DataFrame:
+    """Macro F1 and critical recall of predictions paired with their ground truth by key
+    (the pairing is the keyed join that built ``cm``, never list position). Groups with fewer
+    than ``min_rows`` evaluated pairs have no result row (the monitor reports nothing)."""
+    s = summary(cm, by)
+    return s.where(F.col("n") >= min_rows).select(*(by or []), F.col("n").alias("evaluated_samples"),
+                                                  "macro_f1", F.coalesce("critical_recall", F.lit(0.0))
+                                                  .alias("critical_recall"))
+
+
 def union_all(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)

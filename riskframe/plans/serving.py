@@ -368,6 +368,19 @@ def _live_sql() -> str:
   {S.round_dp('high_recall', R9)} AS high_recall FROM summ"""
 
 
+def realised_accuracy(spark, sf_dir):
+    """Realised accuracy per version once >= 20 predictions have a paired label."""
+    cm = EV.confusion_by_version(spark, sf_dir)
+    r = M.realised_accuracy(cm, ["model_version"], min_rows=20)
+    return r.select("model_version", "evaluated_samples", rnd("macro_f1", R9).alias("macro_f1"),
+                    rnd("critical_recall", R9).alias("critical_recall"))
+
+
+def _realised_sql() -> str:
+    return EV.SUMMARY_SQL + f"""SELECT model_version, n AS evaluated_samples, {S.round_dp('macro_f1', R9)} AS macro_f1,
+  {S.round_dp('coalesce(critical_recall, 0.0)', R9)} AS critical_recall FROM summ WHERE n >= 20"""
+
+
 def prediction_log_rows(spark, sf_dir):
     """Rows appended to the prediction log for every scored CVE (confidence 4 dp, JSON payload)."""
     s = scoring.scored_cves(spark, sf_dir)
@@ -414,6 +427,7 @@ QUERIES = {
     "first_scored": (first_scored, _first_scored_sql()),
     "score_snapshot": (score_snapshot, SNAPSHOT_SQL),
     "live_accuracy": (live_accuracy, _live_sql()),
+    "realised_accuracy": (realised_accuracy, _realised_sql()),
     "prediction_log_rows": (prediction_log_rows, None),
     "schema_checks": (schema_checks, None),
     "report_rows": (report_rows, None),

@@ -158,3 +158,25 @@ def test_centroid_distance(spark):
     mb = np.mean(np.array([[0, 1, 1], [0, 3, 0]], dtype=float), axis=0)
     ref = 1 - ma @ mb / (np.linalg.norm(ma) * np.linalg.norm(mb))
     assert got.cosine_distance_raw == pytest.approx(ref) and got.cosine_distance == round(ref, 4)
+
+
+def test_realised_accuracy_d30_threshold_and_keyed_pairs(spark):
+    from riskframe.operators import joins as J
+    rnd = random.Random(7)
+    ids = [f"CVE-{i}" for i in range(40)]
+    truth = {i: rnd.choice(LABS) for i in ids}
+    pred = {i: rnd.choice(LABS) for i in ids}
+    # predictions arrive in a different order than the labels: pairing is by key
+    p = spark.createDataFrame([("a" if n < 25 else "b", i, pred[i]) for n, i in enumerate(reversed(ids))],
+                              "model_version string, cve_id string, prediction string")
+    t = spark.createDataFrame([(i, truth[i]) for i in ids], "cve_id string, base_severity string")
+    j = J.late_label_join(p, t)
+    cm = M.confusion_matrix(j, "truth", "predicted", by=["model_version"])
+    rows = {r.model_version: r for r in M.realised_accuracy(cm, ["model_version"]).collect()}
+    assert set(rows) == {"a"}                      # version b has 15 < 20 pairs: no result
+    a_ids = list(reversed(ids))[:25]
+    ref = _f1s([truth[i] for i in a_ids], [pred[i] for i in a_ids], LABS)
+    present = [l for l in LABS if l in {truth[i] for i in a_ids} | {pred[i] for i in a_ids}]
+    assert rows["a"].evaluated_samples == 25
+    assert rows["a"].macro_f1 == pytest.approx(np.mean([ref[l][2] for l in present]))
+    assert rows["a"].critical_recall == pytest.approx(ref["CRITICAL"][1])
