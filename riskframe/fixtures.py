@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import read_table
+from .session import read_table, spread
 
 
 def _cve_id(year_col, key_col):
@@ -25,7 +25,7 @@ def _pick(chars: str, idx_expr: str):
 
 def cves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One synthetic CVE record per order (15k rows at sf0.01)."""
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    o = spread(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     m = (k * 37) % 101
     sev = (F.when(k % 11 == 0, F.lit(None).cast("string"))
@@ -137,7 +137,9 @@ def with_views(*names: str) -> str:
 def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order, its line items in (line number, part, supplier) order, each carrying the
     prebuilt weakness / reference / CPE structs (extra sort-key fields are ignored by the parser)."""
-    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    # spread by the grouping key: the collect below reuses this partitioning (no second exchange)
+    li = spread(read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+                "l_orderkey")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     j = li.join(p, li.l_partkey == p.p_partkey)
     ln, pk = F.col("l_linenumber"), F.col("l_partkey")

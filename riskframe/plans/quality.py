@@ -15,7 +15,7 @@ from ..operators import expectations as E
 from ..operators import metrics as M
 from ..operators import sets as G
 from ..operators import topk as TK
-from ..session import read_table
+from ..session import read_table, spread
 from . import scoring
 from . import sqlfrag as S
 
@@ -261,7 +261,7 @@ FROM r WHERE rn <= 2000 GROUP BY model_version"""
 
 def document_search(spark, sf_dir):
     """Free-text search ('apache', lower-cased substring over text or source) within English docs."""
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents").where(F.col("lang") == "en"), "doc_id")
     return d.where((F.col("lang") == "en") & T.search_match("apache", "text", "source")).select("doc_id", "source")
 
 

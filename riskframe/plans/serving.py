@@ -19,7 +19,7 @@ from ..operators import metrics as M
 from ..operators import sets as G
 from ..sources import epss as EP
 from ..sources import io as IO
-from ..session import read_table
+from ..session import read_table, spread
 from . import evaluation as EV
 from . import ingest, scoring
 from . import sqlfrag as S
@@ -106,7 +106,7 @@ SELECT cve_id, {sc} AS alert_score, CASE WHEN {sc} >= 80 THEN '24 Hours (URGENT)
 def fallback_predictions(spark, sf_dir):
     """Class probabilities without a model -- from text for documents, from the exploited
     flag and score for CVEs -- with argmax class, label and confidence."""
-    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"),
+    d = spread(read_table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").cast("string").alias("id"),
                                                     DS.text_fallback_probs(F.col("text")).alias("p"))
     s = scoring.scored_cves(spark, sf_dir).select(F.col("cve_id").alias("id"),
                                                   DS.score_fallback_probs(F.col("in_kev"), F.col("epss_score")).alias("p"))

@@ -9,7 +9,7 @@ from .. import constants as K
 from ..functions import text as T
 from ..functions._util import round_half_away as rnd
 from ..ml import tfidf as TF
-from ..session import read_table
+from ..session import read_table, spread
 from . import sqlfrag as S
 
 R9 = 9
@@ -28,7 +28,7 @@ WS_SQL = r"[\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{
 
 def text_features(spark: SparkSession, sf_dir: str):
     """Length, word count, keyword flags and vendor flags for every document (whole text)."""
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents"), "doc_id")
     flags = T.keyword_flags("text", DOC_PATTERNS)
     vt = T.vendor_text(F.lit(""), F.col("source"), F.array().cast("array<string>"), F.col("text"))
     vend = T.vendor_flags(vt, None, ["apache", "linux", "oracle", "google"])
@@ -51,7 +51,7 @@ def _text_features_sql() -> str:
 
 def page_references(spark, sf_dir):
     """H10/A4e: reference URLs = page url + every href in the html; count and patch/exploit flags."""
-    p = read_table(spark, sf_dir, "pages")
+    p = spread(read_table(spark, sf_dir, "pages"), "page_id")
     urls = F.filter(F.concat(F.array(F.col("url")), F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)),
                     lambda u: u.isNotNull() & (u != ""))
     r = T.reference_features(urls)
@@ -69,7 +69,7 @@ def _page_refs_sql() -> str:
 
 
 def _en_docs(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").where(F.col("lang") == "en")
+    return spread(read_table(spark, sf_dir, "documents").where(F.col("lang") == "en"), "doc_id")
 
 
 def tfidf_vocabulary(spark, sf_dir):

@@ -77,3 +77,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition ``df`` by unique-ish ``keys`` when its scan has fewer splits than the
+    cluster has cores, so per-row CPU work (regex over whole texts, JSON build and parse) runs
+    on every core.
+
+    A file stored as one large row group scans in a single task however big it is; a table
+    at scale has many splits and is returned unchanged (no shuffle is added). The target is
+    twice the cores, a fixed number, so AQE does not coalesce the spread back into one task.
+    A later aggregation or window keyed on a superset of ``keys`` reuses this partitioning.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores, *keys)
