@@ -248,7 +248,7 @@ WHERE predicted_at >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY ORDER BY predicted_at D
 def last_n_per_version(spark, sf_dir, n: int = 2000):
     """E4 batch form: the last ``n`` predictions of each model version, with their accuracy window stats."""
     log = X.predictions_log(spark, sf_dir)
-    w = A.count_based_window(log, "predicted_at", n, by=["model_version"])
+    w = A.count_based_window(log, "predicted_at", n, by=["model_version"], tie=["event_id"])
     return w.groupBy("model_version").agg(F.count(F.lit(1)).alias("n"), F.min("predicted_at").alias("window_start"),
                                           rnd(F.avg("latency_ms"), R9).alias("mean_latency_ms"))
 
