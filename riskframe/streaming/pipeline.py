@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 
-def checkpoint_for(spark, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+def checkpoint_for(spark, name: str, fresh: bool = False) -> str:
+    """Checkpoint folder of stream ``name`` under the shared checkpoint dir. Stable by default,
+    so a restarted query resumes where it stopped; ``fresh`` gives a new folder for one-shot
+    runs that must read their whole input every time (evaluation queries)."""
+    leaf = f"{name}-{uuid.uuid4().hex[:8]}" if fresh else name
+    return os.path.join(checkpoint_dir(spark), "streams", leaf)
 
 
 def run_available_now(df: DataFrame, name: str, mode: str = "append", table: str | None = None) -> DataFrame:
@@ -24,21 +28,29 @@ def run_available_now(df: DataFrame, name: str, mode: str = "append", table: str
     spark = df.sparkSession
     table = table or f"{name}_{uuid.uuid4().hex[:6]}"
     q = (df.writeStream.outputMode(mode).format("memory").queryName(table)
-         .option("checkpointLocation", checkpoint_for(spark, name)).trigger(availableNow=True).start())
+         .option("checkpointLocation", checkpoint_for(spark, name, fresh=True)).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.table(table)
 
 
+def write_log_batch(batch: DataFrame, batch_id: int, path: str, partition_by=("log_date",)) -> None:
+    """Idempotent micro-batch write: the batch lands in its own (partition..., batch_id)
+    folders and replaces exactly those (dynamic partition overwrite), so a batch re-run
+    after a failure between write and commit leaves one copy, never two."""
+    batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite") \
+         .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by, "batch_id").parquet(path)
+
+
 def append_log(df: DataFrame, path: str, name: str, partition_by=("log_date",)):
     """Prediction log as a stream appended to a date-partitioned parquet table.
 
-    ``foreachBatch`` writes each micro-batch once; the checkpoint makes the
-    append exactly-once across restarts (the batch id guards re-delivery)."""
+    The checkpoint (stable per ``name``, in the shared folder) makes a restarted query
+    resume after its last committed batch; :func:`write_log_batch` makes a re-delivered
+    batch replace its own output, so the log is exactly-once across restarts."""
     spark = df.sparkSession
 
     def write(batch: DataFrame, batch_id: int):
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append") \
-             .partitionBy(*partition_by).parquet(path)
+        write_log_batch(batch, batch_id, path, partition_by)
 
     d = df.withColumn("log_date", F.to_date("predicted_at")) if "log_date" not in df.columns else df
     return (d.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_for(spark, name))
