@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..operators.scalars import attach
 from ._util import as_col, case_map, clip01, round_half_away
 
 
@@ -181,5 +182,5 @@ def recent_or_latest(df: DataFrame, ts: str, since: str, n: int = 200) -> DataFr
     s = F.lit(since).cast("timestamp")
     latest = df.agg(F.max(t).alias("__latest"))
     recent = df.where(t >= s)
-    fallback = df.orderBy(t.desc()).limit(n).crossJoin(latest).where(F.col("__latest") < s).drop("__latest")
+    fallback = attach(df.orderBy(t.desc()).limit(n), latest).where(F.col("__latest") < s).drop("__latest")
     return recent.unionByName(fallback)

@@ -18,6 +18,7 @@ from pyspark.sql.types import DoubleType
 
 from .. import constants as K
 from .cumulative import running_totals
+from .scalars import attach
 
 DECILES = [i / 10 for i in range(11)]
 
@@ -56,7 +57,7 @@ def psi(long: DataFrame, bins: int = 10, exact: bool = True, zero_fill: float =
     n = long.groupBy("feature", "side").agg(F.count(F.lit(1)).alias("n"))
     grid = edges.where(F.col("n_bins") >= 1).select(
         "feature", F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)).alias("bin"))
-    sides = grid.crossJoin(F.broadcast(long.sparkSession.range(2).select(F.col("id").cast("int").alias("side"))))
+    sides = grid.select("feature", "bin", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
     full = sides.join(counts, ["feature", "side", "bin"], "left").join(n, ["feature", "side"], "left")
     pcts = full.withColumn("p", F.when(F.coalesce("c", F.lit(0)) == 0, F.lit(zero_fill))
                            .otherwise(F.col("c").cast("double")) / F.col("n"))
@@ -159,7 +160,7 @@ def centroid_distance(ref: DataFrame, cur: DataFrame, vec: str, threshold: float
         return e.groupBy("i").agg(F.sum(F.coalesce(F.col("x").cast("double"), F.lit(0.0))).alias(f"s{side}"))
     n0 = ref.agg(F.count(F.lit(1)).alias("n0"))
     n1 = cur.agg(F.count(F.lit(1)).alias("n1"))
-    m = mean(ref, 0).join(mean(cur, 1), "i", "full_outer").crossJoin(n0).crossJoin(n1)
+    m = attach(attach(mean(ref, 0).join(mean(cur, 1), "i", "full_outer"), n0), n1)
     m = m.select((F.coalesce("s0", F.lit(0.0)) / F.col("n0")).alias("a"),
                  (F.coalesce("s1", F.lit(0.0)) / F.col("n1")).alias("b"))
     r = m.agg(F.sum(F.col("a") * F.col("b")).alias("dot"), F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("na"),

@@ -14,14 +14,19 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from .cumulative import running_totals
+from .scalars import attach
 
 # ECE bin edges: i * 0.1 for i = 0..9 computed in binary (0.30000000000000004 ...), last edge 1.0.
 ECE_EDGES = [i * 0.1 for i in range(10)] + [1.0]
 
 
 def _grid(spark, by_df: DataFrame | None, labels: list[str]) -> DataFrame:
-    lab = spark.createDataFrame([(a, b) for a in labels for b in labels], "truth string, predicted string")
-    return lab if by_df is None else by_df.crossJoin(F.broadcast(lab))
+    """Every (truth, predicted) label pair, per group when ``by_df`` (distinct groups) is given:
+    each group row is expanded by the literal labels^2 pairs (an inline, not a join)."""
+    if by_df is None:
+        return spark.createDataFrame([(a, b) for a in labels for b in labels], "truth string, predicted string")
+    pairs = F.array(*[F.struct(F.lit(a).alias("truth"), F.lit(b).alias("predicted")) for a in labels for b in labels])
+    return by_df.select("*", F.inline(pairs))
 
 
 def confusion_matrix(df: DataFrame, truth: str, pred: str, by: list[str] | None = None,
@@ -29,8 +34,8 @@ def confusion_matrix(df: DataFrame, truth: str, pred: str, by: list[str] | None
     """(by..., truth, predicted, n) for the full label grid, zero cells kept.
 
     Rows whose truth or prediction is outside ``labels`` are ignored. The grid
-    cross join is groups x labels^2 (a literal grid; groups are model
-    versions), never data x data.
+    is groups x labels^2 (a literal grid; groups are model versions), never
+    data x data.
     """
     by = list(by or [])
     labels = labels or K.LABELS_ORDER
@@ -105,7 +110,7 @@ def ece(df: DataFrame, conf: str, correct: str, by: list[str] | None = None) ->
     bins = d.groupBy(*by, "__bin").agg(F.count(F.lit(1)).alias("__nb"), F.avg("__a").alias("__acc"),
                                        F.avg("__c").alias("__conf"))
     tot = bins.groupBy(*by).agg(F.sum("__nb").alias("__nt"))
-    j = bins.join(tot, by) if by else bins.crossJoin(tot)
+    j = bins.join(tot, by) if by else attach(bins, tot)
     return j.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(F.col("__bin").isNotNull(),
                                 F.col("__nb") / F.col("__nt") * F.abs(F.col("__acc") - F.col("__conf")))),
@@ -158,7 +163,7 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Balanced weight n / (k * n_c) as a row column (class counts joined back)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
     tot = counts.agg(F.sum("__nc").alias("__n"), F.count(F.lit(1)).alias("__k"))
-    w = counts.crossJoin(tot).select(label, (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias(out))
+    w = attach(counts, tot).select(label, (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias(out))
     return df.join(w, label, "left")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..operators.scalars import attach
 from .. import fixtures as X
 from ..functions import cvss as CV
 from ..functions import risk as R
@@ -124,7 +125,7 @@ def tier_disagreement(spark, sf_dir):
     m = s.groupBy("champion_tier", "challenger_tier").agg(F.count(F.lit(1)).alias("n"))
     tot = m.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("champion_tier") != F.col("challenger_tier"),
                                                         F.col("n")).otherwise(0)).alias("n_disagree"))
-    return m.crossJoin(tot).select("champion_tier", "challenger_tier", "n",
+    return attach(m, tot).select("champion_tier", "challenger_tier", "n",
                                    rnd(F.col("n_disagree") / F.col("total"), R9).alias("disagreement_rate"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..operators.scalars import attach
 from .. import fixtures as X
 from ..functions import display as DS
 from ..functions import risk as R
@@ -187,7 +188,7 @@ def feature_validation(spark, sf_dir):
                   F.count_if("in_cisa_kev").alias("in_kev_count"),
                   F.count_if(F.col("epss_score") > 0.1).alias("high_epss_count"))
     rules = E.evaluate(t, E.feature_rules())
-    return rules.crossJoin(stats)
+    return attach(rules, stats)
 
 
 def _feature_validation_sql() -> str:

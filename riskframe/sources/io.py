@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scalars import attach
+
 
 def read_any(spark: SparkSession, path: str, csv_schema=None) -> DataFrame:
     """Parquet by extension (file or directory of parquet), else CSV with header.
@@ -83,6 +85,6 @@ def ingestion_accounting(batch: DataFrame, inserted: DataFrame, source: str, key
     """One accounting row per batch (fetched, inserted, updated, status)."""
     f = batch.agg(F.count(F.lit(1)).alias("records_fetched"))
     i = inserted.agg(F.count(F.lit(1)).alias("records_inserted"))
-    return f.crossJoin(i).select(F.lit(source).alias("source"), "records_fetched", "records_inserted",
+    return attach(f, i).select(F.lit(source).alias("source"), "records_fetched", "records_inserted",
                                  (F.col("records_fetched") - F.col("records_inserted")).alias("records_updated"),
                                  F.lit("success").alias("status"))

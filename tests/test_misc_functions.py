@@ -61,7 +61,9 @@ def test_prediction_log_stream_append(spark, tmpdir_fresh):
     spark.createDataFrame(pdf).write.parquet(src)
     s = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
     out = os.path.join(tmpdir_fresh, "log")
-    q = P.append_log(s, out, "t_log")
+    # stream checkpoints are stable per name in the shared folder (a restart resumes), so each run
+    # of this test starts a new stream name
+    q = P.append_log(s, out, f"t_log_{os.path.basename(tmpdir_fresh)}")
     q.awaitTermination()
     back = spark.read.parquet(out)
     assert back.count() == 20 and sorted(r[0] for r in back.select("log_date").distinct().collect())[0] is not None
