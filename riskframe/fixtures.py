@@ -54,7 +54,8 @@ def cves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def epss_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily exploit-probability snapshots: several (cve_id, snapshot_date) per id."""
-    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate")
+    # the large side is spread by the join key; orders is left to the planner's size-checked broadcast
+    li = spread(read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate"), "l_orderkey")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     return (j.groupBy(_cve_id(F.col("o_orderdate"), F.col("o_orderkey")).alias("cve_id"),
