@@ -89,7 +89,20 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     twice the cores, a fixed number, so AQE does not coalesce the spread back into one task.
     A later aggregation or window keyed on a superset of ``keys`` reuses this partitioning.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    cores = cluster_cores(df.sparkSession)
+    try:
+        splits = df.rdd.getNumPartitions()          # planning only, no job
+    except Exception:                               # noqa: BLE001 -- no RDD API (Spark Connect): leave as is
+        return df
+    if splits >= cores:
         return df
     return df.repartition(2 * cores, *keys)
+
+
+def cluster_cores(spark: SparkSession) -> int:
+    """Task slots of the cluster (default parallelism); the shuffle partition count where the
+    context is not reachable (Spark Connect)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:                               # noqa: BLE001
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
