@@ -88,6 +88,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     at scale has many splits and is returned unchanged (no shuffle is added). The target is
     twice the cores, a fixed number, so AQE does not coalesce the spread back into one task.
     A later aggregation or window keyed on a superset of ``keys`` reuses this partitioning.
+    ``df`` must be a scan with filters/projections only: counting its splits then only plans
+    the scan (a plan holding an exchange would run its shuffle stages to answer).
     """
     cores = cluster_cores(df.sparkSession)
     try:
