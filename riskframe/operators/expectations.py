@@ -1,4 +1,4 @@
-"""Expectations: every rule counted in one pass, all rules reported."""
+"""Expectations: every rule counted in one pass, all rules reported."""
 
 from __future__ import annotations
 
@@ -13,6 +13,12 @@ FORBIDDEN_FEATURES = ["base_score", "base_severity", "exploitability_score", "im
                       "cvss_v2_score", "cvss_v2_severity", "severity_label"]
 
 
+def drop_incomplete(df: DataFrame, subset: list[str]) -> DataFrame:
+    """Rows with a null (or NaN) in any ``subset`` column dropped; empty strings are values
+    and stay. A per-row filter, pushed to the scan where the columns come from storage."""
+    return df.dropna(how="any", subset=list(subset))
+
+
 def valid_cve_id(c) -> Column:
     """Id format check; null -> invalid."""
     col = F.col(c) if isinstance(c, str) else c

@@ -51,6 +51,14 @@ flat AS (SELECT cve_id, o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g'
 """
 
 
+def usable_labeled(spark, sf_dir):
+    """B3 + D1: flattened records with both a description and a severity (null-row drop on the
+    subset; '' counts as present), and their class distribution."""
+    from ..operators import expectations as E
+    u = E.drop_incomplete(flat_feed(spark, sf_dir), ["description", "base_severity"])
+    return u.groupBy("base_severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 def nvd_incremental(spark, sf_dir):
     """A1: records modified inside the window [start, end]."""
     f = NV.modified_between(flat_feed(spark, sf_dir), "1998-01-01 00:00:00", "1998-03-31 23:59:59")
@@ -166,6 +174,8 @@ EPSS_LOOKUP_SQL = X.with_views("epss_history", "kev_history") + \
 
 QUERIES = {
     "nvd_flatten": (nvd_flatten, _flat_sql() + "SELECT " + ", ".join(NV.FLAT_COLUMNS) + " FROM flat"),
+    "usable_labeled": (usable_labeled, _flat_sql() + "SELECT base_severity, count(*) AS n FROM flat "
+                       "WHERE description IS NOT NULL AND base_severity IS NOT NULL GROUP BY base_severity"),
     "nvd_incremental": (nvd_incremental, _flat_sql() + "SELECT cve_id, last_modified_date FROM flat WHERE "
                         "CAST(last_modified_date AS TIMESTAMP) BETWEEN TIMESTAMP '1998-01-01 00:00:00' AND "
                         "TIMESTAMP '1998-03-31 23:59:59'"),

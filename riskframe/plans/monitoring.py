@@ -24,7 +24,7 @@ R9 = 9
 
 def _sides(spark: SparkSession, sf_dir: str):
     e = read_table(spark, sf_dir, "events")
-    # Payload keys merged in as columns with a declared schema (never inferred)
+    # Payload keys merged in as columns with a declared schema (never inferred)
     e = e.withColumn("k", F.from_json("props", PAYLOAD_SCHEMA)["k"])
     cut = F.lit(CUT).cast("timestamp_ntz")
     return e.where(F.col("ts") < cut), e.where(F.col("ts") >= cut)

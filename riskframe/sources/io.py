@@ -54,13 +54,13 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 
 def report_json(df: DataFrame) -> DataFrame:
-    """Report rows as JSON text (one object per row)."""
+    """Report rows as JSON text (one object per row)."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
 def prediction_log_rows(scored: DataFrame, key: str, version: str, prediction: str, confidence: str,
                         features: list[str], predicted_at) -> DataFrame:
-    """Rows to append to the prediction log: confidence rounded to 4 dp, payload JSON."""
+    """Rows to append to the prediction log: confidence rounded to 4 dp, payload JSON."""
     return scored.select(F.col(key).alias("cve_id"), F.lit(version).alias("model_version"),
                          predicted_at.alias("predicted_at"), F.col(prediction).alias("prediction"),
                          F.round(F.col(confidence), 4).alias("confidence"),

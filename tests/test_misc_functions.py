@@ -89,3 +89,12 @@ def test_prediction_log_resumes_and_replayed_batch_is_idempotent(spark, tmpdir_f
                  .withColumn("log_date", F.to_date("predicted_at"))
     P.write_log_batch(spark.createDataFrame(batch0.toPandas()), 0, out)     # 20 test rows, detached from `out`
     assert spark.read.parquet(out).count() == 30
+
+
+def test_drop_incomplete_b3_keeps_empty_strings_drops_null_and_nan(spark):
+    from riskframe.operators import expectations as E
+    df = spark.createDataFrame([("a", "HIGH", 1.0), ("b", None, 2.0), ("c", "", 3.0), ("d", "LOW", float("nan")),
+                                (None, "LOW", 4.0), ("f", "LOW", None)], "description string, sev string, s double")
+    assert sorted(r.description for r in E.drop_incomplete(df, ["description", "sev"]).collect()) == ["a", "c", "d", "f"]
+    kept = [r.description for r in E.drop_incomplete(df, ["s"]).collect()]
+    assert sorted(kept, key=str) == sorted([None, "a", "b", "c"], key=str)
