@@ -29,11 +29,12 @@ def case_map(c, mapping: dict) -> Column:
 
 
 def clip01(c) -> Column:
+    """Clip to [0, 1]."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), as_col(c).cast("double")))
 
 
 def round_half_away(c, digits: int) -> Column:
-    """Round to ``digits`` decimals as round(x*10^d)/10^d, half away from zero.
+    """Round to ``digits`` decimals as round(x*10^d)/10^d, half away from zero.
 
     Same double result in Spark and DuckDB (both round the scaled binary value),
     and equal to Python's ``round`` except on exact decimal ties.

@@ -60,7 +60,7 @@ def severity_label(ordinal, scale: str = "0-4") -> Column:
 
 
 def score_to_severity(score) -> Column:
-    """CVSS base score -> label by the 9/7/4 cut-offs (null score -> null)."""
+    """CVSS base score -> label by the 9/7/4 cut-offs (null score -> null)."""
     s = as_col(score)
     expr = None
     for cut, lab in K.SCORE_SEVERITY_CUTS:
@@ -84,5 +84,5 @@ def severity_from_label_or_score(label, score, invalid_label_falls_back: bool =
 
 
 def label_encode(label) -> Column:
-    """LOW..CRITICAL -> 0..3, anything else -> -1."""
+    """LOW..CRITICAL -> 0..3, anything else -> -1."""
     return severity_ordinal(label, scale="0-3")

@@ -13,7 +13,7 @@ from ._util import as_col, case_map, clip01, round_half_away
 
 
 def normalise_weights(weights: dict[str, float]) -> dict[str, float]:
-    """Rescale when |sum - 1| > 0.001 (fitted constants, driver side)."""
+    """Rescale when |sum - 1| > 0.001 (fitted constants, driver side)."""
     total = sum(weights.values())
     if abs(total - 1.0) > 0.001:
         return {k: v / total for k, v in weights.items()}
@@ -33,6 +33,7 @@ def severity_component_from_int(ordinal, scale: str = "0-4") -> Column:
 
 
 def tier(score, tiers=None) -> Column:
+    """Risk tier by descending cut-offs."""
     tiers = tiers or K.RISK_TIER_PRESETS["code"]
     s = as_col(score)
     expr = None
@@ -43,7 +44,7 @@ def tier(score, tiers=None) -> Column:
 
 def risk_columns(components: dict[str, Column], weights: dict[str, float] | None = None,
                  tiers=None) -> dict[str, Column]:
-    """Weighted 0-100 score from named [0,1] components.
+    """Weighted 0-100 score from named [0,1] components.
 
     Returns contribution_<k> (unrounded weight*component*100), risk_score_raw
     (unrounded), risk_score (2 dp) and risk_tier (on the rounded score).
@@ -85,7 +86,7 @@ def risk_components(severity_label=None, kev=None, epss=None, asset=None, exposu
 
 
 def with_risk_score(df: DataFrame, weights=None, tiers=None, **component_args) -> DataFrame:
-    """df -> df: add the six components, contributions, score and tier."""
+    """H26-H29 (weights: constants.RISK_WEIGHT_PRESETS, incl. the five-factor variant H32): df -> df: add the six components, contributions, score and tier."""
     comps = risk_components(**component_args)
     w = normalise_weights(weights or K.RISK_WEIGHTS)
     comps = {k: comps[k] for k in w}
@@ -101,17 +102,18 @@ def scale_to_unit(c) -> Column:
 
 
 def exposure_from_category(c) -> Column:
+    """Exposure class -> score (unknown -> the 'other' value)."""
     return F.coalesce(case_map(as_col(c), K.EXPOSURE_SCORES), F.lit(K.EXPOSURE_SCORE_OTHER))
 
 
 def default_score_from_cvss(score) -> Column:
-    """clamp((s/10)^2 * 0.45, .02, .95) rounded to 3 dp."""
+    """clamp((s/10)^2 * 0.45, .02, .95) rounded to 3 dp."""
     s = as_col(score).cast("double")
     return round_half_away(F.least(F.lit(0.95), F.greatest(F.lit(0.02), (s / 10.0) * (s / 10.0) * 0.45)), 3)
 
 
 def safe_double(c, default: float) -> Column:
-    """Null / unparsable / NaN / infinite -> default."""
+    """Null / unparsable / NaN / infinite -> default."""
     x = as_col(c).cast("string").try_cast("double") if not isinstance(c, (int, float)) else F.lit(float(c))
     bad = x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(math.inf))
     return F.when(bad, F.lit(default)).otherwise(x)
@@ -135,7 +137,7 @@ def exploit_forecast_columns(p) -> dict[str, Column]:
 
 
 def keyword_rule_class(flags: dict[str, Column] | None = None) -> Column:
-    """Keyword-rule baseline class on the 0-3 scale (3 CRITICAL ... 0 LOW)."""
+    """Keyword-rule baseline class on the 0-3 scale (3 CRITICAL ... 0 LOW)."""
     def any_of(names):
         cols = [F.coalesce(flags[n] if flags else F.col(n), F.lit(0)).cast("int") for n in names]
         return F.greatest(*cols) > 0

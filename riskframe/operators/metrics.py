@@ -67,7 +67,7 @@ def per_class(cm: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def summary(cm: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """D13/D14 one row per group.
+    """D13/D14 one row per group.
 
     macro_f1 averages labels present in truth or prediction (library default),
     macro_f1_all averages all labels (report), balanced_accuracy averages
@@ -190,4 +190,5 @@ def realised_accuracy(cm: DataFrame, by: list[str] | None = None, min_rows: int
 
 
 def union_all(dfs: list[DataFrame]) -> DataFrame:
+    """Per-model metric rows stacked into one comparison table."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)

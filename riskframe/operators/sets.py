@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def union_ids(*frames: DataFrame, key: str = "cve_id") -> DataFrame:
-    """G1: union-distinct of id lists."""
+    """G1: union-distinct of id lists."""
     out = None
     for f in frames:
         s = f.select(key)

@@ -23,6 +23,7 @@ R9 = 9
 
 
 def _sides(spark: SparkSession, sf_dir: str):
+    """Events split at the cut, payload keys parsed with a declared schema."""
     e = read_table(spark, sf_dir, "events")
     # Payload keys merged in as columns with a declared schema (never inferred)
     e = e.withColumn("k", F.from_json("props", PAYLOAD_SCHEMA)["k"])

@@ -18,6 +18,7 @@ from ..operators import expectations as E
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import sets as G
+from ..operators import topk as TK
 from ..sources import epss as EP
 from ..sources import io as IO
 from ..session import read_table, spread
@@ -369,6 +370,21 @@ def _live_sql() -> str:
   {S.round_dp('high_recall', R9)} AS high_recall FROM summ"""
 
 
+def cve_list_page(spark, sf_dir):
+    """Second page (50 rows) of exploited CVEs with CVSS >= 7, riskiest first."""
+    s = scoring.scored_cves(spark, sf_dir)
+    p = TK.cve_page(s, kev_only=True, min_cvss=7.0, page=2, page_size=50,
+                    order=("risk_score_raw", "cve_id", "o_orderkey"), descending=(True, False, False))
+    return p.select("cve_id", "base_score", "in_kev", "epss_score", "risk_score", "risk_tier")
+
+
+def _cve_list_sql() -> str:
+    base = scoring._scored_sql().replace("parsed AS (SELECT cve_id, published_date,",
+                                         "parsed AS (SELECT cve_id, o_orderkey, base_score, published_date,")
+    return base + """SELECT cve_id, base_score, in_kev, epss_score, risk_score, risk_tier FROM scored
+WHERE in_kev AND base_score >= 7.0 ORDER BY risk_score_raw DESC, cve_id, o_orderkey LIMIT 50 OFFSET 50"""
+
+
 def realised_accuracy(spark, sf_dir):
     """Realised accuracy per version once >= 20 predictions have a paired label."""
     cm = EV.confusion_by_version(spark, sf_dir)
@@ -429,6 +445,7 @@ QUERIES = {
     "score_snapshot": (score_snapshot, SNAPSHOT_SQL),
     "live_accuracy": (live_accuracy, _live_sql()),
     "realised_accuracy": (realised_accuracy, _realised_sql()),
+    "cve_list_page": (cve_list_page, _cve_list_sql()),
     "prediction_log_rows": (prediction_log_rows, None),
     "schema_checks": (schema_checks, None),
     "report_rows": (report_rows, None),
