@@ -260,7 +260,7 @@ FROM r WHERE rn <= 2000 GROUP BY model_version"""
 
 
 def document_search(spark, sf_dir):
-    """Free-text search ('apache', lower-cased substring over text or source) within English docs."""
+    """Free-text search ('apache', lower-cased substring over text or source) within English docs."""
     d = spread(read_table(spark, sf_dir, "documents").where(F.col("lang") == "en"), "doc_id")
     return d.where((F.col("lang") == "en") & T.search_match("apache", "text", "source")).select("doc_id", "source")
 

@@ -29,6 +29,8 @@ def scored_cves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity from label or score ladder, clipped components, weighted
+    0-100 score and tier for every CVE."""
     return scored_cves(spark, sf_dir).select(*RISK_OUT)
 
 

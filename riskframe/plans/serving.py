@@ -336,7 +336,7 @@ UNION ALL SELECT event_id, 'fallback' FROM (SELECT event_id FROM predictions_log
 
 
 def first_scored(spark, sf_dir, n: int = 300):
-    """the first 300 records with a score (id order), as the list view does."""
+    """The first 300 records with a score (null scores dropped, id order), as the list view does."""
     s = scoring.scored_cves(spark, sf_dir).where(F.col("base_score").isNotNull())
     return s.orderBy("cve_id").limit(n).select("cve_id", "base_score", "severity")
 

@@ -27,7 +27,7 @@ WS_SQL = r"[\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{
 
 
 def text_features(spark: SparkSession, sf_dir: str):
-    """Length, word count, keyword flags and vendor flags for every document (whole text)."""
+    """H4/H5: length, word count, keyword flags and vendor flags for every document (whole text)."""
     d = spread(read_table(spark, sf_dir, "documents"), "doc_id")
     flags = T.keyword_flags("text", DOC_PATTERNS)
     vt = T.vendor_text(F.lit(""), F.col("source"), F.array().cast("array<string>"), F.col("text"))
