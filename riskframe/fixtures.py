@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 from .session import read_table, spread
 
 
+def _padded(number):
+    """At least five digits, padded and never cut: ids stay distinct at any table size."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(5)), F.lit("0"))
+
+
 def _cve_id(year_col, key_col):
     return F.concat(F.lit("CVE-"), F.year(year_col).cast("string"), F.lit("-"),
-                    F.lpad((key_col + F.lit(10000)).cast("string"), 5, "0"))
+                    _padded(key_col + F.lit(10000)))
 
 
 def _pick(chars: str, idx_expr: str):
@@ -91,7 +97,8 @@ def predictions_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- SQL forms (DuckDB and Spark SQL) -------------------------------------
 
 _CVE_ID_SQL = ("concat('CVE-', CAST(year(o_orderdate) AS VARCHAR(4)), '-', "
-               "lpad(CAST(o_orderkey + 10000 AS VARCHAR(12)), 5, '0'))")
+               "lpad(CAST(o_orderkey + 10000 AS VARCHAR(20)), "
+               "CAST(greatest(5, length(CAST(o_orderkey + 10000 AS VARCHAR(20)))) AS INTEGER), '0'))")
 
 CVES_SQL = f"""SELECT {_CVE_ID_SQL} AS cve_id,
  o_orderkey, CAST(o_orderdate AS DATE) AS published_date,
