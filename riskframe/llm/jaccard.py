@@ -133,9 +133,12 @@ def _shared(prefixes: DataFrame) -> DataFrame:
         .selectExpr("token", "sig", "cast(shiftright(size_pos, 32) as int) as n", "cast(size_pos & 2147483647 as int) as pos"))
 
 
-def _needed(a, b, percent: int):
-    """Least overlap of sets of these sizes that reaches the threshold."""
-    return F.ceil(percent * (a + b) / F.lit(100.0 + percent) - 1e-9)
+def _fits(na, nb, pos_a, pos_b, percent: int):
+    """Whether sets of these sizes that share the shingles at these positions can reach the threshold:
+    at most least(pos) + 1 common ones lie up to there, at most the rest of the shorter one after."""
+    room = F.least(pos_a, pos_b) + 1 + F.least(na - pos_a - 1, nb - pos_b - 1)
+    needed = F.ceil(percent * (na + nb) / F.lit(100.0 + percent) - 1e-9)
+    return (100 * na >= percent * nb) & (100 * nb >= percent * na) & (room >= needed)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -160,9 +163,7 @@ def _cross_pairs(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     r = (_relabel(rows.withColumn("label", F.col("sig")), "label", labels)
          .withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where("lo <> hi").drop("lo", "hi"))
     a, b = r.alias("a"), r.alias("b")
-    na, nb, pa_, pb = F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")
-    room = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
-    fits = (100 * na >= percent * nb) & (100 * nb >= percent * na) & (room >= _needed(na, nb, percent))
+    fits = _fits(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos"), percent)
     return (a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.sig") < F.col("b.sig"))
                    & (F.col("a.label") != F.col("b.label")) & fits)
             .select(F.col("a.sig").alias("src"), F.col("b.sig").alias("dst")).distinct())
@@ -190,30 +191,34 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     schema = "token long, sig long, size_pos long"
     first = _shared(base.where("doc_id is not null").mapInArrow(first_order, schema))
 
-    # the whole sets of the documents that share a prefix shingle with another one
-    wanted = materialize(first.select("sig").distinct().join(reps, "sig"))
-    words_of = spark.sparkContext.broadcast(bitmap(wanted, "rep"))
-
-    def whole_sets(batches):
-        for b in batches:
-            keep = bitmap_has(words_of.value, b.column("h").to_numpy())
-            for c in pieces([b.filter(pa.array(keep))]):
-                sets = shingle_sets(c.column("text"), words)
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": c.column("doc_id"), "sig": pa.array([_set_name(s) for s in sets], pa.int64()),
-                    "s": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
-
-    sets = materialize(
-        base.where("doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
-        .mapInArrow(whole_sets, "doc_id long, sig long, s array<long>")
-        .join(wanted.withColumnRenamed("rep", "doc_id"), ["sig", "doc_id"], "left_semi")
-        .dropDuplicates(["sig"]).select("sig", "s"))
+    def whole_sets(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """(sig, s): the whole sets of the documents in ``pairs`` that are not in ``known`` yet."""
+        named = pairs.select(F.col("src").alias("sig")).union(pairs.select("dst")).distinct()
+        if known is not None:
+            named = named.join(known.select("sig"), "sig", "left_anti")
+        wanted = materialize(named.join(reps, "sig"))
+        words_of = spark.sparkContext.broadcast(bitmap(wanted, "rep"))
+
+        def run(batches):
+            for b in batches:
+                keep = bitmap_has(words_of.value, b.column("h").to_numpy())
+                for c in pieces([b.filter(pa.array(keep))]):
+                    sets = shingle_sets(c.column("text"), words)
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": c.column("doc_id"), "sig": pa.array([_set_name(s) for s in sets], pa.int64()),
+                        "s": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+
+        rows = base.where("doc_id is not null").withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, sig long, s array<long>")
+        return materialize(rows.join(wanted, "sig").where("doc_id = rep").dropDuplicates(["sig"]).select("sig", "s"))
 
     # first step: one hub for each prefix shingle and size class
     size_class = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)))
     w = Window.partitionBy("token", "class")
-    stars = (first.withColumn("class", size_class).withColumn("hub", F.min("sig").over(w)).where("hub <> sig")
-             .select(F.col("hub").alias("src"), F.col("sig").alias("dst")).distinct())
+    stars = (first.withColumn("class", size_class).withColumn("hub", F.min(F.struct("sig", "n", "pos")).over(w)).where("hub.sig <> sig")
+             .where(_fits(F.col("hub.n"), F.col("n"), F.col("hub.pos"), F.col("pos"), percent))
+             .select(F.col("hub.sig").alias("src"), F.col("sig").alias("dst")).distinct())
+    stars = materialize(stars)
+    sets = whole_sets(stars)
     links = materialize(_verified(stars, sets, percent))
     labels = components(links)
 
@@ -226,6 +231,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
                         classes.value, 1, percent)
 
     pairs = materialize(_cross_pairs(first, labels, percent))
+    sets = sets.unionByName(whole_sets(pairs, sets))
     left = pairs.select(F.col("src").alias("sig")).union(pairs.select(F.col("dst").alias("sig"))).distinct()
     second = _shared(sets.join(left, "sig", "left_semi").select("sig", "s").mapInArrow(second_order, schema))
     pairs = pairs.join(_cross_pairs(second, labels, percent), ["src", "dst"], "left_semi")
