@@ -9,8 +9,10 @@ verified exactly on the whole sets.
 
 Only one set of equal ones takes part (its copies follow it), and links are found in two steps so
 that a group of thousands of near copies costs no pair per two members: first every set is checked
-against one hub of each prefix shingle and size class, then only sets of different components of
-those links are paired. Every link between different components is found, so the components are
+against one hub of each prefix shingle and size class (the set of the commonest shingles, as an
+original is among its copies), then only sets of different components of those links are paired.
+Pairs of the second step must also pass a bound from parity sketches: sets whose sketches differ in
+d bits differ in at least d shingles. Every link between different components is found, so the components are
 exact; links inside a component change nothing and are not listed.
 
 Rows: null text has no words. A document without words has no shingles and links with nothing.
@@ -37,6 +39,8 @@ SKETCH_BITS = 22
 BLOCK_BITS = 16
 #: Partial count tables that one task adds up.
 FAN_IN = 128
+#: Bits of a set's parity sketch.
+PARITY_BITS = 512
 
 
 def _set_name(s: np.ndarray) -> int:
@@ -49,9 +53,15 @@ def _prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """Bit i: whether an odd number of shingles hash to i; as 64-bit words."""
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _scan(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (doc_id, sig, n) for every document, then one compressed count block each (block, counts)."""
+        """Rows (doc_id, sig, n, parity) for every document, then one compressed count block each (block, counts)."""
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in pieces(batches):
             sets = shingle_sets(b.column("text"), k)
@@ -60,12 +70,13 @@ def _scan(k: int):
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"), "sig": pa.array([_set_name(s) for s in sets], pa.int64()),
                 "n": pa.array([len(s) for s in sets], pa.int64()),
+                "parity": pa.array([_parity(s) for s in sets], pa.list_(pa.int64())),
                 "block": pa.nulls(len(sets), pa.int32()), "counts": pa.nulls(len(sets), pa.binary())})
         rows = [(i, zlib.compress(part.tobytes(), 1)) for i, part in enumerate(np.split(counts, 1 << (SKETCH_BITS - BLOCK_BITS)))
                 if part.any()]
         if rows:
             null = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": null, "sig": null, "n": null,
+            yield pa.RecordBatch.from_pydict({"doc_id": null, "sig": null, "n": null, "parity": pa.nulls(len(rows), pa.list_(pa.int64())),
                                               "block": pa.array([r[0] for r in rows], pa.int32()),
                                               "counts": pa.array([r[1] for r in rows], pa.binary())})
     return run
@@ -100,37 +111,34 @@ def _order_classes(scanned: DataFrame) -> np.ndarray:
     return np.minimum(63, np.floor(2 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
 
 
-def _prefix(s: np.ndarray, classes: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The first shingles of ``s`` under an order, in that order (all of a tie at its end)."""
-    key = classes[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
-    key |= mix64(s ^ np.uint64(ORDER_SEEDS[order])) >> np.uint64(6)
-    p = _prefix_length(len(s), percent)
-    edge = np.partition(key, p - 1)[p - 1]
-    at = np.flatnonzero(key <= edge)
-    return s[at[np.argsort(key[at], kind="stable")]]
-
-
 def _rows(sets, sigs, classes, order, percent) -> pa.RecordBatch:
-    """(token, sig, size << 32 | position) of the prefixes."""
+    """(token, sig, n << 35 | position << 7 | commonness) of the prefixes: each set's first shingles
+    under an order, in that order (all of a tie at its end)."""
     tokens, owner, size = [], [], []
     for s, sig in zip(sets, sigs, strict=True):
-        if len(s):
-            p = _prefix(s, classes, order, percent)
-            tokens.append(p)
-            owner.append(np.full(len(p), sig, np.int64))
-            size.append((len(s) << 32) + np.arange(len(p), dtype=np.int64))
+        if not len(s):
+            continue
+        c = classes[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
+        key = c.astype(np.uint64) << np.uint64(58) | mix64(s ^ np.uint64(ORDER_SEEDS[order])) >> np.uint64(6)
+        p = _prefix_length(len(s), percent)
+        at = np.flatnonzero(key <= np.partition(key, p - 1)[p - 1])
+        at = at[np.argsort(key[at], kind="stable")]
+        tokens.append(s[at])
+        owner.append(np.full(len(at), sig, np.int64))
+        size.append((len(s) << 35) + (np.arange(len(at), dtype=np.int64) << 7) + int(2 * c.mean()))
     cat = lambda x, t: np.concatenate(x).view(t) if x else np.zeros(0, t)
     return pa.RecordBatch.from_pydict({"token": pa.array(cat(tokens, np.int64)), "sig": pa.array(cat(owner, np.int64)),
-                                       "size_pos": pa.array(cat(size, np.int64))})
+                                       "place": pa.array(cat(size, np.int64))})
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """Prefix rows whose shingle is in the prefix of another set too: (token, sig, n, pos), each once."""
+    """Prefix rows whose shingle is in the prefix of another set too: (token, sig, n, pos, common), each once."""
     w = Window.partitionBy("token")
     return materialize(
         prefixes.withColumn("lo", F.min("sig").over(w)).withColumn("hi", F.max("sig").over(w)).where("lo <> hi")
-        .select("token", "sig", "size_pos").dropDuplicates(["token", "sig"])
-        .selectExpr("token", "sig", "cast(shiftright(size_pos, 32) as int) as n", "cast(size_pos & 2147483647 as int) as pos"))
+        .select("token", "sig", "place").dropDuplicates(["token", "sig"])
+        .selectExpr("token", "sig", "cast(shiftright(place, 35) as int) as n", "cast(shiftright(place, 7) & 268435455 as int) as pos",
+                    "cast(place & 127 as int) as common"))
 
 
 def _fits(na, nb, pos_a, pos_b, percent: int):
@@ -156,14 +164,17 @@ def _relabel(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
     return df.join(names, column, "left").withColumn(column, F.coalesce("__label", column)).drop("__label")
 
 
-def _cross_pairs(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of sets of different components that share a prefix shingle and whose sizes and
-    prefix positions leave room for the threshold."""
+def _cross_pairs(rows: DataFrame, labels: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of sets of different components that share a prefix shingle and whose sizes,
+    prefix positions and parity sketches leave room for the threshold."""
     w = Window.partitionBy("token")
     r = (_relabel(rows.withColumn("label", F.col("sig")), "label", labels)
-         .withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where("lo <> hi").drop("lo", "hi"))
+         .withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where("lo <> hi")
+         .select("token", "sig", "label", "n", "pos")).join(parities, "sig")
     a, b = r.alias("a"), r.alias("b")
     fits = _fits(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos"), percent)
+    differ = sum((F.bit_count(F.col("a.parity")[i].bitwiseXOR(F.col("b.parity")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    fits = fits & ((100 + percent) * differ <= (100 - percent) * (F.col("a.n") + F.col("b.n")))
     return (a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.sig") < F.col("b.sig"))
                    & (F.col("a.label") != F.col("b.label")) & fits)
             .select(F.col("a.sig").alias("src"), F.col("b.sig").alias("dst")).distinct())
@@ -177,10 +188,11 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = materialize(base.mapInArrow(_scan(words), "doc_id long, sig long, n long, block int, counts binary")
+    scanned = materialize(base.mapInArrow(_scan(words), "doc_id long, sig long, n long, parity array<long>, block int, counts binary")
                           .withColumn("part", F.spark_partition_id().cast("long")))
     rows = scanned.where("sig is not null").select("doc_id", "sig", "n")
     reps = rows.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    parities = scanned.where("n > 0").groupBy("sig").agg(F.first("parity").alias("parity"))
     classes = spark.sparkContext.broadcast(_order_classes(scanned))
 
     def first_order(batches):
@@ -188,7 +200,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
             sets = shingle_sets(b.column("text"), words)
             yield _rows(sets, [_set_name(s) for s in sets], classes.value, 0, percent)
 
-    schema = "token long, sig long, size_pos long"
+    schema = "token long, sig long, place long"
     first = _shared(base.where("doc_id is not null").mapInArrow(first_order, schema))
 
     def whole_sets(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -214,7 +226,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     # first step: one hub for each prefix shingle and size class
     size_class = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)))
     w = Window.partitionBy("token", "class")
-    stars = (first.withColumn("class", size_class).withColumn("hub", F.min(F.struct("sig", "n", "pos")).over(w)).where("hub.sig <> sig")
+    stars = (first.withColumn("class", size_class).withColumn("hub", F.max(F.struct("common", "sig", "n", "pos")).over(w)).where("hub.sig <> sig")
              .where(_fits(F.col("hub.n"), F.col("n"), F.col("hub.pos"), F.col("pos"), percent))
              .select(F.col("hub.sig").alias("src"), F.col("sig").alias("dst")).distinct())
     stars = materialize(stars)
@@ -230,11 +242,11 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
             yield _rows([flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], b.column("sig").to_numpy(),
                         classes.value, 1, percent)
 
-    pairs = materialize(_cross_pairs(first, labels, percent))
+    pairs = materialize(_cross_pairs(first, labels, parities, percent))
     sets = sets.unionByName(whole_sets(pairs, sets))
     left = pairs.select(F.col("src").alias("sig")).union(pairs.select(F.col("dst").alias("sig"))).distinct()
     second = _shared(sets.join(left, "sig", "left_semi").select("sig", "s").mapInArrow(second_order, schema))
-    pairs = pairs.join(_cross_pairs(second, labels, percent), ["src", "dst"], "left_semi")
+    pairs = pairs.join(_cross_pairs(second, labels, parities, percent), ["src", "dst"], "left_semi")
     more = _verified(pairs, sets, percent)
     # a link of the second step joins two components of the first
     top = components(_relabel(_relabel(more, "src", labels), "dst", labels))
