@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import materialize
 
 TABLES = 2
 #: Vectors of a cell, about.
@@ -43,8 +43,8 @@ TARGET = 0.96
 TUNING = 128
 MOST_PROBES = 20_000
 BLOCK = 1024
-#: Vectors of a task's share, about.
-SHARE = 40_000
+#: Vectors of a task's share of a table, about.
+SHARE = 20_000
 
 
 class Hashes:
@@ -128,7 +128,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, vector: str = "emb
     dim, n = most["d"], most["n"]
     good = good.where(F.size("v") == dim)
     h = Hashes(dim, n, float(np.sqrt(most["m"])), most["a"])
-    shares = max(1, -(-TABLES * n // SHARE), min(2 * shuffle_partitions(spark), TABLES * n // 2_000))
+    shares = max(1, -(-n // SHARE))
 
     # equal vectors once, with all ids that can be needed
     distinct = materialize(
