@@ -34,6 +34,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(docs: DataFrame, rows: int = 512) -> DataFrame:
+    """``docs``, its session set to hand Python at most ``rows`` whole texts at a time.
+
+    Arrow batches are counted in rows; Spark's default of 10,000 would hold a GB of texts of 100 KB.
+    """
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return docs
+
+
 def in_fold(doc_id, folds: int = 5):
     """Held-out rows: crc32 of the id as text is divisible by ``folds`` (false for a null id)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))

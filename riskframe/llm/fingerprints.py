@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK64, mix64, shuffle_partitions
+from .common import MASK64, bounded_batches, mix64, shuffle_partitions
 
 BINS = 64
 FIRST, LAST = 2, 4
@@ -165,7 +165,7 @@ def with_next(docs: DataFrame, work, schema: str) -> DataFrame:
     each bucket is worked on alone. ``work`` gets lists of (doc_id, text) whose last row only follows.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = 4 * shuffle_partitions(spark)
     ids = base.select("doc_id")
     probs = [i / n for i in range(1, n)]

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 SIGMA = 1.0
 REACH = int(3 * SIGMA)
 KERNEL = [math.exp(-d * d / (2 * SIGMA ** 2)) for d in range(REACH + 1)]
@@ -160,5 +162,5 @@ def extract_text(pages: DataFrame) -> DataFrame:
     def text(htmls: pd.Series) -> pd.Series:
         return pd.Series([main_text(h) for h in htmls], dtype=object)
 
-    out = pages.select("page_id", "url", text(F.col("html").cast("string")).alias("text"))
+    out = bounded_batches(pages).select("page_id", "url", text(F.col("html").cast("string")).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

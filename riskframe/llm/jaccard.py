@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_has, components, materialize, mix64, pieces
+from .common import bitmap, bitmap_has, bounded_batches, components, materialize, mix64, pieces
 from .shingles import shingle_sets
 
 ORDER_SEEDS = (0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1)
@@ -62,16 +62,26 @@ def _parity(s: np.ndarray) -> np.ndarray:
 def _scan(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (doc_id, sig, n, parity) for every document, then one compressed count block each (block, counts)."""
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts, waiting, n = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
+
+        def count() -> None:
+            slots, times = np.unique(np.concatenate(waiting), return_counts=True)
+            counts[slots] += times.astype(np.uint32)
+
         for b in pieces(batches):
             sets = shingle_sets(b.column("text"), k)
-            slots = (np.concatenate(sets) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
-            counts += np.bincount(slots, minlength=1 << SKETCH_BITS).astype(np.uint32)
+            waiting += [(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int32) for s in sets]
+            n += sum(map(len, sets))
+            if n > 1 << SKETCH_BITS:
+                count()
+                waiting, n = [], 0
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"), "sig": pa.array([_set_name(s) for s in sets], pa.int64()),
                 "n": pa.array([len(s) for s in sets], pa.int64()),
                 "parity": pa.array([_parity(s) for s in sets], pa.list_(pa.int64())),
                 "block": pa.nulls(len(sets), pa.int32()), "counts": pa.nulls(len(sets), pa.binary())})
+        if waiting:
+            count()
         rows = [(i, zlib.compress(part.tobytes(), 1)) for i, part in enumerate(np.split(counts, 1 << (SKETCH_BITS - BLOCK_BITS)))
                 if part.any()]
         if rows:
@@ -187,7 +197,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     shingles (A-Z lower-cased); component_id is the smallest doc_id that links reach.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = materialize(base.mapInArrow(_scan(words), "doc_id long, sig long, n long, parity array<long>, block int, counts binary")
                           .withColumn("part", F.spark_partition_id().cast("long")))
     rows = scanned.where("sig is not null").select("doc_id", "sig", "n")

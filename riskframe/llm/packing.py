@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import bounded_batches, materialize, shuffle_partitions
 from .tokens import TokenIds
 
 SEQUENCE = 4096
@@ -55,7 +55,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE) ->
                     out.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "secret", "ssn")
 LABELERS = 5
@@ -254,7 +256,7 @@ SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 def find_personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``spans``: (kind, start, end, base) in code points, by kind (base kinds first, as
     listed), then start."""
-    docs = docs.drop("spans")
+    docs = bounded_batches(docs).drop("spans")
     model = docs.sparkSession.sparkContext.broadcast(train(docs.select(F.col("text").cast("string").alias("text"))))
     order = {k: i for i, k in enumerate(KINDS)}
 

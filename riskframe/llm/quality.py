@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, labelled_ids, pieces, utf8_buffers
+from .common import bounded_batches, in_fold, labelled_ids, pieces, utf8_buffers
 
 #: Labelled documents of each class that the model keeps at most.
 SAMPLE = 2_000
@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3,
                   per_class: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text)."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(train(base, labels, label, per_class))
 
     def run(batches):

@@ -2,8 +2,9 @@
 
 The vocabulary's own pre-tokenizer never joins characters across white space, so a text's ids are
 those of its white-space chunks one after another. Each worker keeps the ids of chunks and words
-it has seen (at most ``CACHE`` of each, then it starts anew); only unseen words go through the
-tokenizer's merge model.
+it has seen, in a young and an old generation of at most ``CACHE`` each: what is seen again moves to
+the young one, and when that is full the old one goes. Only unknown words go through the tokenizer's
+merge model.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import unicodedata
 
 import numpy as np
 
-CACHE = 600_000
+CACHE = 160_000
 #: The vocabulary's split pattern, written for Python's ``re``.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 ASCII_SEPARATORS = re.compile(r"[\x1c-\x1f]")
@@ -36,8 +37,8 @@ class TokenIds:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = str.maketrans(_byte_letters())
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.old_chunks = {}, {}
+        self.words, self.old_words = {}, {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -46,12 +47,18 @@ class TokenIds:
         ids = self.words.get(word)
         if ids is None:
             if len(self.words) >= CACHE:
-                self.words.clear()
-            spelled = word if word.isascii() else word.encode().decode("latin-1")
-            ids = self.words[word] = np.array([t.id for t in self.model.tokenize(spelled.translate(self.letters))], "<u4").tobytes()
+                self.words, self.old_words = {}, self.words
+            ids = self.old_words.get(word)
+            if ids is None:
+                spelled = word if word.isascii() else word.encode().decode("latin-1")
+                ids = np.array([t.id for t in self.model.tokenize(spelled.translate(self.letters))], "<u4").tobytes()
+            self.words[word] = ids
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
+        ids = self.old_chunks.get(chunk)
+        if ids is not None:
+            return self._keep(chunk, ids)
         if not chunk.isascii():
             if not unicodedata.is_normalized("NFC", chunk) or not _simple(chunk):
                 ids = self._whole(chunk)
@@ -61,16 +68,16 @@ class TokenIds:
 
     def _keep(self, chunk: str, ids: bytes) -> bytes:
         if len(self.chunks) >= CACHE:
-            self.chunks.clear()
+            self.chunks, self.old_chunks = {}, self.chunks
         self.chunks[chunk] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
         if ASCII_SEPARATORS.search(text):  # white space to Python, not to the tokenizer
             return self._whole(text)
-        get, out = self.chunks.get, []
+        out = []
         for chunk in text.split():
-            ids = get(chunk)
+            ids = self.chunks.get(chunk)
             out.append(self._chunk(chunk) if ids is None else ids)
         return b"".join(out)
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, labelled_ids, materialize
+from .common import bounded_batches, in_fold, labelled_ids, materialize
 
 #: Labelled documents of each class that the model sees at most.
 SAMPLE = 3_000
@@ -39,7 +39,7 @@ WORDS = 4_096
 LONG = 40
 STEMS = (4, 5, 6)
 #: Spellings whose telling words a worker remembers.
-CACHE = 400_000
+CACHE = 100_000
 STEPS = 300
 PENALTY = 1e-3
 END = re.compile(r"[.!?\n]+")
@@ -169,7 +169,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", thr
                    per_class: int = SAMPLE) -> DataFrame:
     """All columns of ``docs`` but clashing ones, with held_out, score, predicted and ``offending``:
     (start, end, score) in code points of each sentence that alone reaches the threshold."""
-    docs = docs.drop("held_out", "score", "predicted", "offending", "found")
+    docs = bounded_batches(docs).drop("held_out", "score", "predicted", "offending", "found")
     model = docs.sparkSession.sparkContext.broadcast(train(docs.select("doc_id", "text"), labels, label, per_class))
 
     @F.pandas_udf("score double, offending array<struct<start:int,end:int,score:double>>")
