@@ -207,7 +207,7 @@ def with_next(docs: DataFrame, work, schema: str) -> DataFrame:
                 size += len(rows[-1][1])
                 if follows:
                     last = b
-                if follows or size > BATCH:
+                if len(rows) > 1 and (follows or size > BATCH):
                     yield work(rows)
                     rows, size = ([], 0) if follows else (rows[-1:], len(rows[-1][1]))
 

@@ -26,6 +26,8 @@ from .common import bounded_batches
 
 SIGMA = 1.0
 REACH = int(3 * SIGMA)
+#: Clusters whose means differ by less than this factor are one.
+APART = 3.0
 KERNEL = [math.exp(-d * d / (2 * SIGMA ** 2)) for d in range(REACH + 1)]
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -138,6 +140,8 @@ def _high(ratios: list[float]) -> list[bool]:
         if new == (low, high):
             break
         low, high = new
+    if low * APART > high:  # one cluster: nothing stands out, all is content
+        return [True] * n
     return [x >= (low + high) / 2 for x in smooth]
 
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from .common import WORD_REGEX, materialize
 
 #: Documents of a block, about.
 BLOCK = 2_000
+#: Words of a last block's room that are filled by the best sum of documents.
+CLOSE = 20_000
 WEIGHTS = (3, 1, 2)
 
 
@@ -79,6 +82,26 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def _fill(units: pd.DataFrame) -> pd.DataFrame:
+    """The units of one block (bounded) whose words fill its room: in permuted order up to the last
+    ``CLOSE`` words of room, then the best sum of the others."""
+    units = units.sort_values(["__row", "__id"], kind="stable").reset_index(drop=True)
+    words, room = units["words"].to_numpy(np.int64), int(units["__room"].iloc[0])
+    first = int(np.searchsorted(np.cumsum(words), max(0, room - CLOSE), "right"))
+    left = room - int(words[:first].sum())
+    # reach[i]: bit s tells whether some of the first i further units hold s words
+    sums, reach, mask = words[first:].tolist(), [1], (1 << (left + 1)) - 1
+    for w in sums:
+        reach.append((reach[-1] | reach[-1] << w) & mask if w <= left else reach[-1])
+    at, taken = reach[-1].bit_length() - 1, np.zeros(len(words), bool)
+    taken[:first] = True
+    for i in range(len(sums) - 1, -1, -1):
+        if not reach[i] >> at & 1:
+            taken[first + i] = True
+            at -= sums[i]
+    return units.loc[taken, ["__si", "__row", "__id"]]
+
+
 def mix(docs: DataFrame, shards: int = 16, seed: int = 7, share: float = 1.5, most: float = 2.0,
         weights=WEIGHTS, block: int = BLOCK) -> DataFrame:
     """``docs`` (doc_id, source, size, ...) with source_size, target and ``draws``.
@@ -115,16 +138,11 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 7, share: float = 1.5, mo
         .withColumn("__at", F.row_number().over(order) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("__si")))
         .select("__si", "__block", "__whole", "__room", "__at", "__n"))
 
-    # in the last block (one a source): documents in permuted order that fit, then the shortest others
-    # that still fit; repeated rows of one id and size go together
+    # in the last block (one a source): documents in permuted order, the last of them so that the room is
+    # filled best; repeated rows of one id and size go together
     units = narrow.join(blocks.where("__room > 0").select("__si", "__block", "__room"), ["__si", "__block"]) \
         .groupBy("__si", "__row", "__id", "__room").agg(F.sum("size").alias("words"))
-    inside = Window.partitionBy("__si")
-    upto = lambda *by: F.sum("words").over(inside.orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    units = units.withColumn("in1", upto("__row", "__id") <= F.col("__room"))
-    units = units.withColumn("spent", F.sum(F.when(F.col("in1"), F.col("words")).otherwise(0)).over(inside))
-    units = units.withColumn("in2", ~F.col("in1") & (upto("in1", "words", "__row", "__id") <= F.col("__room") - F.col("spent")))
-    chosen = materialize(units.where("in1 or in2").select("__si", "__row", "__id", F.lit(True).alias("__in")))
+    chosen = materialize(units.groupBy("__si").applyInPandas(_fill, "__si int, __row long, __id long").withColumn("__in", F.lit(True)))
     drawn = (placed(docs).join(blocks, ["__si", "__block"]).join(chosen, ["__si", "__row", "__id"], "left")
              .withColumn("__times", F.expr("__passes + cast(__whole or coalesce(__in, false) as int)")))
 

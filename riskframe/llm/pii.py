@@ -243,7 +243,8 @@ def train(docs: DataFrame) -> dict[str, float]:
                     base, loose = _candidates(text)
                     for spans, is_base in ((base, True), (loose, False)):
                         seen.update(json.dumps(pattern(k, s, e, text, is_base)) for k, s, e in spans)
-            yield pd.DataFrame({"pattern": list(seen), "n": list(seen.values())}).astype({"n": "int64"})
+            if seen:
+                yield pd.DataFrame({"pattern": list(seen), "n": list(seen.values())})
 
     rows = docs.select("text").mapInPandas(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     rows.sort(key=lambda r: r["pattern"])

@@ -100,7 +100,8 @@ def telling_words(sample: DataFrame) -> list[str]:
         for f in frames:
             for y, text in zip(f["y"], f["text"], strict=True):
                 found = {x for w in set((text or "").lower().split()) for x in forms(w)}
-                yield pd.DataFrame({"y": np.int32(y), "word": list(found)})
+                if found:
+                    yield pd.DataFrame({"y": np.int32(y), "word": list(found)})
 
     size = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if len(size) < 2:
