@@ -11,7 +11,7 @@ Only one set of equal ones takes part (its copies follow it), and links are foun
 that a group of thousands of near copies costs no pair per two members: first every set is checked
 against one hub of each prefix shingle and size class (the set of the commonest shingles, as an
 original is among its copies), then only sets of different components of those links are paired.
-Pairs of the second step must also pass a bound from parity sketches: sets whose sketches differ in
+Pairs must also pass a bound from parity sketches: sets whose sketches differ in
 d bits differ in at least d shingles. Every link between different components is found, so the components are
 exact; links inside a component change nothing and are not listed.
 
@@ -72,7 +72,7 @@ def _scan(k: int):
             sets = shingle_sets(b.column("text"), k)
             waiting += [(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int32) for s in sets]
             n += sum(map(len, sets))
-            if n > 1 << SKETCH_BITS:
+            if n > 1 << 20:
                 count()
                 waiting, n = [], 0
             yield pa.RecordBatch.from_pydict({
@@ -82,6 +82,8 @@ def _scan(k: int):
                 "block": pa.nulls(len(sets), pa.int32()), "counts": pa.nulls(len(sets), pa.binary())})
         if waiting:
             count()
+            waiting.clear()
+        pa.default_memory_pool().release_unused()
         rows = [(i, zlib.compress(part.tobytes(), 1)) for i, part in enumerate(np.split(counts, 1 << (SKETCH_BITS - BLOCK_BITS)))
                 if part.any()]
         if rows:
@@ -159,6 +161,13 @@ def _fits(na, nb, pos_a, pos_b, percent: int):
     return (100 * na >= percent * nb) & (100 * nb >= percent * na) & (room >= needed)
 
 
+def _alike(parity_a, parity_b, na, nb, percent: int):
+    """Whether sets of these sketches and sizes can reach the threshold: their symmetric difference is
+    at least the number of differing bits."""
+    differ = sum((F.bit_count(parity_a[i].bitwiseXOR(parity_b[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (na + nb)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (src, dst) among candidate pairs (src, dst), by exact overlap of the whole sets."""
     a = sets.select(F.col("sig").alias("src"), F.col("s").alias("sa"))
@@ -183,8 +192,7 @@ def _cross_pairs(rows: DataFrame, labels: DataFrame, parities: DataFrame, percen
          .select("token", "sig", "label", "n", "pos")).join(parities, "sig")
     a, b = r.alias("a"), r.alias("b")
     fits = _fits(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos"), percent)
-    differ = sum((F.bit_count(F.col("a.parity")[i].bitwiseXOR(F.col("b.parity")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
-    fits = fits & ((100 + percent) * differ <= (100 - percent) * (F.col("a.n") + F.col("b.n")))
+    fits = fits & _alike(F.col("a.parity"), F.col("b.parity"), F.col("a.n"), F.col("b.n"), percent)
     return (a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.sig") < F.col("b.sig"))
                    & (F.col("a.label") != F.col("b.label")) & fits)
             .select(F.col("a.sig").alias("src"), F.col("b.sig").alias("dst")).distinct())
@@ -238,8 +246,10 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     w = Window.partitionBy("token", "class")
     stars = (first.withColumn("class", size_class).withColumn("hub", F.max(F.struct("common", "sig", "n", "pos")).over(w)).where("hub.sig <> sig")
              .where(_fits(F.col("hub.n"), F.col("n"), F.col("hub.pos"), F.col("pos"), percent))
-             .select(F.col("hub.sig").alias("src"), F.col("sig").alias("dst")).distinct())
-    stars = materialize(stars)
+             .select(F.col("hub.sig").alias("src"), F.col("sig").alias("dst"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct())
+    a, b = (parities.select(F.col("sig").alias(c), F.col("parity").alias(p)) for c, p in (("src", "pa"), ("dst", "pb")))
+    stars = materialize(stars.join(a, "src").join(b, "dst").where(_alike(F.col("pa"), F.col("pb"), F.col("na"), F.col("nb"), percent))
+                        .select("src", "dst"))
     sets = whole_sets(stars)
     links = materialize(_verified(stars, sets, percent))
     labels = components(links)

@@ -21,7 +21,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Values of the bytes, A-Z counted as a-z.
 BYTE_VALUE = TABLE[LOWER]
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 

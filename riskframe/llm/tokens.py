@@ -14,7 +14,7 @@ import unicodedata
 
 import numpy as np
 
-CACHE = 160_000
+CACHE = 80_000
 #: The vocabulary's split pattern, written for Python's ``re``.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 ASCII_SEPARATORS = re.compile(r"[\x1c-\x1f]")
