@@ -12,7 +12,8 @@ that a group of thousands of near copies costs no pair per two members: first ev
 against one hub of each prefix shingle and size class (the set of the commonest shingles, as an
 original is among its copies), then only sets of different components of those links are paired.
 Pairs must also pass a bound from parity sketches: sets whose sketches differ in
-d bits differ in at least d shingles. Every link between different components is found, so the components are
+d bits differ in at least d shingles. A sketch of fixed size goes with the prefixes; long sets have
+a second one of about as many bits as shingles, compared before their texts are fetched. Every link between different components is found, so the components are
 exact; links inside a component change nothing and are not listed.
 
 Rows: null text has no words. A document without words has no shingles and links with nothing.
@@ -39,8 +40,9 @@ SKETCH_BITS = 22
 BLOCK_BITS = 16
 #: Partial count tables that one task adds up.
 FAN_IN = 128
-#: Bits of a set's parity sketch.
+#: Bits of a set's parity sketch, and the most bits of the sketch of a long set.
 PARITY_BITS = 512
+MOST_PARITY_BITS = 1 << 22
 
 
 def _set_name(s: np.ndarray) -> int:
@@ -53,15 +55,23 @@ def _prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-def _parity(s: np.ndarray) -> np.ndarray:
+def _parity(s: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
     """Bit i: whether an odd number of shingles hash to i; as 64-bit words."""
-    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _fine_parity(s: np.ndarray) -> np.ndarray | None:
+    """Sketch of a long set: the least power of two of bits that is not below its size."""
+    return _parity(s, min(MOST_PARITY_BITS, 1 << (len(s) - 1).bit_length())) if len(s) > PARITY_BITS else None
+
+
+SCANNED = "doc_id long, sig long, n long, parity array<long>, fine array<long>, block int, counts binary"
+
+
 def _scan(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (doc_id, sig, n, parity) for every document, then one compressed count block each (block, counts)."""
+        """Rows (doc_id, sig, n, parity, fine) for every document, then one compressed count block each (block, counts)."""
         counts, waiting, n = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
 
         def count() -> None:
@@ -79,6 +89,7 @@ def _scan(k: int):
                 "doc_id": b.column("doc_id"), "sig": pa.array([_set_name(s) for s in sets], pa.int64()),
                 "n": pa.array([len(s) for s in sets], pa.int64()),
                 "parity": pa.array([_parity(s) for s in sets], pa.list_(pa.int64())),
+                "fine": pa.array([_fine_parity(s) for s in sets], pa.list_(pa.int64())),
                 "block": pa.nulls(len(sets), pa.int32()), "counts": pa.nulls(len(sets), pa.binary())})
         if waiting:
             count()
@@ -87,8 +98,8 @@ def _scan(k: int):
         rows = [(i, zlib.compress(part.tobytes(), 1)) for i, part in enumerate(np.split(counts, 1 << (SKETCH_BITS - BLOCK_BITS)))
                 if part.any()]
         if rows:
-            null = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": null, "sig": null, "n": null, "parity": pa.nulls(len(rows), pa.list_(pa.int64())),
+            null, no_words = pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict({"doc_id": null, "sig": null, "n": null, "parity": no_words, "fine": no_words,
                                               "block": pa.array([r[0] for r in rows], pa.int32()),
                                               "counts": pa.array([r[1] for r in rows], pa.binary())})
     return run
@@ -168,8 +179,29 @@ def _alike(parity_a, parity_b, na, nb, percent: int):
     return (100 + percent) * differ <= (100 - percent) * (na + nb)
 
 
+def _finely_alike(pairs: DataFrame, fines: DataFrame, percent: int) -> DataFrame:
+    """The pairs (src, dst) that the sketches of long sets don't exclude.
+
+    The larger sketch is folded to the size of the smaller one: sizes that can link are less than
+    a factor of two apart, and so are their sketches.
+    """
+    def half(x):
+        k = F.size(x) / 2
+        return F.zip_with(F.slice(x, F.lit(1), k.cast("int")), F.slice(x, (k + 1).cast("int"), k.cast("int")),
+                          lambda p, q: p.bitwiseXOR(q))
+
+    a, b = (fines.select(F.col("sig").alias(c), F.col("n").alias(n), F.col("fine").alias(f))
+            for c, n, f in (("src", "na", "fa"), ("dst", "nb", "fb")))
+    fold = lambda x, y: F.when(F.size(x) > F.size(y), half(F.col(x))).otherwise(F.col(x))
+    differ = F.aggregate(F.zip_with(fold("fa", "fb"), fold("fb", "fa"), lambda p, q: F.bit_count(p.bitwiseXOR(q))),
+                         F.lit(0), lambda total, x: total + x)
+    alike = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
+    return pairs.join(a, "src", "left").join(b, "dst", "left").where(F.coalesce(alike, F.lit(True))).select("src", "dst")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (src, dst) among candidate pairs (src, dst), by exact overlap of the whole sets."""
+    sets = sets.dropDuplicates(["sig"])
     a = sets.select(F.col("sig").alias("src"), F.col("s").alias("sa"))
     b = sets.select(F.col("sig").alias("dst"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -206,11 +238,12 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     """
     spark = docs.sparkSession
     base = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = materialize(base.mapInArrow(_scan(words), "doc_id long, sig long, n long, parity array<long>, block int, counts binary")
+    scanned = materialize(base.mapInArrow(_scan(words), SCANNED)
                           .withColumn("part", F.spark_partition_id().cast("long")))
     rows = scanned.where("sig is not null").select("doc_id", "sig", "n")
     reps = rows.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     parities = scanned.where("n > 0").groupBy("sig").agg(F.first("parity").alias("parity"))
+    fines = scanned.where(F.col("n") > PARITY_BITS).groupBy("sig").agg(F.first("n").alias("n"), F.first("fine").alias("fine"))
     classes = spark.sparkContext.broadcast(_order_classes(scanned))
 
     def first_order(batches):
@@ -222,12 +255,14 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     first = _shared(base.where("doc_id is not null").mapInArrow(first_order, schema))
 
     def whole_sets(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-        """(sig, s): the whole sets of the documents in ``pairs`` that are not in ``known`` yet."""
+        """(sig, s): the whole sets of the documents in ``pairs`` that are not in ``known`` yet.
+
+        Written as the texts are read, without a shuffle; a few further sets may be among them
+        (false positives of the bitmap), and a set once for each repeated row."""
         named = pairs.select(F.col("src").alias("sig")).union(pairs.select("dst")).distinct()
         if known is not None:
             named = named.join(known.select("sig"), "sig", "left_anti")
-        wanted = materialize(named.join(reps, "sig"))
-        words_of = spark.sparkContext.broadcast(bitmap(wanted, "rep"))
+        words_of = spark.sparkContext.broadcast(bitmap(named.join(reps, "sig"), "rep", 26))
 
         def run(batches):
             for b in batches:
@@ -235,11 +270,10 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
                 for c in pieces([b.filter(pa.array(keep))]):
                     sets = shingle_sets(c.column("text"), words)
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": c.column("doc_id"), "sig": pa.array([_set_name(s) for s in sets], pa.int64()),
+                        "sig": pa.array([_set_name(s) for s in sets], pa.int64()),
                         "s": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
 
-        rows = base.where("doc_id is not null").withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, sig long, s array<long>")
-        return materialize(rows.join(wanted, "sig").where("doc_id = rep").dropDuplicates(["sig"]).select("sig", "s"))
+        return materialize(base.where("doc_id is not null").withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "sig long, s array<long>"))
 
     # first step: one hub for each prefix shingle and size class
     size_class = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)))
@@ -248,8 +282,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
              .where(_fits(F.col("hub.n"), F.col("n"), F.col("hub.pos"), F.col("pos"), percent))
              .select(F.col("hub.sig").alias("src"), F.col("sig").alias("dst"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct())
     a, b = (parities.select(F.col("sig").alias(c), F.col("parity").alias(p)) for c, p in (("src", "pa"), ("dst", "pb")))
-    stars = materialize(stars.join(a, "src").join(b, "dst").where(_alike(F.col("pa"), F.col("pb"), F.col("na"), F.col("nb"), percent))
-                        .select("src", "dst"))
+    stars = stars.join(a, "src").join(b, "dst").where(_alike(F.col("pa"), F.col("pb"), F.col("na"), F.col("nb"), percent)).select("src", "dst")
+    stars = materialize(_finely_alike(stars, fines, percent))
     sets = whole_sets(stars)
     links = materialize(_verified(stars, sets, percent))
     labels = components(links)
@@ -262,12 +296,15 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
             yield _rows([flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], b.column("sig").to_numpy(),
                         classes.value, 1, percent)
 
-    pairs = materialize(_cross_pairs(first, labels, parities, percent))
+    pairs = materialize(_finely_alike(_cross_pairs(first, labels, parities, percent), fines, percent))
     sets = sets.unionByName(whole_sets(pairs, sets))
-    left = pairs.select(F.col("src").alias("sig")).union(pairs.select(F.col("dst").alias("sig"))).distinct()
-    second = _shared(sets.join(left, "sig", "left_semi").select("sig", "s").mapInArrow(second_order, schema))
-    pairs = pairs.join(_cross_pairs(second, labels, parities, percent), ["src", "dst"], "left_semi")
-    more = _verified(pairs, sets, percent)
+
+    def of_pairs(pairs: DataFrame) -> DataFrame:
+        return sets.join(pairs.select(F.col("src").alias("sig")).union(pairs.select("dst")).distinct(), "sig", "left_semi")
+
+    second = _shared(of_pairs(pairs).select("sig", "s").mapInArrow(second_order, schema))
+    pairs = materialize(pairs.join(_cross_pairs(second, labels, parities, percent), ["src", "dst"], "left_semi"))
+    more = _verified(pairs, of_pairs(pairs), percent)
     # a link of the second step joins two components of the first
     top = components(_relabel(_relabel(more, "src", labels), "dst", labels))
     group = _relabel(_relabel(reps.withColumn("group", F.col("sig")), "group", labels), "group", top)
