@@ -96,6 +96,8 @@ RISK_WEIGHT_PRESETS = {
     # five-factor contract (worked number 77.35)
     "five_factor": {"cvss": 0.30, "epss": 0.25, "kev": 0.25, "asset_criticality": 0.15, "exposure": 0.05},
 }
+# Largest exploitability subscore of the CVSS v3 formula (divides it to 0..1).
+EXPLOITABILITY_MAX = 3.9
 # Contextual multipliers (config preset).
 ASSET_MULTIPLIERS = {"tier_1_mission_critical": 1.30, "tier_2_business_operational": 1.10,
                      "tier_3_internal_low": 0.80}

@@ -65,8 +65,9 @@ def risk_columns(components: dict[str, Column], weights: dict[str, float] | None
 
 
 def risk_components(severity_label=None, kev=None, epss=None, asset=None, exposure=None,
-                    confidence=None, severity_ordinal=None, scale: str = "0-4") -> dict[str, Column]:
-    """Clipped components with the batch defaults (asset/exposure/confidence 0.5, epss 0)."""
+                    confidence=None, severity_ordinal=None, scale: str = "0-4", exploitability=None) -> dict[str, Column]:
+    """Clipped components with the batch defaults (asset/exposure/confidence 0.5, epss and exploitability 0);
+    ``exploitability`` is the CVSS subscore, divided by its largest value."""
     if severity_label is not None:
         sev = severity_component(severity_label)
     elif severity_ordinal is not None:
@@ -82,11 +83,13 @@ def risk_components(severity_label=None, kev=None, epss=None, asset=None, exposu
         "exposure": clip01(F.coalesce(as_col(exposure), F.lit(0.5))) if exposure is not None else F.lit(0.5),
         "model_confidence": clip01(F.coalesce(as_col(confidence), F.lit(0.5)))
         if confidence is not None else F.lit(0.5),
+        "exploitability": clip01(F.coalesce(as_col(exploitability), F.lit(0.0)) / F.lit(K.EXPLOITABILITY_MAX))
+        if exploitability is not None else F.lit(0.0),
     }
 
 
 def with_risk_score(df: DataFrame, weights=None, tiers=None, **component_args) -> DataFrame:
-    """H26-H29 (weights: constants.RISK_WEIGHT_PRESETS, incl. the five-factor variant H32): df -> df: add the six components, contributions, score and tier."""
+    """H26-H29 (weights: constants.RISK_WEIGHT_PRESETS, incl. the four- and five-factor variants H31/H32): df -> df: add the weighted components, contributions, score and tier."""
     comps = risk_components(**component_args)
     w = normalise_weights(weights or K.RISK_WEIGHTS)
     comps = {k: comps[k] for k in w}
@@ -112,6 +115,14 @@ def default_score_from_cvss(score) -> Column:
     return round_half_away(F.least(F.lit(0.95), F.greatest(F.lit(0.02), (s / 10.0) * (s / 10.0) * 0.45)), 3)
 
 
+def exploited_flag(score, *flags) -> Column:
+    """Any given flag is true, or the score is at least 9.4."""
+    out = F.coalesce(as_col(score).cast("double") >= 9.4, F.lit(False))
+    for f in flags:
+        out = out | F.coalesce(as_col(f), F.lit(False))
+    return out
+
+
 def safe_double(c, default: float) -> Column:
     """Null / unparsable / NaN / infinite -> default."""
     x = as_col(c).cast("string").try_cast("double") if not isinstance(c, (int, float)) else F.lit(float(c))
@@ -177,12 +188,12 @@ def contextual_multiplier(asset_tier, exposure_class) -> Column:
     return a * e
 
 
-def recent_or_latest(df: DataFrame, ts: str, since: str, n: int = 200) -> DataFrame:
+def recent_or_latest(df: DataFrame, ts: str, since: str, n: int = 200, tie: tuple[str, ...] = ()) -> DataFrame:
     """Rows at or after ``since``; when there are none, the ``n`` most recent rows instead.
-    Declarative: one aggregate (latest instant) decides which branch returns rows."""
+    ``tie`` names columns that order rows of one instant. Declarative: one aggregate (latest instant) decides which branch returns rows."""
     t = F.col(ts).cast("timestamp")
     s = F.lit(since).cast("timestamp")
     latest = df.agg(F.max(t).alias("__latest"))
     recent = df.where(t >= s)
-    fallback = attach(df.orderBy(t.desc()).limit(n), latest).where(F.col("__latest") < s).drop("__latest")
+    fallback = attach(df.orderBy(t.desc(), *tie).limit(n), latest).where(F.col("__latest") < s).drop("__latest")
     return recent.unionByName(fallback)

@@ -35,14 +35,31 @@ def unpivot(ref: DataFrame, cur: DataFrame, columns: list[str], kind: str = "dou
     return u
 
 
-def psi(long: DataFrame, bins: int = 10, exact: bool = True, zero_fill: float = K.PSI_ZERO_FILL) -> DataFrame:
+def value_psi(long: DataFrame, zero_fill: float = K.PSI_ZERO_FILL) -> DataFrame:
+    """PSI per feature over the counts of each distinct value (for flags): one aggregate per value, then per feature."""
+    c = long.groupBy("feature", "value").agg(*[F.count_if(F.col("side") == i).cast("double").alias(f"c{i}") for i in (0, 1)])
+    n = c.groupBy("feature").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
+    r, q = (F.when(F.col(f"c{i}") == 0, F.lit(zero_fill)).otherwise(F.col(f"c{i}")) / F.nullif(F.col(f"n{i}"), F.lit(0.0)) for i in (0, 1))
+    return c.join(n, "feature").groupBy("feature").agg(F.sum((q - r) * F.log(q / r)).alias("psi")) \
+        .select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
+
+
+def psi(long: DataFrame, bins: int = 10, exact: bool = True, zero_fill: float = K.PSI_ZERO_FILL,
+        categorical_flags: bool = False) -> DataFrame:
     """D18 per feature: decile edges of the reference (linear percentile), de-duplicated,
     outer edges -inf/+inf, counts per [lo, hi), zero count -> ``zero_fill`` (a count,
     divided by n), PSI = sum (c - r) ln(c / r). Fewer than two edges -> 0.
 
     ``exact=False`` uses ``percentile_approx`` (bounded memory per feature) instead
     of the exact percentile, which keeps one count per distinct value.
+    Deciles of a 0/1 flag fall into one bin, so its PSI is 0; with ``categorical_flags``
+    features that hold only 0 and 1 are compared by value counts instead.
     """
+    if categorical_flags:
+        kind = long.groupBy("feature").agg(F.bool_and(F.col("value").isin(0.0, 1.0)).alias("__flag"))
+        marked = long.join(kind, "feature")
+        other = psi(marked.where(~F.col("__flag")).drop("__flag"), bins, exact, zero_fill)
+        return value_psi(marked.where("__flag").drop("__flag"), zero_fill).unionByName(other)
     probs = [i / bins for i in range(bins + 1)]
     ref = long.where(F.col("side") == 0)
     pct = F.percentile("value", probs) if exact else F.percentile_approx("value", probs, 10000)

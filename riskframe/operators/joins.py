@@ -63,16 +63,17 @@ def asof_join(left: DataFrame, history: DataFrame, key: str, left_time: str, his
       3. per (key, bucket) last history value -> tiny table, carried forward
          across buckets with a window over bucket summaries only;
       4. rows with no history earlier in their bucket take the carried value.
+    Times are instants (a date is its midnight), so two rows of one day keep their order.
     Ties: history at the same instant as the left row counts (<=), unless ``strict`` (<).
     """
     payload = F.struct(*[F.col(c) for c in left.columns])
-    q = left.select(F.col(key).alias("__k"), F.col(left_time).cast("date").alias("__t"),
+    q = left.select(F.col(key).alias("__k"), F.col(left_time).cast("timestamp").alias("__t"),
                     F.lit(1).alias("__q"), F.lit(None).cast("double").alias("__v"), payload.alias("__row"))
-    h = history.select(F.col(key).alias("__k"), F.col(hist_time).cast("date").alias("__t"),
+    h = history.select(F.col(key).alias("__k"), F.col(hist_time).cast("timestamp").alias("__t"),
                        F.lit(0).alias("__q"), F.col(value).cast("double").alias("__v"),
                        F.lit(None).cast(q.schema["__row"].dataType).alias("__row"))
     u = q.unionByName(h).withColumn(
-        "__b", F.floor(F.unix_date("__t") / F.lit(bucket_days)).cast("long"))
+        "__b", F.floor(F.unix_date(F.to_date("__t")) / F.lit(bucket_days)).cast("long"))
     # at equal instants history sorts before the left row (<=) or after it (strict <)
     tie = F.col("__q").desc() if strict else F.col("__q").asc()
     w_in = (Window.partitionBy("__k", "__b").orderBy("__t", tie)
@@ -217,11 +218,11 @@ def batch_risk_inputs(ids: DataFrame, predictions: DataFrame | None = None, scor
 
 
 def disagreement(log: DataFrame, key: str, version_col: str, pred_col: str,
-                 champion: str, challenger: str) -> DataFrame:
-    """Per id, champion vs challenger prediction (latest row per (id, version)) side by side."""
+                 champion: str, challenger: str, order: tuple[str, ...] = ("predicted_at",)) -> DataFrame:
+    """Per id, champion vs challenger prediction (last row by ``order`` per (id, version)) side by side."""
     def side(v, name):
         return (log.where(F.col(version_col) == v).groupBy(key)
-                .agg(F.max_by(pred_col, "predicted_at").alias(name)))
+                .agg(F.max_by(F.col(pred_col), F.struct(*order)).alias(name)))
     a = side(champion, "champion_prediction")
     b = side(challenger, "challenger_prediction")
     return a.join(b, key, "inner").withColumn(
@@ -238,8 +239,9 @@ def apply_feedback(labels: DataFrame, feedback: DataFrame, key: str = "cve_id",
 
 
 def remediation_list(asset_map: DataFrame, risk: DataFrame, k: int = 10, asset_key: str = "asset_id",
-                     key: str = "cve_id", score: str = "risk_score") -> DataFrame:
-    """Asset -> CVE map joined with risk, ranked per asset, top k per asset."""
+                     key: str = "cve_id", score: str = "risk_score", tie: str | None = None) -> DataFrame:
+    """Asset -> CVE map joined with risk, ranked per asset, top k per asset
+    (ties by ``tie``, else by the join key)."""
     j = asset_map.join(risk, key, "inner")
-    w = Window.partitionBy(asset_key).orderBy(F.col(score).desc(), F.col(key))
+    w = Window.partitionBy(asset_key).orderBy(F.col(score).desc(), F.col(tie or key))
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

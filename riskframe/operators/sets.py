@@ -33,8 +33,11 @@ def snapshot_diff(prev: DataFrame, cur: DataFrame, key: str = "cve_id", compare:
 
 def append_new(history: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``batch`` to append to an append-only history unique on ``keys``:
-    de-duplicated within the batch (first by all columns) and anti-joined against history."""
-    b = batch.dropDuplicates(keys)
+    de-duplicated within the batch (the least of the other columns, in their order) and anti-joined
+    against history."""
+    rest = [c for c in batch.columns if c not in keys]
+    b = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__row")).select(*keys, "__row.*").select(*batch.columns) \
+        if rest else batch.select(*keys).distinct()
     return b.join(history.select(*keys), keys, "left_anti")
 
 

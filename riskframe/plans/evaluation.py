@@ -12,6 +12,7 @@ from ..functions._util import round_half_away as rnd
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import metrics as M
+from ..operators.scalars import attach
 from ..session import read_table
 from . import scoring
 from . import sqlfrag as S
@@ -266,7 +267,44 @@ def _gate_sql(th=None) -> str:
     return GATE_METRICS_SQL + "\n" + "\nUNION ALL\n".join(parts)
 
 
+def _champion_sql() -> str:
+    values = ", ".join(f"coalesce(CAST({m} AS DOUBLE), 0.0)" for m in K.CHAMPION_METRICS)
+    lower = ", ".join(f"'{m}'" for m in K.LOWER_IS_BETTER)
+    wins = "(SELECT count(*) FROM j WHERE delta > 0)"
+    return GATE_METRICS_SQL + f""",
+au AS ({AUC_OVR_SQL}),
+m AS (SELECT gm.*, au.roc_auc_ovr_macro AS roc_auc FROM gm JOIN au USING (model_version)),
+mm AS (SELECT model_version, unnest([{", ".join(f"'{m}'" for m in K.CHAMPION_METRICS)}]) AS metric, unnest([{values}]) AS v FROM m),
+j AS (SELECT a.metric, a.v AS champion, b.v AS challenger, CASE WHEN a.metric IN ({lower}) THEN a.v - b.v ELSE b.v - a.v END AS delta
+  FROM mm a JOIN mm b USING (metric) WHERE a.model_version = 'v0' AND b.model_version = 'v1')
+SELECT metric, {", ".join(S.round_dp(c, R9) + f" AS {c}" for c in ("champion", "challenger", "delta"))}, delta > 0 AS challenger_better,
+  abs(delta) >= 0.01 AS significant, {wins} AS challenger_wins,
+  CASE WHEN {wins} > {len(K.CHAMPION_METRICS) // 2} THEN 'PROMOTE' ELSE 'KEEP_CHAMPION' END AS recommendation FROM j
+"""
+
+
+def version_disagreement(spark, sf_dir):
+    """Last prediction of each version for the same scored id (eight log rows an id): pair matrix and rate."""
+    log = X.predictions_log(spark, sf_dir).withColumn("scored_id", F.floor(F.col("event_id") / 8))
+    d = J.disagreement(log, "scored_id", "model_version", "prediction", "v0", "v1", order=("predicted_at", "event_id"))
+    m = d.groupBy("champion_prediction", "challenger_prediction").agg(F.count(F.lit(1)).alias("n"), F.count_if("disagree").alias("nd"))
+    return attach(m, m.agg(F.sum("n").alias("total"), F.sum("nd").alias("bad"))).select(
+        "champion_prediction", "challenger_prediction", "n", rnd(F.col("bad") / F.col("total"), R9).alias("disagreement_rate"))
+
+
+DISAGREEMENT_SQL = X.with_views("predictions_log") + f""",
+l AS (SELECT floor(event_id / 8) AS scored_id, model_version, prediction,
+  row_number() OVER (PARTITION BY floor(event_id / 8), model_version ORDER BY predicted_at DESC, event_id DESC) AS at FROM predictions_log),
+d AS (SELECT a.prediction AS champion_prediction, b.prediction AS challenger_prediction FROM l a JOIN l b USING (scored_id)
+  WHERE a.at = 1 AND b.at = 1 AND a.model_version = 'v0' AND b.model_version = 'v1')
+SELECT champion_prediction, challenger_prediction, count(*) AS n,
+  {S.round_dp("(SELECT count(*) FILTER (WHERE champion_prediction <> challenger_prediction) / count(*) FROM d)", R9)} AS disagreement_rate
+FROM d GROUP BY ALL"""
+
+
 QUERIES = {
+    "champion_challenger": (champion_challenger, _champion_sql()),
+    "version_disagreement": (version_disagreement, DISAGREEMENT_SQL),
     "confusion_by_version": (confusion_by_version,
                              CM_SQL + "SELECT model_version, truth, predicted, n FROM cm"),
     "class_report": (class_report, PER_CLASS_SQL + "SELECT model_version, label, support, n_predicted, tp, " +

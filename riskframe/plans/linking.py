@@ -45,10 +45,9 @@ def kev_label_window(spark, sf_dir):
     """Documented 90-day window label and the listing lag for every CVE."""
     c = X.cves(spark, sf_dir).select("cve_id", "published_date")
     r = J.exploitation_label(c, X.kev_history(spark, sf_dir), window_days=90, mode="window")
-    r2 = J.exploitation_label(c, X.kev_history(spark, sf_dir), mode="any_listing") \
-          .select("cve_id", F.col("kev_label").alias("kev_label_any"))
-    return r.join(r2, "cve_id").select("cve_id", "kev_added_date", rnd("days_to_kev_listing", R9).alias("days_to_kev_listing"),
-                                      "kev_label", "kev_label_any")
+    # the any-listing label follows from the same join: it is whether a listing was found
+    return r.select("cve_id", "kev_added_date", rnd("days_to_kev_listing", R9).alias("days_to_kev_listing"),
+                    "kev_label", F.col("kev_added_date").isNotNull().cast("int").alias("kev_label_any"))
 
 
 KEV_LABEL_SQL = X.with_views("cves", "kev_history") + f""",
@@ -142,9 +141,8 @@ def remediation(spark, sf_dir, k: int = 3):
     """Each customer's CVEs (asset -> CVE map via orders) ranked by risk, top k per asset."""
     o = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("asset_id"), "o_orderkey")
     risk = scoring.scored_cves(spark, sf_dir).select("cve_id", "o_orderkey", "risk_score_raw", "risk_score")
-    amap = o.join(risk.select("o_orderkey", "cve_id"), "o_orderkey").select("asset_id", "cve_id")
-    r = J.remediation_list(amap, risk.select("cve_id", "risk_score_raw", "risk_score"), k=k,
-                           score="risk_score_raw")
+    # the unique order key joins map and risk once; ids are not joined a second time
+    r = J.remediation_list(o, risk, k=k, key="o_orderkey", score="risk_score_raw", tie="cve_id")
     return r.select("asset_id", "cve_id", "risk_score", "rank")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions._util import round_half_away as rnd
 from ..operators import drift as D
 from ..session import read_table
@@ -45,6 +46,24 @@ def psi_events(spark, sf_dir):
     return D.psi(numeric_long(spark, sf_dir)).select("feature", rnd("psi", R9).alias("psi"))
 
 
+def psi_flags(spark, sf_dir):
+    """D18 with ``categorical_flags``: 0/1 features by value counts."""
+    flags = [F.when(F.col("value") >= 50, 1.0).otherwise(0.0).alias("is_large"), (F.col("user_id") % 2).cast("double").alias("is_odd_user"),
+             F.when(F.col("ts") >= F.lit("2024-01-02").cast("timestamp_ntz"), 1.0).otherwise(0.0).alias("after_first_day")]
+    ref, cur = (s.select(*flags) for s in _sides(spark, sf_dir))
+    r = D.psi(D.unpivot(ref, cur, ["is_large", "is_odd_user", "after_first_day"]), categorical_flags=True)
+    return r.select("feature", rnd("psi", R9).alias("psi"))
+
+
+PSI_FLAGS_SQL = f"""WITH l AS (SELECT ts >= TIMESTAMP '{CUT}' AS cur, unnest(['is_large', 'is_odd_user', 'after_first_day']) AS feature,
+  unnest([CASE WHEN value >= 50 THEN 1 ELSE 0 END, CAST(user_id % 2 AS INTEGER), CASE WHEN ts >= TIMESTAMP '2024-01-02' THEN 1 ELSE 0 END]) AS v FROM events),
+c AS (SELECT feature, v, count(*) FILTER (WHERE NOT cur) AS c0, count(*) FILTER (WHERE cur) AS c1 FROM l GROUP BY ALL),
+n AS (SELECT feature, sum(c0) AS n0, sum(c1) AS n1 FROM c GROUP BY ALL),
+p AS (SELECT feature, CASE WHEN c0 = 0 THEN {K.PSI_ZERO_FILL}::DOUBLE ELSE c0 END / n0 AS r, CASE WHEN c1 = 0 THEN {K.PSI_ZERO_FILL}::DOUBLE ELSE c1 END / n1 AS q
+  FROM c JOIN n USING (feature))
+SELECT feature, {S.round_dp("sum((q - r) * ln(q / r))", R9)} AS psi FROM p GROUP BY feature"""
+
+
 def ks_events(spark, sf_dir):
     k = D.ks(numeric_long(spark, sf_dir))
     return k.select("feature", "n_ref", "n_cur", rnd("ks_statistic", R9).alias("ks_statistic"))
@@ -148,6 +167,7 @@ SELECT {S.round_dp("dist", R9)} AS cosine_distance_raw, {S.round_dp("dist", 4)}
 """
 
 QUERIES = {
+    "psi_flags": (psi_flags, PSI_FLAGS_SQL),
     "psi_events": (psi_events, PSI_SQL),
     "ks_events": (ks_events, KS_SQL),
     "moments_events": (moments_events, MOMENTS_SQL),

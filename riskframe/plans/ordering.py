@@ -96,12 +96,12 @@ def score_trend(spark, sf_dir):
 TREND_SQL = X.with_views("epss_history") + f""",
 g AS (SELECT cve_id, CAST(count(*) AS HUGEINT) AS n,
   sum(CAST(date_diff('day', DATE '1970-01-01', snapshot_date) AS HUGEINT)) AS sx,
-  sum(CAST(round(score * 1000000.0, 0) AS HUGEINT)) AS sy,
-  sum(CAST(date_diff('day', DATE '1970-01-01', snapshot_date) AS HUGEINT) * CAST(round(score * 1000000.0, 0) AS HUGEINT)) AS sxy,
+  sum(CAST(round(score * 1000000000.0, 0) AS HUGEINT)) AS sy,
+  sum(CAST(date_diff('day', DATE '1970-01-01', snapshot_date) AS HUGEINT) * CAST(round(score * 1000000000.0, 0) AS HUGEINT)) AS sxy,
   sum(CAST(date_diff('day', DATE '1970-01-01', snapshot_date) AS HUGEINT) * CAST(date_diff('day', DATE '1970-01-01', snapshot_date) AS HUGEINT)) AS sxx,
   max_by(score, snapshot_date) AS latest, max(snapshot_date) AS latest_date FROM epss_history GROUP BY cve_id),
 s AS (SELECT *, CAST(n * sxy - sx * sy AS DOUBLE) AS num, CAST(n * sxx - sx * sx AS DOUBLE) AS den FROM g)
-SELECT cve_id, {S.round_dp("CASE WHEN den <> 0 THEN num / den / 1000000.0 END", R9)} + 0.0 AS slope_per_day,
+SELECT cve_id, {S.round_dp("CASE WHEN den <> 0 THEN num / den / 1000000000.0 END", R9)} + 0.0 AS slope_per_day,
   CAST(n AS BIGINT) AS n, latest, latest_date FROM s"""
 
 

@@ -11,6 +11,7 @@ from .. import fixtures as X
 from ..functions import cvss as CV
 from ..functions import risk as R
 from ..operators import joins as J
+from ..session import read_table
 from . import sqlfrag as S
 
 RISK_OUT = ["cve_id", "published_date", "severity", "attack_vector", "in_kev", "epss_score",
@@ -92,7 +93,81 @@ def cvss_parse_sql() -> str:
     return X.with_views("cves") + "SELECT " + S.select_list(cols) + " FROM cves"
 
 
+def batch_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed risk inputs (logged class and confidence, latest score, catalog, asset and exposure maps, H34)
+    with the batch defaults, scored."""
+    c = X.cves(spark, sf_dir).select("cve_id", "o_orderkey")
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    known = c.join(o, "o_orderkey")
+    log = X.predictions_log(spark, sf_dir).groupBy(F.col("event_id").alias("o_orderkey")).agg(
+        F.max_by("prediction", "predicted_at").alias("predicted_label"), F.max_by("confidence", "predicted_at").alias("confidence"))
+    preds = c.join(log, "o_orderkey").select("cve_id", "predicted_label", "confidence")
+    latest = J.latest_value(X.epss_history(spark, sf_dir), out="epss_score").select("cve_id", "epss_score")
+    assets = known.where(F.col("o_custkey") % 3 == 0).select("cve_id", ((F.col("o_custkey") % 10) / F.lit(10.0)).alias("asset_criticality"))
+    category = F.when(F.col("o_orderstatus") == "F", "INTERNET_FACING").when(F.col("o_orderstatus") == "O", "INTERNAL_RESTRICTED")
+    exposure = known.where(F.col("o_custkey") % 7 != 0).select("cve_id", R.exposure_from_category(category).alias("exposure_score"))
+    x = J.batch_risk_inputs(c.select("cve_id"), preds, latest, X.kev_history(spark, sf_dir), assets, exposure)
+    x = R.with_risk_score(x, severity_label="predicted_label", kev="in_kev", epss="epss_score", asset="asset_criticality",
+                          exposure="exposure_score", confidence="confidence")
+    return x.select("cve_id", "predicted_label", "confidence", "epss_score", "in_kev", "asset_criticality", "exposure_score",
+                    "risk_score_raw", "risk_score", "risk_tier")
+
+
+def _batch_risk_sql() -> str:
+    comps = {"cvss": S.severity_component("predicted_label"), "kev": "CASE WHEN in_kev THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END",
+             "epss": S.clip01("epss_score"), "asset_criticality": S.clip01("asset_criticality"), "exposure": S.clip01("exposure_score"),
+             "model_confidence": S.clip01("confidence")}
+    risk = {k: v for k, v in S.risk_select(comps).items() if not k.startswith("contribution")}
+    return X.with_views("cves", "epss_history", "kev_history", "predictions_log") + f""",
+latest AS (SELECT cve_id, max_by(score, snapshot_date) AS s FROM epss_history GROUP BY cve_id),
+kev AS (SELECT DISTINCT cve_id FROM kev_history),
+x AS (SELECT c.cve_id, coalesce(p.prediction, 'MEDIUM') AS predicted_label, coalesce(p.confidence, 0.5) AS confidence,
+  coalesce(l.s, 0.0) AS epss_score, k.cve_id IS NOT NULL AS in_kev,
+  CASE WHEN o_custkey % 3 = 0 THEN (o_custkey % 10) / 10.0E0 ELSE 0.5E0 END AS asset_criticality,
+  CASE WHEN o_custkey % 7 = 0 THEN 0.5E0 WHEN o_orderstatus = 'F' THEN 1.0E0 WHEN o_orderstatus = 'O' THEN 0.5E0 ELSE 0.2E0 END AS exposure_score
+  FROM cves c JOIN orders o USING (o_orderkey) LEFT JOIN predictions_log p ON p.event_id = c.o_orderkey
+  LEFT JOIN latest l ON l.cve_id = c.cve_id LEFT JOIN kev k ON k.cve_id = c.cve_id)
+SELECT *, {S.select_list(risk)} FROM x"""
+
+
+def risk_four_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four-weight preset (severity, exploitability subscore, exploited, score)."""
+    x = scored_cves(spark, sf_dir).select("cve_id", "severity", "in_kev", "epss_score", ((F.col("o_orderkey") % 40) / F.lit(10.0)).alias("subscore"))
+    x = R.with_risk_score(x, weights=K.RISK_WEIGHT_PRESETS["four_factor"], severity_label="severity", kev="in_kev",
+                          epss="epss_score", exploitability="subscore")
+    return x.select("cve_id", "subscore", "risk_score_raw", "risk_score", "risk_tier")
+
+
+def _four_factor_sql() -> str:
+    comps = {"cvss": S.severity_component("severity"), "exploitability": S.clip01(f"subscore / {K.EXPLOITABILITY_MAX}::DOUBLE"),
+             "kev": "CASE WHEN in_kev THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END", "epss": S.clip01("epss_score")}
+    risk = {k: v for k, v in S.risk_select(comps, K.RISK_WEIGHT_PRESETS["four_factor"]).items() if not k.startswith("contribution")}
+    return _scored_sql() + f""",
+f AS (SELECT s.cve_id, s.severity, s.in_kev, s.epss_score, (c.o_orderkey % 40) / 10.0E0 AS subscore FROM scored s JOIN cves c USING (cve_id))
+SELECT cve_id, subscore, {S.select_list(risk)} FROM f"""
+
+
+def default_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score given as text (null, junk or NaN -> 5.0), its default exploit score and exploited flag."""
+    c = J.flag_membership(X.cves(spark, sf_dir), X.kev_history(spark, sf_dir), out="in_kev")
+    kind = F.col("o_orderkey") % 9
+    text = F.when(kind == 0, "NaN").when(kind == 1, "n/a").when(kind == 2, F.lit(None)).otherwise(F.col("base_score").cast("string"))
+    c = c.withColumn("score", R.safe_double(text, 5.0))
+    return c.select("cve_id", "score", R.default_score_from_cvss("score").alias("default_epss"), R.exploited_flag("score", "in_kev").alias("exploited"))
+
+
+DEFAULT_SCORES_SQL = X.with_views("cves", "kev_history") + f""",
+t AS (SELECT cve_id, CASE o_orderkey % 9 WHEN 0 THEN 'NaN' WHEN 1 THEN 'n/a' WHEN 2 THEN NULL ELSE CAST(base_score AS VARCHAR) END AS txt,
+  cve_id IN (SELECT cve_id FROM kev_history) AS in_kev FROM cves),
+s AS (SELECT cve_id, in_kev, coalesce(CASE WHEN isfinite(try_cast(txt AS DOUBLE)) THEN try_cast(txt AS DOUBLE) END, 5.0) AS score FROM t)
+SELECT cve_id, score, {S.round_dp("least(0.95E0, greatest(0.02E0, (score / 10.0E0) * (score / 10.0E0) * 0.45E0))", 3)} AS default_epss,
+  in_kev OR score >= 9.4 AS exploited FROM s"""
+
+
 QUERIES = {
+    "batch_risk": (batch_risk, _batch_risk_sql()),
+    "risk_four_factor": (risk_four_factor, _four_factor_sql()),
+    "default_scores": (default_scores, DEFAULT_SCORES_SQL),
     "risk_top_k": (risk_top_k, risk_top_k_sql()),
     "risk_scores": (risk_scores, risk_scores_sql()),
     "cvss_parse": (cvss_parse, cvss_parse_sql()),

@@ -325,14 +325,14 @@ SELECT 'epss' AS source, (SELECT count(*) FROM b) AS records_fetched, (SELECT co
 def recent_or_latest(spark, sf_dir):
     """Log rows newer than NOW - 7 days; the fallback branch (most recent 200) only fires when empty."""
     log = X.predictions_log(spark, sf_dir)
-    a = R.recent_or_latest(log, "predicted_at", "2024-01-24 00:00:00", 200).select("event_id")
-    b = R.recent_or_latest(log, "predicted_at", "2030-01-01 00:00:00", 200).select("event_id")
+    a = R.recent_or_latest(log, "predicted_at", "2024-01-24 00:00:00", 200, ("event_id",)).select("event_id")
+    b = R.recent_or_latest(log, "predicted_at", "2030-01-01 00:00:00", 200, ("event_id",)).select("event_id")
     return a.withColumn("branch", F.lit("recent")).unionByName(b.withColumn("branch", F.lit("fallback")))
 
 
 RECENT_FB_SQL = X.with_views("predictions_log") + """
 SELECT event_id, 'recent' AS branch FROM predictions_log WHERE predicted_at >= TIMESTAMP '2024-01-24 00:00:00'
-UNION ALL SELECT event_id, 'fallback' FROM (SELECT event_id FROM predictions_log ORDER BY predicted_at DESC LIMIT 200)"""
+UNION ALL SELECT event_id, 'fallback' FROM (SELECT event_id FROM predictions_log ORDER BY predicted_at DESC, event_id LIMIT 200)"""
 
 
 def first_scored(spark, sf_dir, n: int = 300):
