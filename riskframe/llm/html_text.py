@@ -1,7 +1,8 @@
 """Main text of web pages from standard-library parser events.
 
 One pass over the events of ``html.parser`` builds a page's lines: one per block element, with its
-text, the tags in it and where it stands. Menus, headers, footers, sidebars, notices, adverts,
+text, the tags in it and where it stands; inline elements leave a line whole, also those left out of
+it. Menus, headers, footers, sidebars, notices, adverts,
 forms, comments, scripts and styles are left out by element, role and the words of class and id. For
 the remaining lines the text-to-tag ratios are smoothed by a Gaussian over neighbouring lines and
 split by two-means clustering; lines of the high cluster mark content. A page that names its article
@@ -31,7 +32,9 @@ APART = 3.0
 KERNEL = [math.exp(-d * d / (2 * SIGMA ** 2)) for d in range(REACH + 1)]
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CLOSES_P = BLOCKS - {"body", "html", "head"}
+CLOSES_P = BLOCKS - {"body", "html", "head", "title", "option", "optgroup", "legend"}
+#: A block in one of these leaves a paragraph around it open.
+HOLDS = frozenset("noscript template button select iframe object canvas audio video".split())
 LEFT_OUT = frozenset("head title script style noscript template nav footer aside form menu dialog button select option textarea input iframe object svg canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 NAMES = frozenset("ad ads adbox advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent notice notices comment comments disqus respond share sharing social related newsletter subscribe signup popup modal login toolbar pagination pager widget widgets".split())
@@ -55,12 +58,12 @@ class _Lines(HTMLParser):
     def updatepos(self, i, j):
         return j  # nobody asks for line numbers
 
+    def _out(self) -> bool:
+        return bool(self.open) and self.open[-1][1]
+
     def _flush(self) -> None:
-        if not self.parts:
-            self.tags = 0
-            return
         text = " ".join("".join(self.parts).split())
-        if text and not (self.open and self.open[-1][1]):
+        if text:
             self.lines.append((text, self.tags, self.open[-1][2] if self.open else 0))
         self.parts, self.tags = [], 0
 
@@ -76,16 +79,18 @@ class _Lines(HTMLParser):
                 or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true")
 
     def handle_starttag(self, tag, attrs):
-        self.tags += 1
-        if tag == "br":
+        inside = self._out()
+        if tag == "br" and not inside:
             self.parts.append("\n")
-        if tag in BLOCKS:
+        if tag in BLOCKS and (not inside or tag == "body"):
+            self.tags += 1
             self._flush()
         if tag == "body":
             self.open, self.paragraphs = [x for x in self.open if x[0] == "html"], 0
         if self.paragraphs and tag in CLOSES_P:
-            self._close("p", CLOSES_P - {"p"})
+            self._close("p", CLOSES_P - {"p"} | HOLDS)
         if tag in VOID:
+            self.tags += tag not in BLOCKS and not inside
             return
         attrs = dict(attrs)
         self.paragraphs += tag == "p"
@@ -93,7 +98,11 @@ class _Lines(HTMLParser):
         if not out and not region and (tag in REGION or (attrs.get("role") or "").lower() == "main"):
             self.regions += 1
             region = self.regions
-        self.open.append((tag, out or self._left_out(tag, attrs, region), region))
+            if tag not in BLOCKS:
+                self._flush()
+        left_out = out or self._left_out(tag, attrs, region)
+        self.tags += tag not in BLOCKS and not left_out
+        self.open.append((tag, left_out, region))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -104,7 +113,10 @@ class _Lines(HTMLParser):
         """Close the innermost open ``tag`` and all in it; look no further out than elements ``within``."""
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                self._flush()
+                around = [self.open[i - 1] if i else ("", False, 0), *self.open[i:-1]]
+                # inline elements and what stands in left-out ones do not end a line
+                if any(not x[1] and (y[0] in BLOCKS or x[2] != y[2]) for x, y in zip(around, self.open[i:], strict=True)):
+                    self._flush()
                 self.paragraphs -= sum(x[0] == "p" for x in self.open[i:])
                 del self.open[i:]
                 return
@@ -112,14 +124,16 @@ class _Lines(HTMLParser):
                 return
 
     def handle_endtag(self, tag):
-        self.tags += 1
-        if tag in BLOCKS:
-            self._flush()
-        # a stray end tag does not reach out of the block it stands in
-        self._close(tag, frozenset() if tag in BLOCKS and tag != "p" else BLOCKS - {"p"})
+        if not self._out():
+            self.tags += 1
+            if tag in BLOCKS:
+                self._flush()
+        # a stray inline end tag does not reach out of the block it stands in
+        self._close(tag, frozenset() if tag in BLOCKS | LEFT_OUT and tag != "p" else BLOCKS - {"p"})
 
     def handle_data(self, data):
-        self.parts.append(data)
+        if not self._out():
+            self.parts.append(data)
 
     def close(self):
         super().close()

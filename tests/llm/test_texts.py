@@ -115,6 +115,28 @@ def test_main_text(html, want):
     assert html_text.main_text(html) == want
 
 
+@pytest.mark.parametrize("inside,want", [
+    ("<p>Before <script>x</script> after</p>", "Before after"),
+    ("<p>a <b>b</b>, <a href=/>c</a>.</p>", "a b, c."),
+    ("<p>Before <svg><title>icon</title><path d=M0 /></svg> after</p><p>Next</p>", "Before after Next"),
+    ("<p>Before <span class=ad>Buy <b>now</b></span>after <a class=share>Share</a>end</p>", "Before after end"),
+    ("<p>Before <select><option>one<option>two</select> after</p>", "Before after"),
+    ("<p>Before <noscript><p>Enable<div>scripts</div></noscript> after</p>", "Before after"),
+    ("<p>Before <button><div>Press</div></button> after</p>", "Before after"),
+    ("<p>Before <iframe>no</iframe><style>p {}</style>after<p>Next <a class=share>Share<p>Last", "Before after Next Last"),
+    ("<p>un<b>bro</b>ken</p><div class=ad><p>Buy</p></div>tail", "unbroken tail")])
+def test_main_text_keeps_lines_with_inline_elements(inside, want):
+    assert html_text.main_text(f"<body><nav><a href=/>Home</a></nav><article>{inside}</article></body>") == want
+    assert html_text.main_text(f"<body>{inside}</body>") == want
+
+
+def test_inline_elements_count_as_tags_of_their_line():
+    parser = html_text._Lines()
+    parser.feed("<p>a <b>b</b>, c <script>x</script><svg><path /></svg></p><p>d</p>")
+    parser.close()
+    assert parser.lines == [("a b, c", 3, 0), ("d", 1, 0)]
+
+
 def test_page_text_of_the_tables(spark):
     import html as entities
     pages = spark.read.parquet(f"{SF}/pages.parquet")
