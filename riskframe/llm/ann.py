@@ -9,7 +9,9 @@ prefixes one direction at a time.
 
 Tables grow with the data (more directions, so that a cell keeps about ``CELL`` vectors), and the
 number of visited cells is set on a bounded sample of queries: the fewest that reach ``TARGET``
-recall against an exact search of all vectors for those queries. Candidates of a cell are reranked by
+recall against an exact search of all vectors for those queries. Where no number of cells within reach
+does, as with vectors of very unequal norms or very many cells, every query is searched exactly in all
+vectors, blocks of queries against shares of vectors. Candidates of a cell are reranked by
 exact double products, a block of queries against a block of vectors; each task keeps the best k
 of each query. Equal vectors are indexed once with their smallest k + 1 ids (no others can be among
 the k nearest), so a vector of very many rows makes no large cell. Queries that found fewer than k
@@ -143,6 +145,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, vector: str = "emb
     queries = materialize(asked.groupBy("v").agg(F.min("vec_id").alias("qid")))
 
     probes = _tuned(queries, index, h, k)
+    parts = max(1, -(-queries.count() // SHARE))
 
     def place_vectors(batches):
         for b in batches:
@@ -181,15 +184,24 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, vector: str = "emb
         return run
 
     found_schema = "qid long, vec_id long, score double"
-    visiting = queries.mapInArrow(place_queries(probes, TABLES), schema_q)
-    found = materialize(visiting.groupBy("share").cogroup(placed.groupBy("share")).applyInArrow(rerank(False), found_schema))
-    some = found.groupBy("qid").agg(F.count_distinct("vec_id").alias("c"))
-    total = index.agg(F.sum(F.size("ids"))).first()[0]
-    short = queries.join(some, "qid", "left").where(F.coalesce("c", F.lit(0)) < min(k + 1, total)).select("v", "qid")
+
+    def reranked(asking: DataFrame, placed: DataFrame, everything: bool) -> DataFrame:
+        # a task holds one share of the vectors and one part of the queries
+        some = asking.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts))).groupBy("share", "part")
+        every_part = placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        return some.cogroup(every_part.groupBy("share", "part")).applyInArrow(rerank(everything), found_schema)
+
+    if probes is None:
+        found, short = spark.createDataFrame([], found_schema), queries.select("v", "qid")
+    else:
+        found = materialize(reranked(queries.mapInArrow(place_queries(probes, TABLES), schema_q), placed, False))
+        some = found.groupBy("qid").agg(F.count_distinct("vec_id").alias("c"))
+        total = index.agg(F.sum(F.size("ids"))).first()[0]
+        short = queries.join(some, "qid", "left").where(F.coalesce("c", F.lit(0)) < min(k + 1, total)).select("v", "qid")
     # the first table holds every vector once: all its shares are an exact search
     everywhere = short.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).select(
         F.col("share").cast("long").alias("share"), "qid", F.expr("cast(array() as array<long>)").alias("cells"), "v")
-    rest = everywhere.groupBy("share").cogroup(placed.where(F.col("share") < shares).groupBy("share")).applyInArrow(rerank(True), found_schema)
+    rest = reranked(everywhere, placed.where(F.col("share") < shares), True)
     both = found.unionByName(rest).dropDuplicates(["qid", "vec_id"])
     same = asked.select("vec_id", "v").withColumnRenamed("vec_id", "query_id").join(queries, "v").select("query_id", "qid")
     rows = same.join(both, "qid").where("query_id <> vec_id")
@@ -264,8 +276,8 @@ def _rerank(queries: pa.Table, vectors: pa.Table, k: int, everything: bool) -> p
     return pa.table({"qid": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_i, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
 
-def _tuned(queries: DataFrame, index: DataFrame, h: Hashes, k: int) -> int:
-    """Visited cells per table at which a sample of queries reaches the target recall.
+def _tuned(queries: DataFrame, index: DataFrame, h: Hashes, k: int) -> int | None:
+    """Visited cells per table at which a sample of queries reaches the target recall; None if none does.
 
     The sample is bounded; every vector is compared with it, exactly, and each task returns the best
     k of each sampled query with their cells.
@@ -311,4 +323,4 @@ def _tuned(queries: DataFrame, index: DataFrame, h: Hashes, k: int) -> int:
                 rank[j] = min(rank[j], at.get(int(cells[j][t]), np.inf))
     rank.sort()
     at = rank[min(len(rank) - 1, int(np.ceil(TARGET * len(rank))) - 1)]
-    return count if not np.isfinite(at) else int(at) + 1
+    return int(at) + 1 if np.isfinite(at) else None

@@ -117,6 +117,41 @@ def test_equal_substrings_share_interior_phrases():
     assert alone == [p.tolist() for p in fingerprints.fingerprints(["ab", "aaaa", body])]
 
 
+def recall(rows, got, every, k):
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = total = 0
+    for i in ids[ids % every == 0]:
+        s = m @ m[i]
+        s[i] = -np.inf
+        hits, total = hits + len(set(ids[np.lexsort((ids, -s))[:k]].tolist()) & by[i]), total + k
+    return hits / total
+
+
+def unequal(n=3000, dim=24):
+    """Random vectors whose norms differ much."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(n, dim)) * rng.lognormal(0, 1.5, size=(n, 1))
+    return [(i, x.tolist()) for i, x in enumerate(v)]
+
+
+def test_nearest_of_vectors_of_unequal_norm(spark):
+    rows = unequal()
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, k=10)
+    assert recall(rows, got, 20, 10) >= 0.9
+
+
+def test_nearest_is_exact_where_the_cap_binds(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(6000, 24)))]
+    monkeypatch.setattr(ann, "MOST_PROBES", 4)
+    monkeypatch.setattr(ann, "SHARE", 100)  # several parts of the queries
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, k=10)
+    assert recall(rows, got, 20, 10) == 1.0
+
+
 def test_nearest_reaches_recall_and_awkward_vectors(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     x = {r["vec_id"]: np.array(r["embedding"], float) for r in e.collect()}
