@@ -14,7 +14,9 @@ does, as with vectors of very unequal norms or very many cells, every query is s
 vectors, blocks of queries against shares of vectors. Candidates of a cell are reranked by
 exact double products, a block of queries against a block of vectors; each task keeps the best k
 of each query. Equal vectors are indexed once with their smallest k + 1 ids (no others can be among
-the k nearest), so a vector of very many rows makes no large cell. Queries that found fewer than k
+the k nearest), so a vector of very many rows makes no large cell. The vectors of each cell are counted,
+and a cell of more than ``PIECE`` (a tight cluster) is split over several shares by a hash of the id;
+queries that visit it go to all of them. Queries that found fewer than k
 visit every cell of the first table, which is an exact search.
 
 Rows: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part.
@@ -47,6 +49,8 @@ MOST_PROBES = 20_000
 BLOCK = 1024
 #: Vectors of a task's share of a table, about.
 SHARE = 20_000
+#: Vectors of a cell that stay in one share, about.
+PIECE = SHARE // 8
 
 
 class Hashes:
@@ -145,13 +149,15 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, vector: str = "emb
     queries = materialize(asked.groupBy("v").agg(F.min("vec_id").alias("qid")))
 
     probes = _tuned(queries, index, h, k)
+    pieces = _pieces(index, h)
     parts = max(1, -(-queries.count() // SHARE))
 
     def place_vectors(batches):
         for b in batches:
             cells = h.cells(h.project(_matrix(b.column("v")), False))
+            first = np.array([i[0].as_py() for i in b.column("ids")], np.int64)
             for t in range(TABLES):
-                yield pa.RecordBatch.from_pydict({"share": pa.array(_share(cells[t], t, shares)), "cell": pa.array(cells[t]),
+                yield pa.RecordBatch.from_pydict({"share": pa.array(_share(cells[t], t, shares, _salts(cells[t], first, *pieces[t]))), "cell": pa.array(cells[t]),
                                                   "ids": b.column("ids"), "v": b.column("v")})
 
     def place_queries(visits: int, tables: int):
@@ -163,12 +169,13 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, vector: str = "emb
                     out = {"share": [], "qid": [], "cells": [], "v": []}
                     for t in range(tables):
                         names = h.probes(p[t], visits)
-                        where = _share(names, t, shares)
                         for i in range(len(names)):
-                            for s in np.unique(where[i]):
+                            visited, salts = _all_salts(names[i], *pieces[t])
+                            where = _share(visited, t, shares, salts)
+                            for s in np.unique(where):
                                 out["share"].append(s)
                                 out["qid"].append(b.column("qid")[at + i].as_py())
-                                out["cells"].append(names[i][where[i] == s])
+                                out["cells"].append(np.unique(visited[where == s]))
                                 out["v"].append(x[at + i])
                     yield pa.RecordBatch.from_pydict({"share": pa.array(out["share"], pa.int64()), "qid": pa.array(out["qid"], pa.int64()),
                                                       "cells": pa.array(out["cells"], pa.list_(pa.int64())),
@@ -209,9 +216,47 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, vector: str = "emb
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _share(cells: np.ndarray, table: int, shares: int) -> np.ndarray:
-    """The task share of a cell; each table has its own range of shares."""
-    return table * shares + ((cells.view(np.uint64) >> np.uint64(33)) % np.uint64(shares)).astype(np.int64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of 64-bit numbers."""
+    x = (x.view(np.uint64) ^ (x.view(np.uint64) >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+
+
+def _share(cells: np.ndarray, table: int, shares: int, salts: np.ndarray) -> np.ndarray:
+    """The task share of a cell's piece; each table has its own range of shares. Pieces lie in shares that follow each other."""
+    return table * shares + (((cells.view(np.uint64) >> np.uint64(33)) + salts.astype(np.uint64)) % np.uint64(shares)).astype(np.int64)
+
+
+def _pieces(index: DataFrame, h: Hashes) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each table the sorted cells of more than ``PIECE`` vectors, and into how many pieces each is split."""
+    def cells(batches):
+        for b in batches:
+            found = h.cells(h.project(_matrix(b.column("v")), False))
+            for t in range(TABLES):
+                yield pa.RecordBatch.from_pydict({"t": pa.array(np.full(len(found[t]), t)), "cell": pa.array(found[t])})
+
+    large = index.mapInArrow(cells, "t long, cell long").groupBy("t", "cell").count().where(F.col("count") > PIECE).orderBy("t", "cell").collect()
+    return [(np.array([r["cell"] for r in large if r["t"] == t], np.int64),
+             np.array([-(-r["count"] // PIECE) for r in large if r["t"] == t], np.int64)) for t in range(TABLES)]
+
+
+def _counts(cells: np.ndarray, large: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The number of pieces of each cell."""
+    if not len(large):
+        return np.ones(len(cells), np.int64)
+    at = np.minimum(np.searchsorted(large, cells), len(large) - 1)
+    return np.where(large[at] == cells, counts[at], 1)
+
+
+def _salts(cells: np.ndarray, ids: np.ndarray, large: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The piece of its cell that each vector belongs to."""
+    return (_mixed(ids) % _counts(cells, large, counts).astype(np.uint64)).astype(np.int64)
+
+
+def _all_salts(cells: np.ndarray, large: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, pieces): all pieces of each cell."""
+    n = _counts(cells, large, counts)
+    return np.repeat(cells, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _rerank(queries: pa.Table, vectors: pa.Table, k: int, everything: bool) -> pa.Table:

@@ -152,6 +152,40 @@ def test_nearest_is_exact_where_the_cap_binds(spark, monkeypatch):
     assert recall(rows, got, 20, 10) == 1.0
 
 
+def test_nearest_of_a_tight_cluster_is_split(spark, monkeypatch, tmp_path):
+    """A third of the rows near-equal: no task holds them all, and queries still find their neighbours."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(6000, 24))
+    v[::3] = v[0] + 1e-4 * rng.normal(size=(2000, 24))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    monkeypatch.setattr(ann, "SHARE", 400)
+    monkeypatch.setattr(ann, "PIECE", 50, raising=False)
+    reranked, sizes = ann._rerank, str(tmp_path)
+
+    def rerank(left, right, k, everything):
+        import os
+        import uuid
+        with open(os.path.join(sizes, uuid.uuid4().hex), "w") as f:
+            f.write(str(right.num_rows))
+        return reranked(left, right, k, everything)
+
+    monkeypatch.setattr(ann, "_rerank", rerank)
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, k=10)
+    assert recall(rows, got, 20, 10) >= 0.9
+    largest = max(int(f.read_text()) for f in tmp_path.iterdir())
+    assert 0 < largest < 1000, largest
+
+
+def test_pieces_of_a_cell_are_even_and_all_visited():
+    large, counts = np.array([7, 2 ** 40]), np.array([3, 16])
+    ids = np.arange(0, 640_000, 20)
+    salts = ann._salts(np.full(len(ids), 2 ** 40), ids, large, counts)
+    shares = np.bincount(ann._share(np.full(len(ids), 2 ** 40), 0, 16, salts))
+    assert len(shares) == 16 and shares.max() < 2 * len(ids) / 16
+    cells, pieces = ann._all_salts(np.array([5, 2 ** 40, 7]), large, counts)
+    assert list(zip(cells, pieces)) == [(5, 0), *((2 ** 40, i) for i in range(16)), *((7, i) for i in range(3))]
+
+
 def test_nearest_reaches_recall_and_awkward_vectors(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     x = {r["vec_id"]: np.array(r["embedding"], float) for r in e.collect()}
