@@ -2,7 +2,7 @@
 
 The batch twins call exactly the functions the streams use; the stream runs
 read the events table through the file source, watermark it, and run with an
-``availableNow`` trigger into a memory table (append mode: only windows closed
+``availableNow`` trigger into a file sink (append mode: only windows closed
 by the watermark are emitted, so their rows are a subset of the batch twin).
 """
 
@@ -99,14 +99,15 @@ SELECT series, run_start, run_start + INTERVAL {HELD['hold'] - 1} HOUR AS fired_
 
 
 def stream_request_rate(spark, sf_dir):
-    """S1 as a stream: file source -> watermark -> 1-minute counts -> memory sink (append)."""
+    """S1 as a stream: file source -> watermark -> 1-minute counts -> file sink (append)."""
     s = W.with_watermark(W.events_stream(spark, sf_dir), "ts", "10 minutes")
     r = W.request_rate(s, "ts", "1 minute", 60)
     return P.run_available_now(r, "request_rate")
 
 
 def stream_held_alerts(spark, sf_dir):
-    """S5 as a stream: the stateful per-series operator over the events file source."""
+    """S5 as a stream: hourly counts of the events file source under a watermark, then a sliding
+    aggregation over their rows. One series, as in the batch twin; only window rows meet in its group."""
     s = W.events_stream(spark, sf_dir).withColumn("series", F.lit("all"))
     a = AL.held_alerts_stream(s, "series", "ts", F.col("event_type") == "error", HELD["step"],
                               HELD["threshold"], HELD["hold"])

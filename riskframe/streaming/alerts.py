@@ -1,18 +1,17 @@
 """Threshold alerts held for a duration.
 
 Batch: gaps-and-islands over per-window metric rows, windowed per series key.
-Stream: a custom stateful operator (``applyInPandasWithState``) per series key
-that keeps only the open window's counts and the current breach run, fires
-once when a run reaches the hold length, and drops events older than the open
-window (late data).
+Stream: Spark counts events per (series, window) under a watermark, which drops
+late events of closed windows; a second, sliding aggregation over the closed
+windows' rows fires once when a run reaches the hold length.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+
+from .windows import with_watermark
 
 
 def held_alerts(per_window: DataFrame, key: str, start: str, metric: str, threshold: float,
@@ -31,59 +30,22 @@ def held_alerts(per_window: DataFrame, key: str, start: str, metric: str, thresh
         "run_windows")
 
 
-ALERT_SCHEMA = "series STRING, run_start TIMESTAMP, fired_at TIMESTAMP"
-STATE_SCHEMA = "win LONG, n LONG, n_hit LONG, run_start LONG, run_len LONG, fired BOOLEAN"
-
-
-def _stateful(step_seconds: int, ratio_threshold: float, hold: int):
-    def fn(key, pdfs, state):
-        if state.exists:
-            win, n, n_hit, run_start, run_len, fired = state.get
-        else:
-            win, n, n_hit, run_start, run_len, fired = -1, 0, 0, -1, 0, False
-        out = []
-
-        def close(win, n, n_hit, run_start, run_len, fired):
-            if n > 0 and n_hit / n > ratio_threshold:
-                if run_len > 0 and run_start + run_len == win:
-                    run_len += 1
-                else:
-                    run_start, run_len, fired = win, 1, False
-                if run_len >= hold and not fired:
-                    out.append((key[0], run_start * step_seconds, (run_start + hold - 1) * step_seconds))
-                    fired = True
-            else:
-                run_len, fired = 0, False
-            return run_start, run_len, fired
-
-        for pdf in pdfs:
-            pdf = pdf.sort_values("ts_sec")
-            for t, hit in zip(pdf["ts_sec"].to_numpy(), pdf["hit"].to_numpy()):
-                w = int(t) // step_seconds
-                if w < win:
-                    continue                      # late event for a closed window: dropped
-                if w > win:
-                    if win >= 0:
-                        run_start, run_len, fired = close(win, n, n_hit, run_start, run_len, fired)
-                    win, n, n_hit = w, 0, 0
-                n += 1
-                n_hit += int(bool(hit))
-        # the open window stays in state; it is evaluated when a later event closes it
-        state.update((win, n, n_hit, run_start, run_len, fired))
-        if out:
-            yield pd.DataFrame({"series": [o[0] for o in out],
-                                "run_start": pd.to_datetime([o[1] for o in out], unit="s"),
-                                "fired_at": pd.to_datetime([o[2] for o in out], unit="s")})
-    return fn
-
-
 def held_alerts_stream(events: DataFrame, key: str, ts: str, hit, step_seconds: int, ratio_threshold: float,
-                       hold: int) -> DataFrame:
+                       hold: int, delay: str = "10 minutes") -> DataFrame:
     """Streaming S5: per series, alert once the hit ratio per ``step_seconds`` window stays above
-    ``ratio_threshold`` for ``hold`` consecutive windows. Output mode append."""
+    ``ratio_threshold`` for ``hold`` consecutive windows. Output mode append.
+
+    The events of each (series, window) are counted first; a window counts once the watermark (``delay``
+    behind the latest event of any series) passes its end. An alert is due where, of ``hold + 1`` windows
+    in a row, all but the first are above the threshold: a longer run has only one such place."""
     h = hit if not isinstance(hit, str) else F.col(hit)
-    d = events.select(F.col(key).cast("string").alias("series"),
-                      F.unix_seconds(F.col(ts).cast("timestamp")).alias("ts_sec"), h.alias("hit"))
-    return d.groupBy("series").applyInPandasWithState(
-        _stateful(step_seconds, ratio_threshold, hold), ALERT_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.NoTimeout)
+    d = with_watermark(events, ts, delay).select(F.col(key).cast("string").alias("series"), ts, h.alias("hit"))
+    per = d.groupBy("series", F.window(ts, f"{step_seconds} seconds").alias("w")).agg(
+        (F.count_if("hit") / F.count(F.lit(1))).alias("ratio"))
+    above = per.where(F.col("ratio") > ratio_threshold).select(
+        "series", F.window_time("w").alias("at"), F.col("w.start").alias("start"))
+    rows = above.groupBy("series", F.window("at", f"{(hold + 1) * step_seconds} seconds", f"{step_seconds} seconds").alias("span")) \
+        .agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("run_start"))
+    due = rows.where((F.col("n") == hold) & (F.col("run_start") > F.col("span.start")))
+    return due.select("series", "run_start",
+                      (F.col("run_start") + F.make_dt_interval(secs=F.lit((hold - 1) * step_seconds))).alias("fired_at"))

@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..session import checkpoint_dir
 
@@ -23,14 +24,17 @@ def checkpoint_for(spark, name: str, fresh: bool = False) -> str:
     return os.path.join(checkpoint_dir(spark), "streams", leaf)
 
 
-def run_available_now(df: DataFrame, name: str, mode: str = "append", table: str | None = None) -> DataFrame:
-    """Run a streaming DataFrame over everything available now into a memory table; return it."""
+def run_available_now(df: DataFrame, name: str) -> DataFrame:
+    """Run a streaming DataFrame (append) over everything available now into a file sink in the run's
+    own folder under the shared checkpoint dir; return what it wrote."""
     spark = df.sparkSession
-    table = table or f"{name}_{uuid.uuid4().hex[:6]}"
-    q = (df.writeStream.outputMode(mode).format("memory").queryName(table)
-         .option("checkpointLocation", checkpoint_for(spark, name, fresh=True)).trigger(availableNow=True).start())
+    folder = checkpoint_for(spark, name, fresh=True)
+    path, schema = os.path.join(folder, "out"), StructType([StructField(f.name, f.dataType) for f in df.schema])
+    spark.createDataFrame([], schema).write.parquet(path)    # a stream without input writes nothing
+    q = (df.writeStream.outputMode("append").format("parquet").option("path", path)
+         .option("checkpointLocation", os.path.join(folder, "state")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(table)
+    return spark.read.schema(schema).parquet(path)
 
 
 def write_log_batch(batch: DataFrame, batch_id: int, path: str, partition_by=("log_date",)) -> None:

@@ -52,6 +52,26 @@ def test_held_alerts_stream_equals_batch(spark, tmpdir_fresh):
     assert sg <= bg and len(bg - sg) <= 1 and len(bg) > 0
 
 
+def test_held_alerts_stream_does_not_depend_on_chunks_or_order(spark, tmpdir_fresh):
+    """Hours 0-2 breach in series a; rows arrive in falling order, in many pandas chunks. Series b goes on
+    and closes a's last hour."""
+    rows = [("a", h * 3600 + 60 * i, True) for h in (0, 1, 2) for i in range(30)] + [("b", h * 3600 + 60, False) for h in range(6)]
+    pdf = pd.DataFrame(sorted(rows, key=lambda r: -r[1]), columns=["series", "s", "hit"])
+    spark.createDataFrame(pdf).select("series", F.timestamp_seconds("s").alias("ts"), "hit").coalesce(1) \
+        .write.parquet(os.path.join(tmpdir_fresh, "e"))
+    src = os.path.join(tmpdir_fresh, "e")
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        s = _stream(spark, src, spark.read.parquet(src).schema)
+        out = {hold: P.run_available_now(AL.held_alerts_stream(s, "series", "ts", F.col("hit"), 3600, 0.3, hold), "t_chunks")
+               .select("series", F.unix_seconds("run_start"), F.unix_seconds("fired_at")).collect() for hold in (2, 3)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    assert [tuple(r) for r in out[2]] == [("a", 0, 3600)]
+    assert [tuple(r) for r in out[3]] == [("a", 0, 7200)]
+
+
 def test_late_label_stream_join_and_dedup(spark, tmpdir_fresh):
     preds = pd.DataFrame({"cve_id": ["a", "b", "c"], "predicted_at": pd.to_datetime(["2024-01-01"] * 3),
                           "prediction": ["HIGH", "LOW", "LOW"]})
