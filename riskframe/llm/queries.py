@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import ann, fingerprints, html_text, jaccard, mixing, packing, pii, quality, toxicity, url_rules
+from . import adaptive_rules, ann, fingerprints, html_text, infill, jaccard, mixing, packing, pii, quality, toxicity, url_rules, variants
 from .common import materialize
 
 #: Token vocabulary of packing: a file that every executor can read under this path.
@@ -63,6 +63,21 @@ def op10_jaccard(spark, sf_dir):
     return jaccard.jaccard_groups(read_table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return variants.spelling_variants(materialize(variants.corpus_words(read_table(spark, sf_dir, "documents"))))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    made = infill.fill_in_middle(read_table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                       digest(infill.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_quality_rules(spark, sf_dir):
+    return adaptive_rules.judge_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": (op1_quality, None),
     "op2_personal_data": (op2_personal_data, None),
@@ -74,4 +89,7 @@ QUERIES = {
     "op8_fingerprints": (op8_fingerprints, None),
     "op9_url_rules": (op9_url_rules, url_rules.oracle()),
     "op10_jaccard": (op10_jaccard, None),
+    "op11_spelling_variants": (op11_spelling_variants, None),
+    "op12_fill_in_middle": (op12_fill_in_middle, infill.oracle()),
+    "op13_quality_rules": (op13_quality_rules, adaptive_rules.oracle()),
 }
