@@ -224,7 +224,7 @@ def test_sketches_merge_to_the_same_quantiles(spark):
 
 def test_thresholds_follow_their_group(spark):
     code = " ".join(f"a{i} = b{i} & c{i} | d" for i in range(40))
-    prose = " ".join(f"plain words number {w}" for w in "abcdefghijklmnopqrstuvwxyz")
+    prose = " ".join(f"plain{w} words{w} number{w}" for w in "abcdefghijklmnopqrstuvwxyz")
     rows = [(i, f"{code} x{i}", "en", "code") for i in range(400)] + [(1000 + i, f"{prose} x{i}", "en", "prose") for i in range(400)]
     rows += [(5000, code, "en", "prose"), (5001, code, "en", "code")]
     kept = {r["doc_id"]: r["kept"] for r in adaptive_rules.judge_documents(
