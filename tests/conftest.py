@@ -23,6 +23,3 @@ def spark():
 def tmpdir_fresh():
     return tempfile.mkdtemp(prefix="rf-test-", dir="/tmp")
 
-
-SF_SMALL = "/root/testdata/sf0.001"
-SF_MID = "/root/testdata/sf0.01"

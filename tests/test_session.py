@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from riskframe.session import read_table, spread
 
-from conftest import SF_SMALL
+from sample_tables import SF_SMALL
 
 
 def test_spread_single_split_scan_keeps_rows(spark):
