@@ -3,12 +3,15 @@
 One pass over the events of ``html.parser`` builds a page's lines: one per block element, with its
 text, the tags in it and where it stands; inline elements leave a line whole, also those left out of
 it. Menus, headers, footers, sidebars, notices, adverts,
-forms, comments, scripts and styles are left out by element, role and the words of class and id. For
+forms, comments, scripts and styles are left out by element, role and the names in class and id. For
 the remaining lines the text-to-tag ratios are smoothed by a Gaussian over neighbouring lines and
 split by two-means clustering; lines of the high cluster mark content. A page that names its article
 (article, main, role=main) gives every line of each such region that holds a marked line, so short
 paragraphs of an article are kept; other pages give the lines from the first to the last marked one.
 
+Bad markup fails no row: an unknown declaration ``<![ ... >`` is a comment, and a comment, declaration or
+tag that never closes runs to the page's end.
+
 Rows: null html counts as empty; a page without content has the empty text. Repeated rows give equal
 texts. Nothing is cut off. Columns other than those named are ignored. An empty table gives no rows.
 """
@@ -40,7 +43,17 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = frozenset("ad ads adbox advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent notice notices comment comments disqus respond share sharing social related newsletter subscribe signup popup modal login toolbar pagination pager widget widgets".split())
 COMMENTS = frozenset("comment comments disqus respond".split())
 REGION = frozenset(("article", "main"))
-WORDS = re.compile(r"[a-z0-9]+")
+#: Parts that may stand beside a listed name in a class or id (cookie-banner, sidebar_left).
+AROUND = frozenset("area bar bottom box button buttons container content global group holder icons inner item items left link links list main outer page panel primary right row section secondary site slot text top unit wrap wrapper".split())
+PARTS = re.compile(r"[-_]+")
+#: What the parser keeps back at a page's end if it is markup that never closes: no text.
+UNCLOSED = re.compile(r"<[!?/a-zA-Z]")
+
+
+def _unwanted(name: str) -> bool:
+    """Whether a class or id is a listed name, or a compound of listed names and ``AROUND`` only."""
+    parts = {p for p in PARTS.split(name) if p and not p.isdigit()}
+    return name in NAMES or bool(parts & NAMES) and parts <= NAMES | AROUND
 
 
 class _Lines(HTMLParser):
@@ -55,6 +68,9 @@ class _Lines(HTMLParser):
         self.tags = 0
         self.paragraphs = 0  # p elements opened and not closed
 
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i, 0)  # as browsers do: <![ is a comment up to the next >
+
     def updatepos(self, i, j):
         return j  # nobody asks for line numbers
 
@@ -70,12 +86,12 @@ class _Lines(HTMLParser):
     def _left_out(self, tag: str, attrs: dict, region: int) -> bool:
         if not attrs:
             return not region if tag == "header" else tag in LEFT_OUT
-        names = set(WORDS.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
+        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()
         if tag in REGION or tag in ("body", "html"):
-            return bool(names & COMMENTS) and tag in REGION
+            return tag in REGION and any(_unwanted(x) and COMMENTS & set(PARTS.split(x)) for x in names)
         if tag == "header":
             return not region
-        return (tag in LEFT_OUT or bool(names & NAMES) or (attrs.get("role") or "").lower() in ROLES
+        return (tag in LEFT_OUT or any(map(_unwanted, names)) or (attrs.get("role") or "").lower() in ROLES
                 or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true")
 
     def handle_starttag(self, tag, attrs):
@@ -136,6 +152,8 @@ class _Lines(HTMLParser):
             self.parts.append(data)
 
     def close(self):
+        if UNCLOSED.match(self.rawdata):  # an unclosed comment, declaration or tag runs to the page's end
+            self.rawdata = ""
         super().close()
         self._flush()
 
