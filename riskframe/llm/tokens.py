@@ -34,7 +34,8 @@ class TokenIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Literals that the tokenizer turns into one id wherever they stand; such texts go to it whole.
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.model = self.tokenizer.model
         self.letters = str.maketrans(_byte_letters())
         self.chunks, self.old_chunks = {}, {}
@@ -73,7 +74,7 @@ class TokenIds:
         return ids
 
     def ids(self, text: str) -> bytes:
-        if ASCII_SEPARATORS.search(text):  # white space to Python, not to the tokenizer
+        if ASCII_SEPARATORS.search(text) or self.special.search(text):  # white space to Python, not to the tokenizer
             return self._whole(text)
         out = []
         for chunk in text.split():

@@ -233,7 +233,6 @@ def check_packing(rows, bound):
 def test_packing_round_trip_and_bound(spark, clashing, no_docs):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     pieces = packing.token_pieces(docs, VOCABULARY)
     packed = packing.pack(pieces)
@@ -264,13 +263,12 @@ def test_lower_bound_and_best_fit():
     assert packing.lower_bound(np.bincount(big, minlength=101), 100) == 7
 
 
-@pytest.mark.parametrize("text", ["Plain words, here.", "It's 12 o'clock!!", "ÀÉÎ ñandú straße", "ﬁne ΟΔΟΣ İstanbul", "é Å", "a\x1cb c\x85d\xa0e", "日本語 текст", "don't''s <|endoftext|> _x_", "", " \n"])
+@pytest.mark.parametrize("text", ["Plain words, here.", "It's 12 o'clock!!", "ÀÉÎ ñandú straße", "ﬁne ΟΔΟΣ İstanbul", "é Å", "a\x1cb c\x85d\xa0e", "日本語 текст", "don't''s <|endoftext|> _x_", "", " \n", "<|endoftext|>", "a<|startoftext|>b <|endoftext|><|endoftext|> c", "<|EndOfText|> <| endoftext |>", "x\n<|startoftext|>\n"])
 def test_token_ids_equal_the_tokenizer(text):
     from tokenizers import Tokenizer
 
     from riskframe.llm.tokens import TokenIds
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     ids = TokenIds(VOCABULARY)
     for _ in range(2):
         assert np.frombuffer(ids.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
