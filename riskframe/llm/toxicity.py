@@ -2,7 +2,7 @@
 document labels alone.
 
 A sentence's score is a logistic function of the telling words it holds; a document is toxic unless
-every sentence is innocent: 1 - prod(1 - p). Telling words are found on a bounded labelled sample
+every sentence is innocent: 1 - prod(1 - p); a sentence without telling words is innocent. Telling words are found on a bounded labelled sample
 (``SAMPLE`` documents of each class): words of at least ``LEAST`` documents whose shares of the two
 classes differ by more than ``TELLING`` standard errors, at most ``WORDS``. Weights are learned by
 gradient steps on the document likelihood, so no sentence label is needed, and the model then points
@@ -61,6 +61,11 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def spellings(text: str) -> set[str]:
+    """Distinct lower-cased words of the text's sentences: a stop ends a word too."""
+    return set(END.sub(" ", text.lower()).split())
+
+
 def forms(spelling: str) -> list[str]:
     """A spelling's word and its stems (marked by *)."""
     word = spelling.strip(MARKS)
@@ -79,19 +84,16 @@ class TellingWords(dict):
         found = self[spelling] = tuple(self.number[f] for f in forms(spelling) if f in self.number)
         return found
 
-    def hits(self, text: str) -> tuple[int, list[tuple[int, int, list[int]]]]:
-        """(number of sentences, [(start, end, telling words) of those that hold any])."""
-        if not text.strip():
-            return 0, []
-        spans = sentences(text)
-        if not any(self[w] for w in set(text.lower().split())):
-            return len(spans), []
+    def hits(self, text: str) -> list[tuple[int, int, list[int]]]:
+        """(start, end, telling words) of the sentences that hold any."""
+        if not any(self[w] for w in spellings(text)):
+            return []
         out = []
-        for start, end in spans:
-            found = {i for w in text[start:end].lower().split() for i in self[w]}
+        for start, end in sentences(text):
+            found = {i for w in spellings(text[start:end]) for i in self[w]}
             if found:
                 out.append((start, end, sorted(found)))
-        return len(spans), out
+        return out
 
 
 def telling_words(sample: DataFrame) -> list[str]:
@@ -99,7 +101,7 @@ def telling_words(sample: DataFrame) -> list[str]:
     def words(frames):
         for f in frames:
             for y, text in zip(f["y"], f["text"], strict=True):
-                found = {x for w in set((text or "").lower().split()) for x in forms(w)}
+                found = {x for w in spellings(text or "") for x in forms(w)}
                 if found:
                     yield pd.DataFrame({"y": np.int32(y), "word": list(found)})
 
@@ -115,31 +117,30 @@ def telling_words(sample: DataFrame) -> list[str]:
     return sorted(r["word"] for r in top.orderBy(F.abs("z").desc(), "word").limit(WORDS).collect())
 
 
-def learn(sizes: np.ndarray, hits: list[list[list[int]]], y: np.ndarray, n_words: int) -> tuple[np.ndarray, float]:
+def learn(hits: list[list[list[int]]], y: np.ndarray, n_words: int) -> tuple[np.ndarray, float]:
     """Word weights and bias by Adam on the noisy-or likelihood of the documents.
 
     ``hits[d]`` lists the telling words of each sentence of document d that has any; the other
-    ``sizes[d] - len(hits[d])`` sentences share the bias.
+    sentences are innocent, so a text's length alone says nothing.
     """
     flat = [(d, s) for d, doc in enumerate(hits) for s in doc]
     doc = np.array([d for d, _ in flat], np.int64)
     row = np.concatenate([np.full(len(s), i) for i, (_, s) in enumerate(flat)]).astype(np.int64) if flat else np.zeros(0, np.int64)
     col = np.concatenate([np.asarray(s) for _, s in flat]).astype(np.int64) if flat else np.zeros(0, np.int64)
-    plain = sizes - np.bincount(doc, minlength=len(sizes))
     x = np.concatenate([np.full(n_words, 2.0), [-9.0]])
     m, v = np.zeros_like(x), np.zeros_like(x)
     log1m = lambda z: -np.logaddexp(0, z)  # log(1 - sigmoid(z))
     for step in range(1, STEPS + 1):
         w, b = x[:-1], x[-1]
         z = b + np.bincount(row, w[col], minlength=len(flat))
-        innocent = plain * log1m(b) + np.bincount(doc, log1m(z), minlength=len(sizes))  # log(1 - P)
+        innocent = np.bincount(doc, log1m(z), minlength=len(hits))  # log(1 - P)
         innocent = np.minimum(innocent, -1e-12)
         # d loss / d innocent, with loss = -y log(1 - exp(innocent)) - (1 - y) innocent
         g = np.where(y == 1, np.exp(innocent) / -np.expm1(innocent), -1.0)
         s = lambda t: 1 / (1 + np.exp(-t))
         dz = g[doc] * -s(z)
-        grad = np.concatenate([np.bincount(col, dz[row], minlength=n_words), [(g * plain * -s(b)).sum() + dz.sum()]])
-        grad = grad / len(sizes) + PENALTY * np.concatenate([w, [0]]) / 10
+        grad = np.concatenate([np.bincount(col, dz[row], minlength=n_words), [dz.sum()]])
+        grad = grad / len(hits) + PENALTY * np.concatenate([w, [0]]) / 10
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
         x = x - 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-9)
     return x[:-1], float(x[-1])
@@ -157,12 +158,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
         known = TellingWords(words)
         for f in frames:
             out = [known.hits(t or "") for t in f["text"]]
-            yield pd.DataFrame({"y": f["y"].astype("int32"), "size": [n for n, _ in out],
-                                "hits": [[h[2] for h in hits] for _, hits in out]})
+            yield pd.DataFrame({"y": f["y"].astype("int32"), "hits": [[h[2] for h in hits] for hits in out]})
 
-    got = sample.mapInPandas(run, "y int, size int, hits array<array<int>>").collect()
-    got.sort(key=lambda r: (r["y"], r["size"], r["hits"]))
-    weights, bias = learn(np.array([r["size"] for r in got]), [r["hits"] for r in got], np.array([r["y"] for r in got]), len(words))
+    got = sample.mapInPandas(run, "y int, hits array<array<int>>").collect()
+    got.sort(key=lambda r: (r["y"], r["hits"]))
+    weights, bias = learn([r["hits"] for r in got], np.array([r["y"] for r in got]), len(words))
     return {"words": words, "weights": weights, "bias": bias}
 
 
@@ -176,17 +176,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", thr
     @F.pandas_udf("score double, offending array<struct<start:int,end:int,score:double>>")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = model.value
-        known, plain = TellingWords(m["words"]), -np.logaddexp(0, m["bias"])
+        known = TellingWords(m["words"])
         for texts in batches:
-            yield scored(texts, m, known, plain)
+            yield scored(texts, m, known)
 
-    def scored(texts, m, known, plain):
+    def scored(texts, m, known):
         scores, found = [], []
         for text in texts:
-            n, hits = known.hits(text or "")
+            hits = known.hits(text or "")
             z = [m["bias"] + m["weights"][h[2]].sum() for h in hits]
-            innocent = (n - len(hits)) * plain - float(np.logaddexp(0, z).sum()) if n else 0.0
-            scores.append(-np.expm1(innocent))
+            scores.append(-np.expm1(-float(np.logaddexp(0, z).sum())))
             p = 1 / (1 + np.exp(-np.array(z)))
             found.append([{"start": h[0], "end": h[1], "score": float(s)} for h, s in zip(hits, p, strict=True) if s >= threshold])
         return pd.DataFrame({"score": np.clip(scores, 0.0, 1.0), "offending": found})
