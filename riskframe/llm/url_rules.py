@@ -53,8 +53,8 @@ HOST_RULES = (HostRule("allow", "com/"), HostRule("block", "example.com/en/"), H
 #: Block patterns for urls that no host rule fits: a host label that joins an unwanted trade with another word.
 BLOCK_PATTERNS = tuple(
     PatternRule(rf"^([^/]*\.)?([a-z0-9]+-)*{word}(-[a-z0-9]+)*\.", (word,))
-    for word in ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "track", "xxx")) + (
-    PatternRule(r"^([^/]*\.)?(free|cheap|win|best)-[a-z0-9-]+\.", ()),)
+    for word in ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "track", "xxx")) + tuple(
+    PatternRule(rf"^([^/]*\.)?{word}-[a-z0-9-]+\.", (word,)) for word in ("free", "cheap", "win", "best"))
 
 
 def host_and_path(url):
