@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .. import constants as K
-from .cumulative import running_totals
+from ..session import cut_lineage
+from .cumulative import bucket_count, percentiles_of_counts, running_totals, value_counts
 from .scalars import attach
 
 DECILES = [i / 10 for i in range(11)]
@@ -50,8 +51,8 @@ def psi(long: DataFrame, bins: int = 10, exact: bool = True, zero_fill: float =
     outer edges -inf/+inf, counts per [lo, hi), zero count -> ``zero_fill`` (a count,
     divided by n), PSI = sum (c - r) ln(c / r). Fewer than two edges -> 0.
 
-    ``exact=False`` uses ``percentile_approx`` (bounded memory per feature) instead
-    of the exact percentile, which keeps one count per distinct value.
+    The data is counted once per (feature, value) and read no more: exact edges are selected by
+    rank from those counts, ``exact=False`` takes ``percentile_approx`` of the reference rows.
     Deciles of a 0/1 flag fall into one bin, so its PSI is 0; with ``categorical_flags``
     features that hold only 0 and 1 are compared by value counts instead.
     """
@@ -60,18 +61,33 @@ def psi(long: DataFrame, bins: int = 10, exact: bool = True, zero_fill: float =
         marked = long.join(kind, "feature")
         other = psi(marked.where(~F.col("__flag")).drop("__flag"), bins, exact, zero_fill)
         return value_psi(marked.where("__flag").drop("__flag"), zero_fill).unionByName(other)
+    return _psi(side_counts(long), bins, exact, zero_fill, long)
+
+
+def side_counts(long: DataFrame) -> DataFrame:
+    """(feature, value, r, q): how often each value occurs in the reference and in the current side,
+    counted once and written; KS and PSI read nothing else."""
+    return value_counts(long, "value", ["feature"], {"r": F.count_if(F.col("side") == 0), "q": F.count_if(F.col("side") == 1)})
+
+
+def _psi(values: DataFrame, bins: int, exact: bool, zero_fill: float, long: DataFrame) -> DataFrame:
     probs = [i / bins for i in range(bins + 1)]
-    ref = long.where(F.col("side") == 0)
-    pct = F.percentile("value", probs) if exact else F.percentile_approx("value", probs, 10000)
-    edges = ref.groupBy("feature").agg(F.array_distinct(pct).alias("edges"))
+    if exact:
+        edges = percentiles_of_counts(values, "value", "r", probs, ["feature"], bucket_count(values)) \
+            .select("feature", F.array_distinct("percentiles").alias("edges"))
+    else:
+        edges = long.where(F.col("side") == 0).groupBy("feature").agg(F.array_distinct(F.percentile_approx("value", probs, 10000)).alias("edges"))
     edges = edges.select("feature", "edges",
                          F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0))).alias("inner"),
                          (F.size("edges") - 1).alias("n_bins"))
-    j = long.join(edges, "feature")      # edges: one row per feature, broadcast by AQE
+    j = values.join(edges, "feature")      # edges: one row per feature, broadcast by AQE
     v = F.col("value")
     j = j.withColumn("bin", F.size(F.filter("inner", lambda e: e <= v)))
-    counts = j.groupBy("feature", "side", "bin").agg(F.count(F.lit(1)).alias("c"))
-    n = long.groupBy("feature", "side").agg(F.count(F.lit(1)).alias("n"))
+    both = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("c")) for i, c in enumerate(("r", "q"))]))
+    counts = j.groupBy("feature", "bin").agg(F.sum("r").alias("r"), F.sum("q").alias("q")).select("feature", "bin", both.alias("s")) \
+        .select("feature", "s.side", "bin", "s.c")
+    n = values.groupBy("feature").agg(F.sum("r").alias("r"), F.sum("q").alias("q")).select("feature", both.alias("s")) \
+        .select("feature", "s.side", F.nullif(F.col("s.c"), F.lit(0)).alias("n"))
     grid = edges.where(F.col("n_bins") >= 1).select(
         "feature", F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)).alias("bin"))
     sides = grid.select("feature", "bin", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
@@ -81,7 +97,7 @@ def psi(long: DataFrame, bins: int = 10, exact: bool = True, zero_fill: float =
     wide = pcts.groupBy("feature", "bin").agg(F.max(F.when(F.col("side") == 0, F.col("p"))).alias("r"),
                                               F.max(F.when(F.col("side") == 1, F.col("p"))).alias("c"))
     per = wide.groupBy("feature").agg(F.sum((F.col("c") - F.col("r")) * F.log(F.col("c") / F.col("r"))).alias("psi"))
-    feats = long.select("feature").distinct()
+    feats = values.select("feature").distinct()
     return feats.join(per, "feature", "left").select(
         "feature", F.coalesce(F.col("psi"), F.lit(0.0)).alias("psi"))
 
@@ -89,10 +105,12 @@ def psi(long: DataFrame, bins: int = 10, exact: bool = True, zero_fill: float =
 def ks(long: DataFrame) -> DataFrame:
     """D19 per feature: two-sample KS statistic D = max |F_ref - F_cur| over the pooled values,
     plus n_ref, n_cur. One row per feature."""
-    c = long.groupBy("feature", "value").agg(F.count_if(F.col("side") == 0).alias("r"),
-                                             F.count_if(F.col("side") == 1).alias("q"))
+    return _ks(side_counts(long))
+
+
+def _ks(c: DataFrame) -> DataFrame:
     n = c.groupBy("feature").agg(F.sum("r").alias("n_ref"), F.sum("q").alias("n_cur"))
-    r = running_totals(c, "value", ["r", "q"], ["feature"]).join(n, "feature")
+    r = running_totals(c, "value", ["r", "q"], ["feature"], bucket_count(c)).join(n, "feature")
     d = F.abs(F.col("cum_r") / F.col("n_ref") - F.col("cum_q") / F.col("n_cur"))
     return r.groupBy("feature", "n_ref", "n_cur").agg(F.max(d).alias("ks_statistic"))
 
@@ -193,8 +211,10 @@ def centroid_distance(ref: DataFrame, cur: DataFrame, vec: str, threshold: float
 def numeric_report(long: DataFrame, significance: float = K.DRIFT_SIGNIFICANCE,
                    psi_threshold: float = K.PSI_THRESHOLD, exact: bool = True) -> DataFrame:
     """D18-D20 combined per numeric feature; < 10 rows a side -> insufficient_data, no drift."""
-    k = ks(long)
-    p = psi(long, exact=exact)
+    long = cut_lineage(long)
+    values = side_counts(long)
+    k = _ks(values)
+    p = _psi(values, 10, exact, K.PSI_ZERO_FILL, long)
     mo = moments(long)
     j = k.join(p, "feature").join(mo, "feature")
     enough = (F.col("n_ref") >= K.KS_MIN_ROWS) & (F.col("n_cur") >= K.KS_MIN_ROWS)
