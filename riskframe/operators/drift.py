@@ -70,7 +70,7 @@ def side_counts(long: DataFrame) -> DataFrame:
     return value_counts(long, "value", ["feature"], {"r": F.count_if(F.col("side") == 0), "q": F.count_if(F.col("side") == 1)})
 
 
-def _psi(values: DataFrame, bins: int, exact: bool, zero_fill: float, long: DataFrame) -> DataFrame:
+def _psi(values: DataFrame, bins: int, exact: bool, zero_fill: float, long: DataFrame | None) -> DataFrame:
     probs = [i / bins for i in range(bins + 1)]
     if exact:
         edges = percentiles_of_counts(values, "value", "r", probs, ["feature"], bucket_count(values)) \
@@ -115,6 +115,13 @@ def _ks(c: DataFrame) -> DataFrame:
     return r.groupBy("feature", "n_ref", "n_cur").agg(F.max(d).alias("ks_statistic"))
 
 
+def drift_of_counts(both: DataFrame) -> DataFrame:
+    """(feature, psi, n_ref, n_cur, ks_statistic) from counts (feature, value, r, q), in any number of
+    parts: counts of days or batches add up here."""
+    values = value_counts(both, "value", ["feature"], {"r": F.sum("r"), "q": F.sum("q")})
+    return _ks(values).join(_psi(values, 10, True, K.PSI_ZERO_FILL, None), "feature").select("feature", "psi", "n_ref", "n_cur", "ks_statistic")
+
+
 def moments(long: DataFrame) -> DataFrame:
     """Mean and population std per side."""
     return long.groupBy("feature").agg(

@@ -1,4 +1,4 @@
-"""Streaming monitors (S1-S5, S7, S8): batch twins with oracles, and stream runs.
+"""Streaming monitors (S1-S8): batch twins with oracles, and stream runs.
 
 The batch twins call exactly the functions the streams use; the stream runs
 read the events table through the file source, watermark it, and run with an
@@ -15,8 +15,11 @@ from .. import fixtures as X
 from ..functions._util import round_half_away as rnd
 from ..session import read_table
 from ..streaming import alerts as AL
+from ..streaming import lookback as LB
 from ..streaming import pipeline as P
+from ..streaming import sync as SY
 from ..streaming import windows as W
+from . import monitoring as MO
 from . import sqlfrag as S
 
 R9 = 9
@@ -114,7 +117,96 @@ def stream_held_alerts(spark, sf_dir):
     return P.run_available_now(a, "held_alerts")
 
 
+LOOKBACK_DAYS = 7
+
+
+def _logged(spark, sf_dir):
+    e = W.events_stream(spark, sf_dir)
+    return e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.from_json("props", "k INT")["k"])
+
+
+def lookback_drift(spark, sf_dir):
+    """The prediction log written as a stream with its counts per day, then drift of the last
+    seven days before the cut against all days before them, from the counts alone."""
+    path = P.checkpoint_for(spark, "lookback", fresh=True)
+    LB.log_and_count(_logged(spark, sf_dir), "ts", MO.NUMERIC, path, f"{path.rsplit('/', 1)[1]}-state").awaitTermination()
+    r = LB.lookback_drift(spark, path, MO.CUT, LOOKBACK_DAYS)
+    return r.select("feature", rnd("psi", R9).alias("psi"), "n_ref", "n_cur", rnd("ks_statistic", R9).alias("ks_statistic"))
+
+
+_START = f"TIMESTAMP '{MO.CUT}' - INTERVAL {LOOKBACK_DAYS} DAY"
+_LOOKBACK_SIDES = MO.SIDES_SQL.replace("FROM events)", f"FROM events WHERE ts < TIMESTAMP '{MO.CUT}')").replace(
+    f"ts < TIMESTAMP '{MO.CUT}' THEN", f"ts < {_START} THEN")
+LOOKBACK_SQL = f"""SELECT p.feature, p.psi, k.n_ref, k.n_cur, k.ks_statistic FROM ({MO.PSI_SQL.replace(MO.SIDES_SQL, _LOOKBACK_SIDES)}) p
+JOIN ({MO.KS_SQL.replace(MO.SIDES_SQL, _LOOKBACK_SIDES)}) k USING (feature)"""
+
+LABELS_CLOSED = "2024-01-20"
+
+
+def late_labels_stream(spark, sf_dir):
+    """Predictions and their labels as two streams, joined within three days under watermarks. Only
+    predictions old enough for their range to be closed are returned: of these every one has its
+    label or, once the watermark has passed, null."""
+    preds = W.events_stream(spark, sf_dir).select("event_id", F.col("ts").cast("timestamp").alias("predicted_at"), F.col("event_type").alias("prediction"))
+    labels = W.events_stream(spark, sf_dir).where(F.col("event_id") % 3 == 0).select(
+        "event_id", (F.col("ts").cast("timestamp") + F.make_dt_interval(days=(F.col("event_id") % 5).cast("int"))).alias("labeled_at"),
+        F.when(F.col("value") >= 50, "HIGH").otherwise("LOW").alias("truth"))
+    out = P.run_available_now(P.late_labels(preds, labels, "event_id", "predicted_at", "labeled_at", "truth", "3 days", "1 day"), "late_labels")
+    return _ntz(out.where(F.col("predicted_at") < F.lit(LABELS_CLOSED).cast("timestamp")), "predicted_at", "labeled_at")
+
+
+LATE_LABELS_SQL = f"""WITH l AS (SELECT event_id, ts + to_days(CAST(event_id % 5 AS INTEGER)) AS labeled_at, CASE WHEN value >= 50 THEN 'HIGH' ELSE 'LOW' END AS truth
+  FROM events WHERE event_id % 3 = 0)
+SELECT e.event_id, e.ts AS predicted_at, e.event_type AS prediction, l.truth, l.labeled_at FROM events e LEFT JOIN l
+  ON e.event_id = l.event_id AND l.labeled_at >= e.ts AND l.labeled_at <= e.ts + INTERVAL 3 DAY WHERE e.ts < TIMESTAMP '{LABELS_CLOSED}'"""
+
+
+def _records(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c = X.cves(spark, sf_dir).select("cve_id", "o_orderkey", "published_date", "base_score").join(o, "o_orderkey")
+    return c.select("o_orderkey", "cve_id", F.date_add("published_date", (F.col("o_custkey") % 30).cast("int")).alias("last_modified"), "base_score")
+
+
+def incremental_sync(spark, sf_dir):
+    """Two deliveries of the feed synced by two runs of one stream. The second brings the other
+    half of the records, repeats every fifth and a newer version of every third."""
+    path = P.checkpoint_for(spark, "sync", fresh=True)
+    r, key = _records(spark, sf_dir), F.col("o_orderkey")
+    newer = r.where(key % 3 == 0).withColumn("last_modified", F.date_add("last_modified", 60)).withColumn("base_score", F.col("base_score") + 0.5)
+    pages = [r.where(key % 2 == 0), r.where((key % 2 != 0) | (key % 5 == 0)).unionByName(newer)]
+    schema = "cve_id string, last_modified date, base_score double, landed timestamp"
+    for day, page in enumerate(pages, 1):
+        page.select("cve_id", "last_modified", "base_score", F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp").alias("landed")) \
+            .write.mode("append").parquet(f"{path}/pages")
+        stream = spark.readStream.schema(schema).parquet(f"{path}/pages")
+        SY.sync(stream, f"{path}/table", f"{path.rsplit('/', 1)[1]}-state", "cve_id", "last_modified", "landed").awaitTermination()
+    return spark.read.parquet(f"{path}/table").select("cve_id", "last_modified", "base_score")
+
+
+_RECORDS_SQL = X.with_views("cves") + """,
+r AS (SELECT c.o_orderkey, c.cve_id, c.published_date + CAST(o.o_custkey % 30 AS INTEGER) AS last_modified, c.base_score FROM cves c JOIN orders o USING (o_orderkey))
+"""
+SYNC_SQL = _RECORDS_SQL + """SELECT cve_id, CASE WHEN o_orderkey % 3 = 0 THEN last_modified + 60 ELSE last_modified END AS last_modified,
+  CASE WHEN o_orderkey % 3 = 0 THEN base_score + 0.5 ELSE base_score END AS base_score FROM r"""
+
+STORED_UNTIL = "1997-12-31"
+
+
+def resumed_fetch(spark, sf_dir):
+    """A1: what a fetch must bring that resumes at the high-water mark of the records stored so far."""
+    r = _records(spark, sf_dir)
+    stored = r.where(F.col("last_modified") <= F.lit(STORED_UNTIL).cast("date"))
+    return SY.since_mark(r, stored, "last_modified").select("cve_id", "last_modified")
+
+
+RESUMED_SQL = _RECORDS_SQL + f"""SELECT cve_id, last_modified FROM r
+WHERE last_modified >= (SELECT max(last_modified) FROM r WHERE last_modified <= DATE '{STORED_UNTIL}')"""
+
 QUERIES = {
+    "lookback_drift": (lookback_drift, LOOKBACK_SQL),
+    "late_labels_stream": (late_labels_stream, LATE_LABELS_SQL),
+    "incremental_sync": (incremental_sync, SYNC_SQL),
+    "resumed_fetch": (resumed_fetch, RESUMED_SQL),
     "request_rate_1m": (request_rate_1m, RATE_SQL),
     "latency_quantiles_5m": (latency_quantiles_5m, LATQ_SQL),
     "severity_mix_1h": (severity_mix_1h, MIX_SQL),

@@ -73,9 +73,23 @@ def late_label_stream_join(preds: DataFrame, labels: DataFrame, key: str, pred_t
     return p.join(lab, cond, "leftOuter")
 
 
-def dedup_redelivered(stream: DataFrame, key: str, modified: str, delay: str = "1 day") -> DataFrame:
-    """Drop re-delivered (id, modified) records within the watermark delay."""
-    return stream.withWatermark(modified, delay).dropDuplicatesWithinWatermark([key, modified])
+def late_labels(preds: DataFrame, labels: DataFrame, key: str, pred_ts: str, label_ts: str, truth: str,
+                max_delay: str = "30 days", watermark: str = "1 day") -> DataFrame:
+    """The rows of ``preds`` with the ``truth`` and ``label_ts`` of a label in time, else null."""
+    j = late_label_stream_join(preds, labels.select(key, label_ts, truth), key, pred_ts, label_ts, max_delay, watermark)
+    return j.select("p.*", f"l.{truth}", f"l.{label_ts}")
+
+
+def append_stream(df: DataFrame, path: str, name: str):
+    """Start a stream into a parquet folder; a restart under the same ``name`` goes on where it stopped."""
+    return (df.writeStream.outputMode("append").format("parquet").option("path", path)
+            .option("checkpointLocation", checkpoint_for(df.sparkSession, name)).trigger(availableNow=True).start())
+
+
+def dedup_redelivered(stream: DataFrame, key: str, modified: str, delay: str = "1 day", landed: str | None = None) -> DataFrame:
+    """Drop re-delivered (id, modified) records within the watermark delay of ``landed`` (of
+    ``modified`` if none is given: then records older than the watermark are dropped as late)."""
+    return stream.withWatermark(landed or modified, delay).dropDuplicatesWithinWatermark([key, modified])
 
 
 def upsert_view(history: DataFrame, key: str, modified: str) -> DataFrame:
