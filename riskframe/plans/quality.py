@@ -11,6 +11,7 @@ from .. import fixtures as X
 from ..functions._util import round_half_away as rnd
 from ..functions import text as T
 from ..operators import aggregates as A
+from ..operators import constraints as CN
 from ..operators import expectations as E
 from ..operators import metrics as M
 from ..operators import sets as G
@@ -176,6 +177,53 @@ def duplicate_keys(spark, sf_dir):
 DUP_SQL = X.with_views("epss_history") + "SELECT cve_id, count(*) AS n FROM epss_history GROUP BY cve_id HAVING count(*) > 1"
 
 
+FEEDBACK_RULES = [
+    CN.NotNull("cve_id"), CN.NotNull("analyst_id"), CN.Check("rating_1_to_5", "confidence_rating BETWEEN 1 AND 5"),
+    CN.Check("label_known", "corrected IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL')"), CN.Unique(("cve_id", "analyst_id")),
+    CN.ForeignKey(("cve_id",), "cves", ("cve_id",)), CN.Default("source", "'analyst'"), CN.Default("used", "false")]
+
+
+def _feedback(spark, sf_dir):
+    """Feedback rows with faults of every kind, from the orders table."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c = X.cves(spark, sf_dir).select("cve_id", "o_orderkey", "base_severity").join(o, "o_orderkey")
+    k = F.col("o_orderkey")
+    return c.select(F.when(k % 23 == 0, None).when(k % 19 == 0, F.concat("cve_id", F.lit("0"))).otherwise(F.col("cve_id")).alias("cve_id"),
+                    F.when(k % 29 != 0, F.col("o_custkey") % 40).alias("analyst_id"), F.when(k % 31 != 0, (k % 7).cast("int")).alias("confidence_rating"),
+                    F.when(k % 37 == 0, "SEVERE").otherwise(F.col("base_severity")).alias("corrected"), F.when(k % 2 == 0, "import").alias("source"))
+
+
+def feedback_constraints(spark, sf_dir):
+    """Violations of the feedback table's NOT NULL, CHECK, UNIQUE and foreign-key rules; one
+    analyst's rows are there twice."""
+    f = _feedback(spark, sf_dir)
+    twice = f.unionByName(f.where(F.col("analyst_id") == 7))
+    return CN.constraint_violations(twice, FEEDBACK_RULES, {"cves": X.cves(spark, sf_dir)})
+
+
+def feedback_accepted(spark, sf_dir):
+    """The feedback rows that the constraints accept, defaults filled in."""
+    return CN.conforming(_feedback(spark, sf_dir), FEEDBACK_RULES, {"cves": X.cves(spark, sf_dir)})
+
+
+_FEEDBACK_SQL = X.with_views("cves") + """,
+f AS (SELECT CASE WHEN c.o_orderkey % 23 = 0 THEN NULL WHEN c.o_orderkey % 19 = 0 THEN cve_id || '0' ELSE cve_id END AS cve_id,
+  CASE WHEN c.o_orderkey % 29 <> 0 THEN o_custkey % 40 END AS analyst_id, CASE WHEN c.o_orderkey % 31 <> 0 THEN CAST(c.o_orderkey % 7 AS INTEGER) END AS confidence_rating,
+  CASE WHEN c.o_orderkey % 37 = 0 THEN 'SEVERE' ELSE base_severity END AS corrected, CASE WHEN c.o_orderkey % 2 = 0 THEN 'import' END AS source
+  FROM cves c JOIN orders o USING (o_orderkey))
+"""
+CONSTRAINTS_SQL = _FEEDBACK_SQL + """, t AS (SELECT * FROM f UNION ALL SELECT * FROM f WHERE analyst_id = 7)
+SELECT 'not_null' AS kind, 'cve_id' AS rule, count(*) AS n_violations FROM t WHERE cve_id IS NULL
+UNION ALL SELECT 'not_null', 'analyst_id', count(*) FROM t WHERE analyst_id IS NULL
+UNION ALL SELECT 'check', 'rating_1_to_5', count(*) FROM t WHERE confidence_rating NOT BETWEEN 1 AND 5
+UNION ALL SELECT 'check', 'label_known', count(*) FROM t WHERE corrected NOT IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL')
+UNION ALL SELECT 'unique', 'cve_id,analyst_id', count(*) FROM (SELECT 1 FROM t WHERE cve_id IS NOT NULL AND analyst_id IS NOT NULL GROUP BY cve_id, analyst_id HAVING count(*) > 1)
+UNION ALL SELECT 'foreign_key', 'cve_id->cves', count(*) FROM t WHERE cve_id IS NOT NULL AND cve_id NOT IN (SELECT cve_id FROM cves)"""
+ACCEPTED_SQL = _FEEDBACK_SQL + """SELECT cve_id, analyst_id, confidence_rating, corrected, coalesce(source, 'analyst') AS source, false AS used FROM f
+WHERE cve_id IS NOT NULL AND analyst_id IS NOT NULL AND coalesce(confidence_rating BETWEEN 1 AND 5, true)
+  AND coalesce(corrected IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL'), true) AND cve_id IN (SELECT cve_id FROM cves)"""
+
+
 def catalog_diff(spark, sf_dir):
     """Catalog snapshot as of 1998-07-31 vs 1998-06-30: added ids."""
     k = X.kev_history(spark, sf_dir)
@@ -270,6 +318,8 @@ AND (coalesce(position('apache' IN lower(text)) > 0, false) OR coalesce(position
 
 
 QUERIES = {
+    "feedback_constraints": (feedback_constraints, CONSTRAINTS_SQL),
+    "feedback_accepted": (feedback_accepted, ACCEPTED_SQL),
     "raw_expectations": (raw_expectations, _raw_exp_sql()),
     "raw_stats": (raw_stats, RAW_STATS_SQL),
     "null_profile": (null_profile, NULL_PROFILE_SQL),
