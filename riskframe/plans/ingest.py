@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..sources import epss as EP
 from ..sources import kev as KV
 from ..sources import nvd as NV
+from ..streaming.pipeline import checkpoint_for
 from . import sqlfrag as S
 
 
@@ -126,6 +127,26 @@ def kev_digest(spark, sf_dir):
     return KV.digest(kev_catalog(spark, sf_dir))
 
 
+SNAPSHOTS = ("1998-06-30", "1998-06-30", "1998-07-31")
+
+
+def catalog_fetches(spark, sf_dir):
+    """Three fetches of the catalog, the second unchanged: per fetch whether it changed, and the
+    rows that the caller gets, new or kept."""
+    k, state, out = X.kev_history(spark, sf_dir), checkpoint_for(spark, "catalog", fresh=True), None
+    for i, day in enumerate(SNAPSHOTS, 1):
+        rows, changed = KV.fetch_if_changed(spark, k.where(F.col("added_date") <= F.lit(day).cast("date")), state, "kev")
+        one = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.min("cve_id").alias("first_id"), F.max("added_date").alias("last_added")) \
+            .select(F.lit(i).alias("fetch"), F.lit(changed).alias("changed"), "n_rows", "first_id", "last_added")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+FETCHES_SQL = X.with_views("kev_history") + " UNION ALL ".join(
+    f"SELECT {i} AS fetch, {str(i == 1 or day != SNAPSHOTS[i - 2]).lower()} AS changed, count(*) AS n_rows, min(cve_id) AS first_id, max(added_date) AS last_added "
+    f"FROM kev_history WHERE added_date <= DATE '{day}'" for i, day in enumerate(SNAPSHOTS, 1))
+
+
 def epss_bulk_parse(spark, sf_dir):
     """Bulk CSV lines -> (cve_id, score, percentile, snapshot_date); comments, header, blanks,
     short and non-numeric rows skipped."""
@@ -173,6 +194,7 @@ EPSS_LOOKUP_SQL = X.with_views("epss_history", "kev_history") + \
 
 
 QUERIES = {
+    "catalog_fetches": (catalog_fetches, FETCHES_SQL),
     "nvd_flatten": (nvd_flatten, _flat_sql() + "SELECT " + ", ".join(NV.FLAT_COLUMNS) + " FROM flat"),
     "usable_labeled": (usable_labeled, _flat_sql() + "SELECT base_severity, count(*) AS n FROM flat "
                        "WHERE description IS NOT NULL AND base_severity IS NOT NULL GROUP BY base_severity"),

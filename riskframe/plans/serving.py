@@ -385,6 +385,28 @@ def _cve_list_sql() -> str:
 WHERE in_kev AND base_score >= 7.0 ORDER BY risk_score_raw DESC, cve_id, o_orderkey LIMIT 50 OFFSET 50"""
 
 
+def cve_list_seek(spark, sf_dir):
+    """The first three pages (50 rows each) of exploited CVEs, riskiest first, each sought behind the
+    last row of the page before it."""
+    s = scoring.scored_cves(spark, sf_dir).where("in_kev")
+    order, down, token, out = ("risk_score_raw", "cve_id", "o_orderkey"), (True, False, False), None, None
+    for number in range(1, 4):
+        page = TK.seek_page(s, order, down, 50, token)
+        token = TK.page_token(page, order)
+        page = page.select(F.lit(number).alias("page"), "cve_id", "risk_score", "risk_tier")
+        out = page if out is None else out.unionByName(page)
+        if token is None:
+            break
+    return out
+
+
+def _seek_sql() -> str:
+    base = scoring._scored_sql().replace("parsed AS (SELECT cve_id, published_date,",
+                                         "parsed AS (SELECT cve_id, o_orderkey, base_score, published_date,")
+    return base + """SELECT CAST((r - 1) // 50 + 1 AS INTEGER) AS page, cve_id, risk_score, risk_tier FROM (
+  SELECT *, row_number() OVER (ORDER BY risk_score_raw DESC, cve_id, o_orderkey) AS r FROM scored WHERE in_kev) WHERE r <= 150"""
+
+
 def realised_accuracy(spark, sf_dir):
     """Realised accuracy per version once >= 20 predictions have a paired label."""
     cm = EV.confusion_by_version(spark, sf_dir)
@@ -445,6 +467,7 @@ QUERIES = {
     "score_snapshot": (score_snapshot, SNAPSHOT_SQL),
     "live_accuracy": (live_accuracy, _live_sql()),
     "realised_accuracy": (realised_accuracy, _realised_sql()),
+    "cve_list_seek": (cve_list_seek, _seek_sql()),
     "cve_list_page": (cve_list_page, _cve_list_sql()),
     "prediction_log_rows": (prediction_log_rows, None),
     "schema_checks": (schema_checks, None),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,3 +61,27 @@ def digest(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def id_set(df: DataFrame, key: str = "cve_id") -> DataFrame:
     """Distinct ids."""
     return df.select(key).distinct()
+
+
+def fetch_if_changed(spark: SparkSession, snapshot: DataFrame, state: str, name: str) -> tuple[DataFrame, bool]:
+    """(rows, changed) of a fetch of the catalog ``name`` against the state kept in the folder ``state``.
+
+    The state holds the rows of the last changed fetch and, written after them, its digest. An equal
+    digest returns the kept rows and writes nothing; else the rows are kept under their digest, so a
+    run that stops between the two writes leaves the old state whole. One digest row reaches the driver.
+    """
+    new = digest(snapshot).first()
+    folder, schema = f"{state}/{name}", "n_rows long, digest string, at timestamp"
+    try:
+        old = spark.read.schema(schema).json(f"{folder}/digests").orderBy(F.col("at").desc()).first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        old = None
+    rows = f"{folder}/rows-{new['n_rows']}-{new['digest']}"
+    changed = old is None or (old["n_rows"], old["digest"]) != (new["n_rows"], new["digest"])
+    if changed:
+        snapshot.write.mode("overwrite").parquet(rows)
+        spark.range(1).select(F.lit(new["n_rows"]).cast("long").alias("n_rows"), F.lit(new["digest"]).alias("digest"), F.current_timestamp().alias("at")) \
+            .write.mode("append").json(f"{folder}/digests")
+    return spark.read.schema(snapshot.schema).parquet(rows), changed
