@@ -68,27 +68,27 @@ def _page_refs_sql() -> str:
   {expl} AS has_exploit_reference FROM pages"""
 
 
-def _en_docs(spark, sf_dir):
-    return spread(read_table(spark, sf_dir, "documents").where(F.col("lang") == "en"), "doc_id")
+def _docs(spark, sf_dir):
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def tfidf_vocabulary(spark, sf_dir):
-    """J1 fit on English documents: top-100 terms with df, corpus count, idf and index."""
-    v = TF.fit(_en_docs(spark, sf_dir), "text", "doc_id")
+    """J1 fit on all documents: top-100 terms with df, corpus count, idf and index."""
+    v = TF.fit(_docs(spark, sf_dir), "text", "doc_id")
     return v.select("term", "index", "df", "corpus_count", rnd("idf", R9).alias("idf"))
 
 
 def tfidf_weights(spark, sf_dir):
     """J1 transform: L2-normalised tf-idf weight of every vocabulary term present in each document."""
-    d = _en_docs(spark, sf_dir)
-    v = TF.fit(d, "text", "doc_id")
-    t = TF.transform(d, v, "text", "doc_id")
+    d = _docs(spark, sf_dir)
+    counts = TF.term_counts(d, "text", "doc_id")
+    t = TF.weigh(counts, TF.vocabulary(counts, d.agg(F.count(F.lit(1)).alias("__n"))), "doc_id")
     return t.select("doc_id", "index", rnd("tfidf", R9).alias("tfidf"))
 
 
 def _terms_sql() -> str:
     stop = ", ".join("'" + w.replace("'", "''") + "'" for w in TF.spark_english_stop_words())
-    return f"""WITH d AS (SELECT doc_id, text FROM documents WHERE lang = 'en'),
+    return f"""WITH d AS (SELECT doc_id, text FROM documents),
 tk AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '{TF.TOKEN_REGEX}'),
   lambda t: NOT list_contains([{stop}], t)) AS t FROM d),
 g AS (SELECT doc_id, list_concat(t, CASE WHEN len(t) >= 2 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END) AS g FROM tk),
