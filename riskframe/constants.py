@@ -237,3 +237,9 @@ they're i've we've you've they've isn't aren't wasn't weren't haven't hasn't had
 won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's
 there's what's when's where's who's why's would
 """.split())
+
+# Record id format, severity labels and feature names that leak the label.
+CVE_ID_REGEX = r"^CVE-\d{4}-\d{4,}$"
+SEVERITY_VALUES = ["NONE", "LOW", "MEDIUM", "HIGH", "CRITICAL", ""]
+FORBIDDEN_FEATURES = ["base_score", "base_severity", "exploitability_score", "impact_score",
+                      "cvss_v2_score", "cvss_v2_severity", "severity_label"]

@@ -428,20 +428,46 @@ def prediction_log_rows(spark, sf_dir):
                                   F.lit(NOW).cast("timestamp"))
 
 
+REQUIRED = ["base_score", "vector_length", "reference_count"]
+
+
+def _halves(spark, sf_dir):
+    """Two frames of records, before 1996 and since, that share some of their columns."""
+    c = X.cves(spark, sf_dir).withColumn("vector_length", F.nullif(F.length("cvss_vector") - 40, F.lit(0)).cast("int")).withColumn(
+        "access", F.nullif(F.substring("cvss_vector", 13, 1), F.lit("P")))
+    early = F.col("published_date") < F.lit("1996-01-01").cast("date")
+    ref = c.where(early).select("cve_id", "base_score", "base_severity", "vector_length", "access", F.lit("").alias("note"))
+    return ref, c.where(~early).select("cve_id", "base_score", "base_severity", "vector_length", "access", (F.col("o_orderkey") % 3).alias("order_class"))
+
+
 def schema_checks(spark, sf_dir):
-    """Leakage columns, leakage-free projection, schema completion and drift candidates
-    of the engineered feature table (schema-level; the data pass is the completion's fillna)."""
-    from ..ml import models as ML
-    from . import learning
-    f = learning._prepared(spark, sf_dir)
-    cols = f.columns
-    leak = set(E.leakage_columns(cols + ["base_score", "severity_label"]))
-    kept = E.leakage_free(f).columns
-    comp = E.complete_schema(f.select(*ML.TABULAR[:5]), ML.TABULAR[:5] + ["tfidf_0"])
-    num, cat = E.drift_candidates(f, f)
-    rows = [(c, c in leak, c in kept, c in num, c in cat) for c in sorted(set(cols) | leak | set(comp.columns))]
-    return spark.createDataFrame(rows, "column string, leakage boolean, kept boolean, numeric_candidate boolean, "
-                                       "categorical_candidate boolean")
+    """Leakage, projection, completion and drift candidates of every column, with the
+    figures of both frames that they act on."""
+    return E.column_checks(*_halves(spark, sf_dir), REQUIRED)
+
+
+def _schema_checks_sql() -> str:
+    frames = X.with_views("cves") + """,
+c AS (SELECT *, CAST(nullif(len(cvss_vector) - 40, 0) AS INTEGER) AS vector_length, nullif(substr(cvss_vector, 13, 1), 'P') AS access FROM cves),
+ref AS (SELECT cve_id, base_score, base_severity, vector_length, access, '' AS note FROM c WHERE published_date < DATE '1996-01-01'),
+cur AS (SELECT cve_id, base_score, base_severity, vector_length, access, o_orderkey % 3 AS order_class FROM c WHERE NOT published_date < DATE '1996-01-01')
+"""
+    text, ref, cur = {"cve_id", "base_severity", "access", "note"}, ["note"], ["order_class"]
+    both = ["cve_id", "base_score", "base_severity", "vector_length", "access"]
+    parts = []
+    for c in [*both, *ref, *cur, "reference_count"]:
+        numeric, categorical = c in ("base_score", "vector_length"), c in ("base_severity", "access")
+        cols = [f"'{c}' AS \"column\"", f"{c in E.FORBIDDEN_FEATURES} AS forbidden", f"{c not in K.LEAKAGE_COLUMNS} AS kept", f"{c in both} AS shared",
+                f"{numeric} AS numeric_candidate", f"{categorical} AS categorical_candidate"]
+        for side, own in (("ref", ref), ("cur", cur)):
+            there, blank = c in both + own, "''" if c in text else "0"
+            cols += [f"(SELECT count(*) FROM {side}) AS {side}_rows",
+                     f"(SELECT count(*) FROM {side} WHERE {c} IS NULL) AS {side}_nulls" if there else f"NULL AS {side}_nulls",
+                     f"(SELECT count(*) FROM {side} WHERE {c} <> {blank}) AS {side}_full" if there else f"NULL AS {side}_full",
+                     f"(SELECT count(*) FROM {side}{f' WHERE {c} IS NULL' if there else ''}) AS {side}_filled" if c in REQUIRED else f"0 AS {side}_filled"]
+        found = [f"(SELECT count(DISTINCT {c}) FROM {t})" if categorical else "NULL" for t in ("ref", "cur", f"(SELECT {c} FROM ref WHERE {c} IN (SELECT {c} FROM cur))")]
+        parts.append("SELECT " + ", ".join(cols + [f"{x} AS {n}" for x, n in zip(found, ("ref_values", "cur_values", "shared_values"), strict=True)]))
+    return frames + " UNION ALL ".join(parts)
 
 
 def report_rows(spark, sf_dir):
@@ -470,6 +496,6 @@ QUERIES = {
     "cve_list_seek": (cve_list_seek, _seek_sql()),
     "cve_list_page": (cve_list_page, _cve_list_sql()),
     "prediction_log_rows": (prediction_log_rows, None),
-    "schema_checks": (schema_checks, None),
+    "schema_checks": (schema_checks, _schema_checks_sql()),
     "report_rows": (report_rows, None),
 }
