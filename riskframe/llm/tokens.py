@@ -10,14 +10,18 @@ merge model.
 from __future__ import annotations
 
 import re
-import unicodedata
 
 import numpy as np
 
 CACHE = 80_000
 #: The vocabulary's split pattern, written for Python's ``re``.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-ASCII_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+#: ASCII and letters of the Latin blocks below U+0180 with one-to-one lower case: here Python's character
+#: classes and the tokenizer's are the same, and every text is in normal form C. Anything else goes to
+#: the tokenizer whole.
+SIMPLE = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]*+")
+#: White space to Python's split, not to the tokenizer.
+ASCII_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,8 +38,9 @@ class TokenIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: Literals that the tokenizer turns into one id wherever they stand; such texts go to it whole.
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        #: Texts that hold one of these go to the tokenizer whole: it turns its special literals into one
+        #: id wherever they stand.
+        self.whole = (*ASCII_SEPARATORS, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
         self.model = self.tokenizer.model
         self.letters = str.maketrans(_byte_letters())
         self.chunks, self.old_chunks = {}, {}
@@ -60,10 +65,8 @@ class TokenIds:
         ids = self.old_chunks.get(chunk)
         if ids is not None:
             return self._keep(chunk, ids)
-        if not chunk.isascii():
-            if not unicodedata.is_normalized("NFC", chunk) or not _simple(chunk):
-                ids = self._whole(chunk)
-                return self._keep(chunk, ids)
+        if not SIMPLE.fullmatch(chunk):
+            return self._keep(chunk, self._whole(chunk))
         low = chunk.lower()
         return self._keep(chunk, self._word(low) if low.isalpha() else b"".join(map(self._word, SPLIT.findall(low))))
 
@@ -74,16 +77,10 @@ class TokenIds:
         return ids
 
     def ids(self, text: str) -> bytes:
-        if ASCII_SEPARATORS.search(text) or self.special.search(text):  # white space to Python, not to the tokenizer
+        if any(mark in text for mark in self.whole):
             return self._whole(text)
         out = []
         for chunk in text.split():
             ids = self.chunks.get(chunk)
             out.append(self._chunk(chunk) if ids is None else ids)
         return b"".join(out)
-
-
-def _simple(chunk: str) -> bool:
-    """Letters of the Latin blocks below U+0180 with one-to-one lower case, and ASCII: here Python's
-    character classes and the tokenizer's are the same. Anything else goes to the tokenizer whole."""
-    return all(c < "\x80" or "\xc0" <= c <= "ſ" and c not in "İ\xd7\xf7" for c in chunk)
