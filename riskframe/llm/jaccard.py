@@ -5,7 +5,10 @@ their first |s| - ceil(t |s|) + 1 shingles. This operator uses two orders. Both
 many documents last (counts of all documents, hashed into a table of fixed size) and break equal
 classes by a hash of their own, so a passage that thousands of documents share hardly ever is in
 a prefix. Pairs that share a prefix shingle under the first order AND under the second one are
-verified exactly on the whole sets.
+verified exactly on the whole sets, which are written with their second prefix in front.
+
+A prefix shingle of very many documents is hot: its rows are spread by a salt, and what all of them
+have to know (their hub, whether they lie in several components) is aggregated first and joined back.
 
 Only one set of equal ones takes part (its copies follow it), and links are found in two steps so
 that a group of thousands of near copies costs no pair per two members: first every set is checked
@@ -43,6 +46,9 @@ FAN_IN = 128
 #: Bits of a set's parity sketch, and the most bits of the sketch of a long set.
 PARITY_BITS = 512
 MOST_PARITY_BITS = 1 << 22
+#: Shingles of about this many documents (by their hashed count) or more are hot; a power of two.
+HOT = 1 << 10
+SALTS = 64
 
 
 def _set_name(s: np.ndarray) -> int:
@@ -134,34 +140,67 @@ def _order_classes(scanned: DataFrame) -> np.ndarray:
     return np.minimum(63, np.floor(2 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
 
 
-def _rows(sets, sigs, classes, order, percent) -> pa.RecordBatch:
-    """(token, sig, n << 35 | position << 7 | commonness) of the prefixes: each set's first shingles
-    under an order, in that order (all of a tie at its end)."""
+def _slot_classes(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return classes[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
+
+
+def _keys(s: np.ndarray, c: np.ndarray, order: int) -> np.ndarray:
+    """Sort keys of shingles of the classes ``c`` under an order."""
+    return c.astype(np.uint64) << np.uint64(58) | mix64(s ^ np.uint64(ORDER_SEEDS[order])) >> np.uint64(6)
+
+
+def _rows(sets, sigs, classes, order, percent, hot) -> pa.RecordBatch:
+    """(token, sig, n << 36 | hot << 35 | position << 7 | commonness) of the prefixes: each set's first
+    shingles under an order, in that order (all of a tie at its end)."""
     tokens, owner, size = [], [], []
+    hot_class = 2 * (hot.bit_length() - 1)
     for s, sig in zip(sets, sigs, strict=True):
         if not len(s):
             continue
-        c = classes[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
-        key = c.astype(np.uint64) << np.uint64(58) | mix64(s ^ np.uint64(ORDER_SEEDS[order])) >> np.uint64(6)
+        c = _slot_classes(s, classes)
+        key = _keys(s, c, order)
         p = _prefix_length(len(s), percent)
         at = np.flatnonzero(key <= np.partition(key, p - 1)[p - 1])
         at = at[np.argsort(key[at], kind="stable")]
         tokens.append(s[at])
         owner.append(np.full(len(at), sig, np.int64))
-        size.append((len(s) << 35) + (np.arange(len(at), dtype=np.int64) << 7) + int(2 * c.mean()))
+        size.append((len(s) << 36) + ((c[at] >= hot_class).astype(np.int64) << 35) + (np.arange(len(at), dtype=np.int64) << 7)
+                    + int(2 * c.mean()))
     cat = lambda x, t: np.concatenate(x).view(t) if x else np.zeros(0, t)
     return pa.RecordBatch.from_pydict({"token": pa.array(cat(tokens, np.int64)), "sig": pa.array(cat(owner, np.int64)),
                                        "place": pa.array(cat(size, np.int64))})
 
 
+def _second_first(s: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
+    """The set with its prefix under the second order in front (equal keys by shingle, so the order is total)."""
+    if not len(s):
+        return s
+    key, p = _keys(s, _slot_classes(s, classes), 1), _prefix_length(len(s), percent)
+    return s[np.lexsort((s, key))] if p < len(s) else s
+
+
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """Prefix rows whose shingle is in the prefix of another set too: (token, sig, n, pos, common), each once."""
-    w = Window.partitionBy("token")
+    """Prefix rows whose shingle is in the prefix of another set too: (token, sig, n, pos, common, hot), each once.
+
+    Rows of a hot shingle are spread over tasks and all stay: other documents hold it, or its slot."""
+    w = Window.partitionBy("token", "salt")
+    hot = F.expr("shiftright(place, 35) & 1 = 1")
+    salt = F.when(hot, F.pmod(F.xxhash64("sig"), F.lit(SALTS)) + 1).otherwise(F.lit(0)).cast("int")
     return materialize(
-        prefixes.withColumn("lo", F.min("sig").over(w)).withColumn("hi", F.max("sig").over(w)).where("lo <> hi")
-        .select("token", "sig", "place").dropDuplicates(["token", "sig"])
-        .selectExpr("token", "sig", "cast(shiftright(place, 35) as int) as n", "cast(shiftright(place, 7) & 268435455 as int) as pos",
-                    "cast(place & 127 as int) as common"))
+        prefixes.withColumn("salt", salt).withColumn("lo", F.min("sig").over(w)).withColumn("hi", F.max("sig").over(w))
+        .where((F.col("salt") > 0) | (F.col("lo") != F.col("hi")))
+        .dropDuplicates(["token", "salt", "sig"])
+        .selectExpr("token", "sig", "cast(shiftright(place, 36) as int) as n", "cast(shiftright(place, 7) & 268435455 as int) as pos",
+                    "cast(place & 127 as int) as common", "salt > 0 as hot"))
+
+
+def _with_token_values(rows: DataFrame, keys: list[str], **values) -> DataFrame:
+    """``rows`` with aggregates over the rows of equal ``keys``: by a window, those of hot shingles by
+    partial aggregates that are joined back, so that no task gathers a hot shingle's rows."""
+    w = Window.partitionBy(*keys)
+    cold = rows.where("not hot").withColumns({name: value.over(w) for name, value in values.items()})
+    hot = rows.where("hot")
+    return cold.unionByName(hot.join(hot.groupBy(*keys).agg(*[value.alias(name) for name, value in values.items()]), keys))
 
 
 def _fits(na, nb, pos_a, pos_b, percent: int):
@@ -200,12 +239,14 @@ def _finely_alike(pairs: DataFrame, fines: DataFrame, percent: int) -> DataFrame
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (src, dst) among candidate pairs (src, dst), by exact overlap of the whole sets."""
+    """Links (src, dst) among candidate pairs (src, dst): those that share a shingle of their prefixes under
+    the second order too (the sets' first shingles), by exact overlap of the whole sets."""
     sets = sets.dropDuplicates(["sig"])
     a = sets.select(F.col("sig").alias("src"), F.col("s").alias("sa"))
     b = sets.select(F.col("sig").alias("dst"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return (pairs.join(a, "src").join(b, "dst")
+    prefix = lambda s: F.slice(s, F.lit(1), (F.size(s) - F.floor((percent * F.size(s) + 99) / 100) + 1).cast("int"))
+    return (pairs.join(a, "src").join(b, "dst").where(F.arrays_overlap(prefix("sa"), prefix("sb")))
             .where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("src", "dst"))
 
 
@@ -218,9 +259,8 @@ def _relabel(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
 def _cross_pairs(rows: DataFrame, labels: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of sets of different components that share a prefix shingle and whose sizes,
     prefix positions and parity sketches leave room for the threshold."""
-    w = Window.partitionBy("token")
-    r = (_relabel(rows.withColumn("label", F.col("sig")), "label", labels)
-         .withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where("lo <> hi")
+    r = (_with_token_values(_relabel(rows.withColumn("label", F.col("sig")), "label", labels), ["token"],
+                            lo=F.min("label"), hi=F.max("label")).where("lo <> hi")
          .select("token", "sig", "label", "n", "pos")).join(parities, "sig")
     a, b = r.alias("a"), r.alias("b")
     fits = _fits(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos"), percent)
@@ -230,11 +270,12 @@ def _cross_pairs(rows: DataFrame, labels: DataFrame, parities: DataFrame, percen
             .select(F.col("a.sig").alias("src"), F.col("b.sig").alias("dst")).distinct())
 
 
-def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
     Rows link when 100 * |intersection| >= ``percent`` * |union| of their sets of ``words``-word
-    shingles (A-Z lower-cased); component_id is the smallest doc_id that links reach.
+    shingles (A-Z lower-cased); component_id is the smallest doc_id that links reach. Shingles of about
+    ``hot`` documents (a power of two) or more have their rows spread by a salt; the result does not depend on it.
     """
     spark = docs.sparkSession
     base = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -249,7 +290,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     def first_order(batches):
         for b in pieces(batches):
             sets = shingle_sets(b.column("text"), words)
-            yield _rows(sets, [_set_name(s) for s in sets], classes.value, 0, percent)
+            yield _rows(sets, [_set_name(s) for s in sets], classes.value, 0, percent, hot)
 
     schema = "token long, sig long, place long"
     first = _shared(base.where("doc_id is not null").mapInArrow(first_order, schema))
@@ -271,14 +312,14 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
                     sets = shingle_sets(c.column("text"), words)
                     yield pa.RecordBatch.from_pydict({
                         "sig": pa.array([_set_name(s) for s in sets], pa.int64()),
-                        "s": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+                        "s": pa.array([_second_first(s, classes.value, percent).view(np.int64) for s in sets], pa.list_(pa.int64()))})
 
         return materialize(base.where("doc_id is not null").withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "sig long, s array<long>"))
 
     # first step: one hub for each prefix shingle and size class
     size_class = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)))
-    w = Window.partitionBy("token", "class")
-    stars = (first.withColumn("class", size_class).withColumn("hub", F.max(F.struct("common", "sig", "n", "pos")).over(w)).where("hub.sig <> sig")
+    stars = (_with_token_values(first.withColumn("class", size_class), ["token", "class"], hub=F.max(F.struct("common", "sig", "n", "pos")))
+             .where("hub.sig <> sig")
              .where(_fits(F.col("hub.n"), F.col("n"), F.col("hub.pos"), F.col("pos"), percent))
              .select(F.col("hub.sig").alias("src"), F.col("sig").alias("dst"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct())
     a, b = (parities.select(F.col("sig").alias(c), F.col("parity").alias(p)) for c, p in (("src", "pa"), ("dst", "pb")))
@@ -294,7 +335,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
             lists = b.column("s")
             flat, at = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
             yield _rows([flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], b.column("sig").to_numpy(),
-                        classes.value, 1, percent)
+                        classes.value, 1, percent, hot)
 
     pairs = materialize(_finely_alike(_cross_pairs(first, labels, parities, percent), fines, percent))
     sets = sets.unionByName(whole_sets(pairs, sets))

@@ -41,10 +41,10 @@ def brute_groups(rows, k, percent):
     return {i: (len(sets[i]), top(i)) for i in ids}
 
 
-@pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
-def test_jaccard_groups_equal_brute_force(spark, k, percent):
+@pytest.mark.parametrize("k,percent,hot", [(4, 85, 1), (4, 85, 4), (5, 80, jaccard.HOT)])
+def test_jaccard_groups_equal_brute_force(spark, k, percent, hot):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(docs, k, percent).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(docs, k, percent, hot).collect()}
     assert got == brute_groups([tuple(r) for r in docs.collect()], k, percent)
 
 
