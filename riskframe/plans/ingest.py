@@ -122,6 +122,15 @@ SELECT cve_id, CASE WHEN o_custkey % 3 <> 0 THEN 'vendor' || CAST(o_custkey % 50
   CASE WHEN o_custkey % 4 = 0 THEN 'Known' ELSE 'Unknown' END AS known_ransomware_campaign_use, '' AS notes FROM o"""
 
 
+def exploited_ids(spark, sf_dir):
+    """Distinct ids of two deliveries of the catalog, the second one of entries added since 1995."""
+    first = kev_catalog(spark, sf_dir)
+    return KV.id_set(first.unionByName(first.where("date_added >= '1995-01-01'")))
+
+
+EXPLOITED_IDS_SQL = X.with_views("kev_history") + "SELECT DISTINCT cve_id FROM kev_history"
+
+
 def kev_digest(spark, sf_dir):
     """Content digest of the normalised catalog (compare with the stored one to skip work)."""
     return KV.digest(kev_catalog(spark, sf_dir))
@@ -207,6 +216,7 @@ QUERIES = {
         [_flat_sql().rstrip() + "\n", "SELECT cve_id, base_score FROM flat WHERE cve_id IN (SELECT cve_id FROM kev_history)"])),
     "feed_features": (feed_features, _feed_features_sql()),
     "kev_catalog": (kev_catalog, KEV_CATALOG_SQL),
+    "exploited_ids": (exploited_ids, EXPLOITED_IDS_SQL),
     "kev_digest": (kev_digest, None),
     "epss_bulk_parse": (epss_bulk_parse, EPSS_BULK_SQL),
     "epss_api_items": (epss_api_items, EPSS_API_SQL),

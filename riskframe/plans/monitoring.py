@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .. import fixtures as X
 from ..functions._util import round_half_away as rnd
 from ..operators import drift as D
 from ..session import read_table
@@ -86,11 +87,11 @@ def centroid_embeddings(spark, sf_dir):
 
 
 def drift_report(spark, sf_dir):
-    """Full report with p-values (numeric KS+PSI, categorical chi-square). p-values are not in the
-    oracle (asymptotic KS / incomplete-gamma chi-square), so this query is rows-only."""
+    """Full report with p-values (numeric KS and PSI, categorical chi-square)."""
     num = D.numeric_report(numeric_long(spark, sf_dir))
     cat = D.categorical_report(categorical_long(spark, sf_dir))
-    return num.unionByName(cat, allowMissingColumns=True)
+    numbers = ["statistic", "p_value", "psi", "ref_mean", "curr_mean", "ref_std", "curr_std"]
+    return num.unionByName(cat, allowMissingColumns=True).withColumns({c: rnd(c, R9) for c in numbers})
 
 
 def drift_summary(spark, sf_dir):
@@ -99,7 +100,6 @@ def drift_summary(spark, sf_dir):
 
 def drift_alerts(spark, sf_dir):
     from ..operators import aggregates as A
-    from .. import fixtures as X
     lat = A.latency_stats(X.predictions_log(spark, sf_dir), "latency_ms").select("p95")
     return D.drift_alerts(drift_report(spark, sf_dir), lat)
 
@@ -131,15 +131,20 @@ SELECT f.feature, {S.round_dp("coalesce(per.psi, 0.0)", R9)} AS psi
 FROM (SELECT DISTINCT feature FROM long) f LEFT JOIN per USING (feature)
 """
 
-KS_SQL = SIDES_SQL + f""",
+def _ks_sql(statistic: str) -> str:
+    return SIDES_SQL + f""",
 c AS (SELECT feature, value, count(*) FILTER (WHERE side = 0) AS r, count(*) FILTER (WHERE side = 1) AS q FROM long GROUP BY ALL),
 cum AS (SELECT feature, value, sum(r) OVER (PARTITION BY feature ORDER BY value) AS cr,
   sum(q) OVER (PARTITION BY feature ORDER BY value) AS cq,
   sum(r) OVER (PARTITION BY feature) AS nr, sum(q) OVER (PARTITION BY feature) AS nq FROM c)
 SELECT feature, CAST(nr AS BIGINT) AS n_ref, CAST(nq AS BIGINT) AS n_cur,
-  {S.round_dp("max(abs(cr / nr - cq / nq))", R9)} AS ks_statistic FROM cum GROUP BY feature, nr, nq
+  {statistic} AS ks_statistic FROM cum GROUP BY feature, nr, nq
 """
 
+
+KS_D = "max(abs(cr / nr - cq / nq))"
+KS_SQL = _ks_sql(S.round_dp(KS_D, R9))
+
 MOMENTS_SQL = SIDES_SQL + f"""
 SELECT feature, {S.round_dp("avg(value) FILTER (WHERE side = 0)", R9)} AS ref_mean,
   {S.round_dp("avg(value) FILTER (WHERE side = 1)", R9)} AS curr_mean,
@@ -148,12 +153,52 @@ SELECT feature, {S.round_dp("avg(value) FILTER (WHERE side = 0)", R9)} AS ref_me
 FROM long GROUP BY feature
 """
 
-CHI2_SQL = f"""WITH long AS (SELECT 'event_type' AS feature, event_type AS value,
+
+def _chi2_sql(statistic: str) -> str:
+    return f"""WITH long AS (SELECT 'event_type' AS feature, event_type AS value,
   CASE WHEN ts < TIMESTAMP '{CUT}' THEN 0 ELSE 1 END AS side FROM events WHERE event_type IS NOT NULL),
 c AS (SELECT feature, value, count(*) FILTER (WHERE side = 0) + 1 AS r, count(*) FILTER (WHERE side = 1) + 1 AS q FROM long GROUP BY ALL),
 t AS (SELECT feature, sum(r) AS rr, sum(q) AS qq, count(*) AS k FROM c GROUP BY feature),
 s AS (SELECT feature, k, sum((q - r * qq / rr) * (q - r * qq / rr) / (r * qq / rr)) AS chi2 FROM c JOIN t USING (feature) GROUP BY feature, k)
-SELECT feature, k, k - 1 AS dof, {S.round_dp("CASE WHEN k > 1 THEN chi2 END", R9)} AS chi2_statistic FROM s
+SELECT feature, k, k - 1 AS dof, {statistic} AS chi2_statistic FROM s
+"""
+
+
+CHI2 = "CASE WHEN k > 1 THEN chi2 END"
+CHI2_SQL = _chi2_sql(S.round_dp(CHI2, R9))
+
+# p-values as sums of series: Kolmogorov's, and the regularised lower incomplete gamma function
+_KS_P = """CASE WHEN lam < 1e-3 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_sum(list_transform(range(1, 101),
+  lambda i: CASE WHEN i % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END * exp(-2.0::DOUBLE * i * i * lam * lam))))) END"""
+_CHI2_P = """CASE WHEN x <= 0 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - list_sum(list_transform(range(0, 4000),
+  lambda i: exp((a + i) * ln(x) - x - lgamma(a + i + 1))))) END"""
+
+REPORT_SQL = f"""WITH ks AS ({_ks_sql(KS_D)}), ps AS ({PSI_SQL}), mo AS ({MOMENTS_SQL}), ch AS ({_chi2_sql(CHI2)}),
+n0 AS (SELECT *, n_ref >= {K.KS_MIN_ROWS} AND n_cur >= {K.KS_MIN_ROWS} AS enough, sqrt(n_ref * n_cur / (n_ref + n_cur)) AS root
+  FROM ks JOIN ps USING (feature) JOIN mo USING (feature)),
+n1 AS (SELECT *, (root + 0.12::DOUBLE + 0.11::DOUBLE / root) * ks_statistic AS lam FROM n0),
+n2 AS (SELECT *, CASE WHEN enough THEN {_KS_P} ELSE 1.0::DOUBLE END AS p FROM n1),
+c1 AS (SELECT *, dof / 2.0::DOUBLE AS a, coalesce(chi2_statistic, 0.0::DOUBLE) / 2.0::DOUBLE AS x FROM ch),
+c2 AS (SELECT *, CASE WHEN k > 1 THEN {_CHI2_P} ELSE 1.0::DOUBLE END AS p FROM c1)
+SELECT feature, 'ks_test_and_psi' AS test, {S.round_dp("CASE WHEN enough THEN ks_statistic ELSE 0.0::DOUBLE END", R9)} AS statistic,
+  {S.round_dp("p", R9)} AS p_value, CASE WHEN enough THEN psi ELSE 0.0::DOUBLE END AS psi, ref_mean, curr_mean, ref_std, curr_std,
+  enough AND (p < {K.DRIFT_SIGNIFICANCE!r}::DOUBLE OR psi > {K.PSI_THRESHOLD!r}::DOUBLE) AS drift_detected,
+  CASE WHEN enough THEN 'ok' ELSE 'insufficient_data' END AS status FROM n2
+UNION ALL
+SELECT feature, 'chi2', {S.round_dp("coalesce(chi2_statistic, 0.0::DOUBLE)", R9)}, {S.round_dp("p", R9)}, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE),
+  CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), k > 1 AND p < {K.DRIFT_SIGNIFICANCE!r}::DOUBLE,
+  CASE WHEN k > 1 THEN 'ok' ELSE 'insufficient_categories' END FROM c2
+"""
+
+SUMMARY_SQL = f"""WITH s AS (SELECT count(*) AS n_tested, count(*) FILTER (WHERE drift_detected) AS n_drifted FROM ({REPORT_SQL})),
+d AS (SELECT *, n_drifted / greatest(n_tested, 1) AS drift_share FROM s)
+SELECT *, drift_share >= {K.DRIFT_SHARE_THRESHOLD!r}::DOUBLE AS dataset_drift,
+  CASE WHEN drift_share >= {K.DRIFT_SHARE_THRESHOLD!r}::DOUBLE THEN 'TRIGGER_RETRAINING' ELSE 'SYSTEM_STABLE' END AS recommendation FROM d
+"""
+
+ALERTS_SQL = f"""SELECT 'HIGH' AS severity, 'drift:' || feature AS alert FROM ({REPORT_SQL}) WHERE drift_detected
+UNION ALL SELECT 'MEDIUM', 'latency_p95' FROM ({X.with_views("predictions_log")} SELECT quantile_cont(latency_ms, 0.95) AS p95 FROM predictions_log)
+WHERE p95 > {K.LATENCY_P95_ALERT_MS!r}
 """
 
 CENTROID_SQL = f"""WITH x AS (SELECT vec_id % 2 AS side, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
@@ -173,7 +218,7 @@ QUERIES = {
     "moments_events": (moments_events, MOMENTS_SQL),
     "chi2_events": (chi2_events, CHI2_SQL),
     "centroid_embeddings": (centroid_embeddings, CENTROID_SQL),
-    "drift_report": (drift_report, None),
-    "drift_summary": (drift_summary, None),
-    "drift_alerts": (drift_alerts, None),
+    "drift_report": (drift_report, REPORT_SQL),
+    "drift_summary": (drift_summary, SUMMARY_SQL),
+    "drift_alerts": (drift_alerts, ALERTS_SQL),
 }

@@ -25,20 +25,28 @@ NOW = "2024-01-31 00:00:00"      # reference instant for look-backs (an argument
 LATENCY_BUCKETS = [5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0]
 
 
+AS_OF = "1998-07-15"
+
+
 def raw_expectations(spark: SparkSession, sf_dir: str):
     """Every raw rule counted in one pass + the bad-row threshold row."""
     c = X.cves(spark, sf_dir)
     return E.evaluate(c, E.raw_rules())
 
 
-def _raw_exp_sql() -> str:
+def dated_expectations(spark: SparkSession, sf_dir: str):
+    """The raw rules and the rule on future dates together, as of a given day."""
+    return E.evaluate(X.cves(spark, sf_dir), E.raw_rules() | E.future_date_rule(as_of=AS_OF))
+
+
+def _raw_exp_sql(extra: dict[str, str] | None = None) -> str:
     sev = ", ".join(f"'{x}'" for x in E.SEVERITY_VALUES)
     rules = {
         "cve_id_format": f"NOT coalesce(regexp_full_match(cve_id, '{E.CVE_ID_REGEX[1:-1]}'), false)",
         "published_date_not_null": "published_date IS NULL",
         "severity_label_valid": f"base_severity IS NOT NULL AND base_severity NOT IN ({sev})",
         "base_score_range": "base_score IS NOT NULL AND (base_score < 0.0 OR base_score > 10.0)",
-    }
+    } | (extra or {})
     anyb = " OR ".join(f"coalesce({p}, false)" for p in rules.values())
     parts = [f"SELECT '{n}' AS rule, CAST(count(*) FILTER (WHERE coalesce({p}, false)) AS BIGINT) AS n_failed, "
              f"CAST(count(*) AS BIGINT) AS n_rows FROM cves" for n, p in rules.items()]
@@ -321,6 +329,7 @@ QUERIES = {
     "feedback_constraints": (feedback_constraints, CONSTRAINTS_SQL),
     "feedback_accepted": (feedback_accepted, ACCEPTED_SQL),
     "raw_expectations": (raw_expectations, _raw_exp_sql()),
+    "dated_expectations": (dated_expectations, _raw_exp_sql({"published_not_in_future": f"published_date > DATE '{AS_OF}'"})),
     "raw_stats": (raw_stats, RAW_STATS_SQL),
     "null_profile": (null_profile, NULL_PROFILE_SQL),
     "severity_distribution": (severity_distribution, _sev_dist_sql()),

@@ -147,6 +147,28 @@ f AS (SELECT s.cve_id, s.severity, s.in_kev, s.epss_score, (c.o_orderkey % 40) /
 SELECT cve_id, subscore, {S.select_list(risk)} FROM f"""
 
 
+def risk_five_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five-weight preset (severity, score, exploited, asset criticality on a 1-5 scale, exposure class)."""
+    x = scored_cves(spark, sf_dir).select("cve_id", "severity", "in_kev", "epss_score", F.col("o_orderkey").alias("k"))
+    category = F.when(F.col("k") % 3 == 0, "INTERNET_FACING").when(F.col("k") % 3 == 1, "INTERNAL_RESTRICTED")
+    x = x.withColumn("asset", R.scale_to_unit(F.nullif(F.col("k") % 6, F.lit(0)))).withColumn("exposure_score", R.exposure_from_category(category))
+    x = R.with_risk_score(x, weights=K.RISK_WEIGHT_PRESETS["five_factor"], severity_label="severity", kev="in_kev", epss="epss_score",
+                          asset="asset", exposure="exposure_score")
+    return x.select("cve_id", "asset", "exposure_score", "risk_score_raw", "risk_score", "risk_tier")
+
+
+def _five_factor_sql() -> str:
+    comps = {"cvss": S.severity_component("severity"), "epss": S.clip01("epss_score"),
+             "kev": "CASE WHEN in_kev THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END", "asset_criticality": S.clip01("coalesce(asset, 0.5)"),
+             "exposure": S.clip01("exposure_score")}
+    risk = {k: v for k, v in S.risk_select(comps, K.RISK_WEIGHT_PRESETS["five_factor"]).items() if not k.startswith("contribution")}
+    return _scored_sql() + f""",
+f AS (SELECT s.cve_id, s.severity, s.in_kev, s.epss_score,
+  CASE c.o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 1.0E0 ELSE least(1.0E0, (c.o_orderkey % 6) / 5.0E0) END AS asset,
+  CASE c.o_orderkey % 3 WHEN 0 THEN 1.0E0 WHEN 1 THEN 0.5E0 ELSE 0.2E0 END AS exposure_score FROM scored s JOIN cves c USING (cve_id))
+SELECT cve_id, asset, exposure_score, {S.select_list(risk)} FROM f"""
+
+
 def default_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score given as text (null, junk or NaN -> 5.0), its default exploit score and exploited flag."""
     c = J.flag_membership(X.cves(spark, sf_dir), X.kev_history(spark, sf_dir), out="in_kev")
@@ -167,6 +189,7 @@ SELECT cve_id, score, {S.round_dp("least(0.95E0, greatest(0.02E0, (score / 10.0E
 QUERIES = {
     "batch_risk": (batch_risk, _batch_risk_sql()),
     "risk_four_factor": (risk_four_factor, _four_factor_sql()),
+    "risk_five_factor": (risk_five_factor, _five_factor_sql()),
     "default_scores": (default_scores, DEFAULT_SCORES_SQL),
     "risk_top_k": (risk_top_k, risk_top_k_sql()),
     "risk_scores": (risk_scores, risk_scores_sql()),
