@@ -1,6 +1,7 @@
 """Jaccard join, fingerprints, nearest neighbours and packing against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -11,6 +12,7 @@ import pytest
 from riskframe.llm import ann, fingerprints, jaccard, packing
 from riskframe.llm.common import components
 from riskframe.llm.shingles import shingle_sets
+from riskframe.llm.tokens import TokenIds
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -272,3 +274,13 @@ def test_token_ids_equal_the_tokenizer(text):
     ids = TokenIds(VOCABULARY)
     for _ in range(2):
         assert np.frombuffer(ids.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_token_ids_of_random_characters_equal_the_tokenizer():
+    """Contractions, digits, odd white space, special literals and characters of the simple blocks in random order."""
+    ids, rnd = TokenIds(VOCABULARY), random.Random(5)
+    parts = ["don't", "I'LL", "'re", "'S", "_a_", "9'd", "÷2", "ŉ", "ſt", "<|endoftext|>", "中文", "\x85", "\xa0", "İ", *"ab 1'_.-\n\t"]
+    for i in range(4000):
+        text = "".join(rnd.choice(parts if i % 2 else [chr(c) for c in range(0x180)]) for _ in range(rnd.randrange(1, 30)))
+        want = ids.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids.ids(text), "<u4").tolist() == want, repr(text)
