@@ -15,7 +15,7 @@ Whole batches of texts are parsed at once with array operations; a text's end al
 
 Rows: null text counts as empty; an empty text has an empty fingerprint, alike (1) to an empty one
 only. Repeated rows have equal fingerprints. Null ids come after all others; rows of one id follow by
-descending text. Other columns are ignored. An empty table gives no rows.
+descending hash of the text. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -157,59 +157,74 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(either > 0, same / np.maximum(either, 1), 1.0)
 
 
+class Buckets:
+    """Ranges of rows ordered by (doc_id, hash of the text), null ids lowest, of about equal counts.
+
+    ``quantiles`` of the ids are the ranges' starts. An id that several quantiles fall on holds that
+    many ranges, cut by the hash; so do the null ids, by their ``nulls`` share of ``n``.
+    """
+
+    def __init__(self, quantiles: list[int], nulls: int):
+        ids, times = np.unique(np.array(quantiles, np.int64), return_counts=True)
+        widths = dict(zip(ids.tolist(), times.tolist(), strict=True))
+        for i in ids[times > 1].tolist():  # what follows a divided id is a range of its own
+            if i < np.iinfo(np.int64).max:
+                widths.setdefault(i + 1, 1)
+        self.nulls = max(1, nulls)
+        self.starts = np.array(sorted(widths), np.int64)
+        self.widths = np.array([1] + [widths[i] for i in self.starts.tolist()], np.uint64)
+        self.firsts = self.nulls + np.cumsum(self.widths) - self.widths
+
+    def of(self, doc: pd.Series, h: pd.Series) -> np.ndarray:
+        known = doc.notna().to_numpy()
+        place = np.searchsorted(self.starts, doc.fillna(0).astype("int64").to_numpy(), "right")
+        width = np.where(known, self.widths[place], np.uint64(self.nulls))
+        first = np.where(known, self.firsts[place], 0).astype(np.int64)
+        high = (h.to_numpy().astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        return first + ((high * width) >> np.uint64(32)).astype(np.int64)
+
+
 def with_next(docs: DataFrame, work, schema: str) -> DataFrame:
     """Run ``work`` over rows in order of descending doc_id, each followed by the next row's text.
 
-    Rows are dealt to buckets of ids whose bounds are quantiles, one exchange in all; the first row of
-    each bucket also goes to the end of the bucket before it (and that of the first to the last), so
-    each bucket is worked on alone. ``work`` gets lists of (doc_id, text) whose last row only follows.
+    Rows are dealt to buckets of ids whose bounds are quantiles, one exchange in all; an id of many rows
+    is dealt to several by the hash of the text. The first row of each bucket also goes, once, to the end
+    of the bucket before it (and that of the first to the last), so each bucket is worked on alone.
+    ``work`` gets lists of (doc_id, text) whose last row only follows.
     """
     spark = docs.sparkSession
-    base = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = (bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+            .withColumn("h", F.xxhash64("text")))
     n = 4 * shuffle_partitions(spark)
-    ids = base.select("doc_id")
     probs = [i / n for i in range(1, n)]
-    got = ids.agg(F.percentile_approx("doc_id", probs, 50 * n).alias("q")).first()["q"]
-    bounds = np.unique(np.array(got or [], np.int64))
+    seen = base.agg(F.percentile_approx("doc_id", probs, 50 * n).alias("q"), F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("known")).first()
+    buckets = Buckets(seen["q"] or [], -(-n * (seen["rows"] - seen["known"]) // max(1, seen["rows"])))
 
-    @F.pandas_udf("int")
-    def bucket(doc: pd.Series) -> pd.Series:
-        known = doc.notna()
-        return pd.Series(np.where(known, np.searchsorted(bounds, doc.fillna(0).astype("int64"), "right"), -1), dtype="int32")
+    @F.pandas_udf("long")
+    def bucket(doc: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(buckets.of(doc, h))
 
-    tops = {r["b"]: r["top"] for r in ids.groupBy(bucket("doc_id").alias("b")).agg(F.max("doc_id").alias("top")).collect()}
+    placed = base.withColumn("bucket", bucket("doc_id", "h"))
+    tops = {r["bucket"]: r["top"] for r in placed.groupBy("bucket").agg(F.max(F.struct("doc_id", "h")).alias("top")).collect()}
     filled = sorted(tops, reverse=True)
-    before = {b: filled[i - 1] for i, b in enumerate(filled)}
-
-    @F.pandas_udf("array<struct<bucket:int,follows:boolean>>")
-    def places(doc: pd.Series) -> pd.Series:
-        values, known = doc.fillna(0).astype("int64"), doc.notna()
-        at = np.where(known, np.searchsorted(bounds, values, "right"), -1)
-        out = []
-        for b, v, k in zip(at.tolist(), values.tolist(), known.tolist(), strict=True):
-            rows = [{"bucket": b, "follows": False}]
-            if not k or tops[b] == v:
-                rows.append({"bucket": before[b], "follows": True})
-            out.append(rows)
-        return pd.Series(out)
-
-    dealt = (base.withColumn("place", F.explode(places(F.col("doc_id"))))
-             .select(F.col("place.bucket").alias("bucket"), F.col("place.follows").alias("follows"), "doc_id", "text")
-             .repartition("bucket").sortWithinPartitions("bucket", "follows", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last()))
+    # a row for each bucket, at most about twice n: safe to broadcast
+    firsts = spark.createDataFrame([(filled[i - 1], tops[b]["doc_id"], tops[b]["h"]) for i, b in enumerate(filled)], "bucket long, top_id long, top_h long")
+    followers = (base.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("h") == F.col("top_h")))
+                 .groupBy("bucket", "doc_id", "h").agg(F.max("text").alias("text")))
+    columns = ["bucket", "follows", "doc_id", "h", "text"]
+    dealt = (placed.withColumn("follows", F.lit(False)).select(*columns).unionByName(followers.withColumn("follows", F.lit(True)).select(*columns))
+             .repartition("bucket").sortWithinPartitions("bucket", "follows", F.col("doc_id").desc_nulls_last(), F.col("h").desc(), F.col("text").desc())
+             .drop("h"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, size, last = [], 0, None  # rows of one bucket; last: the bucket whose followed row has come
+        rows, size = [], 0
         for f in frames:
-            for b, follows, doc, text in zip(f["bucket"].tolist(), f["follows"].tolist(), f["doc_id"].array, f["text"], strict=True):
-                if b == last:
-                    continue  # further rows of the id that follows
-                rows.append((doc, text or ""))
-                size += len(rows[-1][1])
-                if follows:
-                    last = b
+            for follows, doc, text in zip(f["follows"].tolist(), f["doc_id"].array, f["text"], strict=True):
+                rows.append((doc, text))
+                size += len(text)
                 if len(rows) > 1 and (follows or size > BATCH):
                     yield work(rows)
-                    rows, size = ([], 0) if follows else (rows[-1:], len(rows[-1][1]))
+                    rows, size = ([], 0) if follows else (rows[-1:], len(text))
 
     return dealt.mapInPandas(run, schema)
 

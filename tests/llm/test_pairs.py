@@ -284,3 +284,31 @@ def test_token_ids_of_random_characters_equal_the_tokenizer():
         text = "".join(rnd.choice(parts if i % 2 else [chr(c) for c in range(0x180)]) for _ in range(rnd.randrange(1, 30)))
         want = ids.tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids.ids(text), "<u4").tolist() == want, repr(text)
+
+
+def test_fingerprints_of_an_id_of_many_rows(spark):
+    """Rows of one id, and rows without one, are spread over buckets; every row is followed by the next."""
+    rows = [(7, f"text {i % 150} of the hot id") for i in range(300)] + [(None, f"no id {i}") for i in range(200)] + [(i, f"own {i}") for i in range(20, 40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = fingerprints.fingerprint_documents(frame).select("doc_id", "edited_sha256").collect()
+    names = frame.selectExpr("doc_id", "text", "xxhash64(text) h").collect()
+    order = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["text"]) for r in names), reverse=True)
+    want = []
+    for (known, doc, _, text), (*_, following) in zip(order, order[1:] + order[:1], strict=True):
+        want.append((doc if known else None, hashlib.sha256(fingerprints.edited(text, following).encode()).hexdigest()))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_buckets_divide_hot_ids_and_keep_the_order():
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    ids = pd.Series([None] * 300 + [5] * 400 + rng.integers(-50, 50, 300).tolist(), dtype="Int64")
+    h = pd.Series(rng.integers(-2 ** 63, 2 ** 63 - 1, 1000))
+    known = np.sort(ids.dropna().to_numpy(np.int64))
+    cuts = known[np.linspace(0, len(known), 20, endpoint=False).astype(int)[1:]].tolist()
+    at = fingerprints.Buckets(cuts, 6).of(ids, h)
+    assert np.bincount(at).max() < 120
+    order = sorted(range(1000), key=lambda i: (not pd.isna(ids[i]), 0 if pd.isna(ids[i]) else ids[i], h[i]))
+    assert (np.diff(at[order]) >= 0).all()
+    top = np.iinfo(np.int64).max
+    assert fingerprints.Buckets([top, top], 0).of(pd.Series([top, 0], dtype="Int64"), pd.Series([-2 ** 63, 0])).tolist() == [2, 1]
