@@ -115,10 +115,12 @@ def substring_join(texts: DataFrame, text_cols: list[str], patterns: DataFrame,
     short = pats.where(F.length("__p") < GRAM)
     long_ = pats.where(F.length("__p") >= GRAM).withColumn("__g", F.substring("__p", 1, GRAM))
     joined = F.array_join("__texts", "\u0001")
-    grams = t.select("__key", "__texts", F.explode(F.array_distinct(F.regexp_extract_all(
+    grams = t.select("__key", F.explode(F.array_distinct(F.regexp_extract_all(
         joined, F.lit(f"(?s)(?=([^\u0001]{{{GRAM}}}))"), 1))).alias("__g"))
     side = F.broadcast(long_) if n <= max_broadcast else long_
-    via_gram = grams.join(side, "__g").where(hit).select("__key", "__p")
+    # gram rows carry the key alone; texts come back for the candidates only
+    found = grams.join(side, "__g").select(F.col("__key").alias("__found"), "__p").distinct()
+    via_gram = found.join(t, F.col("__found").eqNullSafe(F.col("__key"))).where(hit).select("__key", "__p")
     via_short = t.join(F.broadcast(short), hit).select("__key", "__p")
     return via_gram.unionByName(via_short).distinct()
 

@@ -97,3 +97,13 @@ def test_strict_asof_and_score_history(spark):
         prev = earlier[-1][1] if earlier else None
         last = max(dd for kk, dd, _ in data if kk == k)
         assert got[(k, d)] == (prev, d == last)
+
+
+def test_gram_join_equals_nested_loop_on_repeated_and_null_keys(spark):
+    texts = spark.createDataFrame([("a", "The Apache server"), ("a", "nothing here"), (None, "old apache, apachetop"), ("b", None), ("c", "")],
+                                  "cve_id string, description string")
+    patterns = spark.createDataFrame([("Apache",), ("apachetop",), ("server",), ("ap",), (None,), ("absent",)], "product string")
+    ways = [{"nlj_max": 100}, {"nlj_max": 0}, {"nlj_max": 0, "max_broadcast": 0}]
+    got = [sorted(map(tuple, J.substring_join(texts, ["description"], patterns, "product", "cve_id", **w).collect()), key=str) for w in ways]
+    assert got[0] == got[1] == got[2]
+    assert set(got[0]) == {("a", "apache"), ("a", "server"), ("a", "ap"), (None, "apache"), (None, "apachetop"), (None, "ap")}
