@@ -10,6 +10,7 @@ from .. import constants as K
 from .. import fixtures as X
 from ..functions import text as T
 from ..sources import epss as EP
+from ..sources import io as IO
 from ..sources import kev as KV
 from ..sources import nvd as NV
 from ..streaming.pipeline import checkpoint_for
@@ -202,7 +203,34 @@ EPSS_LOOKUP_SQL = X.with_views("epss_history", "kev_history") + \
     "SELECT * FROM epss_history WHERE cve_id IN (SELECT cve_id FROM kev_history)"
 
 
+def sink_round_trip(spark, sf_dir):
+    """Records written as parquet by year and as CSV under the catalog's id name, each found
+    behind a missing path, read by its extension, and summed up per year by its id column."""
+    folder = checkpoint_for(spark, "round_trip", fresh=True)
+    rows = X.cves(spark, sf_dir).select("cve_id", "base_score", F.year("published_date").alias("year"))
+    IO.write_table(rows, f"{folder}/by_year", partition_by=["year"])
+    IO.write_table(rows.withColumnRenamed("cve_id", "cveID"), f"{folder}/plain", fmt="csv")
+    out = None
+    for fmt, leaf in (("parquet", "by_year"), ("csv", "plain")):
+        back = IO.first_existing(spark, [f"{folder}/missing", f"{folder}/{leaf}"], "cveID string, base_score double, year int")
+        if back is None:    # an empty table has no rows to sum up
+            back = rows
+        key = IO.id_column(back)
+        one = back.groupBy("year").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_ids"), F.min(key).alias("first_id"),
+                                       F.sum(F.round(F.col("base_score") * 10).cast("long")).alias("score_tenths")) \
+            .select(F.lit(fmt).alias("fmt"), F.lit(key).alias("id_column"), "year", "n_rows", "n_ids", "first_id", "score_tenths")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+ROUND_TRIP_SQL = X.with_views("cves") + " UNION ALL ".join(
+    f"""SELECT '{fmt}' AS fmt, '{key}' AS id_column, CAST(year(published_date) AS INTEGER) AS year, count(*) AS n_rows,
+  count(DISTINCT cve_id) AS n_ids, min(cve_id) AS first_id, CAST(sum(CAST(round(base_score * 10) AS BIGINT)) AS BIGINT) AS score_tenths
+  FROM cves GROUP BY year(published_date)""" for fmt, key in (("parquet", "cve_id"), ("csv", "cveID")))
+
+
 QUERIES = {
+    "sink_round_trip": (sink_round_trip, ROUND_TRIP_SQL),
     "catalog_fetches": (catalog_fetches, FETCHES_SQL),
     "nvd_flatten": (nvd_flatten, _flat_sql() + "SELECT " + ", ".join(NV.FLAT_COLUMNS) + " FROM flat"),
     "usable_labeled": (usable_labeled, _flat_sql() + "SELECT base_severity, count(*) AS n FROM flat "

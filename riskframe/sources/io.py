@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,27 +9,40 @@ from ..operators.scalars import attach
 
 
 def read_any(spark: SparkSession, path: str, csv_schema=None) -> DataFrame:
-    """Parquet by extension (file or directory of parquet), else CSV with header.
+    """Parquet by extension (a file, or a folder holding such files at any depth), else CSV with header.
 
     A declared ``csv_schema`` avoids inference; without one every column is a string.
     """
-    p = path.rstrip("/")
-    if p.endswith(".parquet") or _has_ext(p, ".parquet"):
+    if path.rstrip("/").endswith(".parquet") or _holds(spark, path, ".parquet"):
         return spark.read.parquet(path)
     r = spark.read.option("header", True)
     return (r.schema(csv_schema) if csv_schema is not None else r).csv(path)
 
 
-def _has_ext(path: str, ext: str) -> bool:
-    return os.path.isdir(path) and any(f.endswith(ext) for f in os.listdir(path))
+def _file_system(spark: SparkSession, path: str):
+    """The path and its file system, local or remote, as Spark itself opens it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _holds(spark: SparkSession, path: str, ext: str) -> bool:
+    """Whether a file below ``path`` has the extension; looks no further than the first data file."""
+    p, fs = _file_system(spark, path)
+    files = fs.listFiles(p, True) if fs.exists(p) else None
+    while files is not None and files.hasNext():
+        name = files.next().getPath().getName()
+        if not name.startswith(("_", ".")):
+            return name.endswith(ext)
+    return False
 
 
-def first_existing(spark: SparkSession, candidates: list[str]) -> DataFrame | None:
+def first_existing(spark: SparkSession, candidates: list[str], csv_schema=None) -> DataFrame | None:
     """A15 fallback: the first candidate that exists and has at least one row."""
     for c in candidates:
-        if os.path.exists(c):
-            df = read_any(spark, c)
-            if df.limit(1).count() > 0:
+        p, fs = _file_system(spark, c)
+        if fs.exists(p):
+            df = read_any(spark, c, csv_schema)
+            if not df.isEmpty():
                 return df
     return None
 

@@ -29,6 +29,17 @@ def test_partitioned_sink_prunes(spark, tmpdir_fresh):
     assert "PartitionFilters: [isnotnull(year" in back._jdf.queryExecution().executedPlan().toString()
 
 
+def test_partitioned_parquet_is_known_by_its_files(spark, tmpdir_fresh):
+    df = spark.range(20).withColumn("year", (F.col("id") % 2 + 2020).cast("int"))
+    path = os.path.join(tmpdir_fresh, "by_year")
+    IO.write_table(df, path, partition_by=["year"])
+    assert sorted(map(tuple, IO.read_any(spark, "file://" + path).select("id", "year").collect())) == sorted(map(tuple, df.collect()))
+    empty = os.path.join(tmpdir_fresh, "empty")
+    IO.write_table(df.where("false"), empty)
+    assert IO.first_existing(spark, [empty, os.path.join(tmpdir_fresh, "missing")]) is None
+    assert IO.first_existing(spark, [empty, path]).count() == 20
+
+
 def test_report_feedback_ledger_accounting(spark):
     rep = spark.createDataFrame([("value", 0.1, False)], "feature string, psi double, drift_detected boolean")
     assert IO.report_json(rep).first()[0] == '{"feature":"value","psi":0.1,"drift_detected":false}'
