@@ -144,26 +144,32 @@ def with_views(*names: str) -> str:
 
 def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order, its line items in (line number, part, supplier) order, each carrying the
-    prebuilt weakness / reference / CPE structs (extra sort-key fields are ignored by the parser)."""
+    weakness / reference / CPE structs (extra sort-key fields are ignored by the parser). Only the
+    plain fields are shuffled and sorted; the structs follow from them and are built per order."""
     # spread by the grouping key: the collect below reuses this partitioning (no second exchange)
     li = spread(read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
                 "l_orderkey")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     j = li.join(p, li.l_partkey == p.p_partkey)
-    ln, pk = F.col("l_linenumber"), F.col("l_partkey")
+    plain = F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name", "p_brand")
     lv = lambda lang, v: F.struct(F.lit(lang).alias("lang"), v.alias("value"))
-    host = F.when(ln % 3 == 0, "advisories").when(ln % 3 == 1, "exploit-db").otherwise("vendor")
-    item = F.struct(
-        "l_linenumber", "l_partkey", "l_suppkey", "p_name", "p_brand",
-        F.struct(F.lit("nvd@example").alias("source"), F.lit("Primary").alias("type"),
-                 F.array(lv("en", F.concat(F.lit("CWE-"), (pk % 1000).cast("string"))),
-                         lv("es", F.lit("CWE-1"))).alias("description")).alias("weak"),
-        F.struct(F.concat(F.lit("https://"), host, F.lit(".example/"), pk.cast("string")).alias("url"),
-                 F.lit("nvd@example").alias("source")).alias("ref"),
-        F.struct(F.lit(True).alias("vulnerable"),
-                 F.concat(F.lit("cpe:2.3:a:"), F.lower("p_brand"), F.lit(":"), F.regexp_replace("p_name", " ", "_"),
-                          F.lit(":*:*")).alias("criteria")).alias("cpe"))
-    return j.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+    def full(i):
+        ln, pk = i["l_linenumber"], i["l_partkey"]
+        host = F.when(ln % 3 == 0, "advisories").when(ln % 3 == 1, "exploit-db").otherwise("vendor")
+        return F.struct(
+            *[i[c].alias(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "p_name", "p_brand")],
+            F.struct(F.lit("nvd@example").alias("source"), F.lit("Primary").alias("type"),
+                     F.array(lv("en", F.concat(F.lit("CWE-"), (pk % 1000).cast("string"))),
+                             lv("es", F.lit("CWE-1"))).alias("description")).alias("weak"),
+            F.struct(F.concat(F.lit("https://"), host, F.lit(".example/"), pk.cast("string")).alias("url"),
+                     F.lit("nvd@example").alias("source")).alias("ref"),
+            F.struct(F.lit(True).alias("vulnerable"),
+                     F.concat(F.lit("cpe:2.3:a:"), F.lower(i["p_brand"]), F.lit(":"), F.replace(i["p_name"], F.lit(" "), F.lit("_")),
+                              F.lit(":*:*")).alias("criteria")).alias("cpe"))
+
+    return j.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(plain)).alias("items")) \
+            .select("l_orderkey", F.transform("items", full).alias("items"))
 
 
 def _empty_like(elem):

@@ -25,7 +25,8 @@ def cvss_fields(vector) -> dict[str, Column]:
     out = {"version": F.when(ok, version)}
     for key, field in K.CVSS_FIELDS.items():
         code = F.regexp_extract(v, f"(?s)/{key}:([^/]*)(?!.*/{key}:)", 1)
-        out[field] = F.when(ok, case_map(code, K.CVSS_CODE_MAPS[key]))
+        names = F.create_map(*[F.lit(x) for pair in K.CVSS_CODE_MAPS[key].items() for x in pair])
+        out[field] = F.when(ok, F.try_element_at(names, code))      # one regex a field, not one per code
     return out
 
 

@@ -17,8 +17,9 @@ from ..streaming.pipeline import checkpoint_for
 from . import sqlfrag as S
 
 
-def flat_feed(spark: SparkSession, sf_dir: str):
-    return NV.flatten(NV.parse_records(X.nvd_feed(spark, sf_dir), "json"))
+def flat_feed(spark: SparkSession, sf_dir: str, columns=None):
+    """Every record of the feed, flattened; with ``columns`` only their fields are parsed."""
+    return NV.flatten(NV.parse_records(X.nvd_feed(spark, sf_dir), "json", NV.record_schema(columns)), columns=columns)
 
 
 def nvd_flatten(spark, sf_dir):
@@ -57,29 +58,29 @@ def usable_labeled(spark, sf_dir):
     """B3 + D1: flattened records with both a description and a severity (null-row drop on the
     subset; '' counts as present), and their class distribution."""
     from ..operators import expectations as E
-    u = E.drop_incomplete(flat_feed(spark, sf_dir), ["description", "base_severity"])
+    u = E.drop_incomplete(flat_feed(spark, sf_dir, ["description", "base_severity"]), ["description", "base_severity"])
     return u.groupBy("base_severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def nvd_incremental(spark, sf_dir):
     """A1: records modified inside the window [start, end]."""
-    f = NV.modified_between(flat_feed(spark, sf_dir), "1998-01-01 00:00:00", "1998-03-31 23:59:59")
+    f = NV.modified_between(flat_feed(spark, sf_dir, ["cve_id", "last_modified_date"]), "1998-01-01 00:00:00", "1998-03-31 23:59:59")
     return f.select("cve_id", "last_modified_date")
 
 
 def nvd_by_year(spark, sf_dir):
     """A2: backfill partitions (publication year) with their record counts."""
-    return NV.with_year(flat_feed(spark, sf_dir)).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+    return NV.with_year(flat_feed(spark, sf_dir, ["published_date"])).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
 
 
 def nvd_id_lookup(spark, sf_dir):
     """A3: records for an id list (the catalog ids), left semi join."""
-    return NV.by_ids(flat_feed(spark, sf_dir), X.kev_history(spark, sf_dir)).select("cve_id", "base_score")
+    return NV.by_ids(flat_feed(spark, sf_dir, ["cve_id", "base_score"]), X.kev_history(spark, sf_dir)).select("cve_id", "base_score")
 
 
 def feed_features(spark, sf_dir):
     """H6-H10 on the flattened feed: CWE list/groups/first number, vendor flags, reference flags."""
-    f = flat_feed(spark, sf_dir)
+    f = flat_feed(spark, sf_dir, ["cve_id", "description", "cwe_ids", "reference_urls", "cpe_list", "vendor_count", "reference_count"])
     cw = T.cwe_list("cwe_ids", is_array=True)
     groups = T.cwe_group_flags(cw)
     vt = T.vendor_text(F.lit(""), F.lit(""), F.col("cpe_list"), F.col("description"))

@@ -67,7 +67,7 @@ FROM req r LEFT JOIN data d USING (id)"""
 
 def display_fields(spark, sf_dir):
     """H11/H12 on the flattened feed: vendor from the first CPE (no vendor field), CWE display."""
-    f = ingest.flat_feed(spark, sf_dir)
+    f = ingest.flat_feed(spark, sf_dir, ["cve_id", "cpe_list", "cwe_ids"])
     return f.select("cve_id", DS.display_vendor(F.lit(None).cast("string"), F.col("cpe_list")).alias("vendor"),
                     DS.display_cwe(F.lit(None).cast("string"), F.col("cwe_ids")).alias("cwe"))
 
@@ -173,7 +173,7 @@ SELECT cve_id, CASE WHEN cr > 1.0 THEN least(1.0, cr / 5.0) ELSE cr END AS asset
 
 def feature_validation(spark, sf_dir):
     """Engineered-feature statistics and rule counts (severity, scores, days, length)."""
-    f = ingest.flat_feed(spark, sf_dir)
+    f = ingest.flat_feed(spark, sf_dir, ["cve_id", "description", "published_date", "base_severity", "base_score"])
     from ..functions import cvss as CV
     from ..functions import dates as DT
     latest = J.latest_value(X.epss_history(spark, sf_dir), out="epss_score").select("cve_id", "epss_score")
@@ -221,7 +221,7 @@ SELECT rule, n_failed, n_rows, CASE WHEN rule = '__any__' THEN n_failed / greate
 
 def cwe_drift(spark, sf_dir):
     """Chi-square on the first-CWE category, records published before 1998 vs from 1998."""
-    f = ingest.flat_feed(spark, sf_dir)
+    f = ingest.flat_feed(spark, sf_dir, ["published_date", "cwe_ids"])
     cw = T.first_cwe_number(T.cwe_list("cwe_ids", True)).cast("string")
     f = f.withColumn("cwe_category_id", cw)
     early = F.substring("published_date", 1, 4) < "1998"
