@@ -9,7 +9,7 @@ from .. import constants as K
 from ..functions import text as T
 from ..functions._util import round_half_away as rnd
 from ..ml import tfidf as TF
-from ..session import read_table, spread
+from ..session import cut_lineage, read_table, spread
 from . import sqlfrag as S
 
 R9 = 9
@@ -81,8 +81,7 @@ def tfidf_vocabulary(spark, sf_dir):
 def tfidf_weights(spark, sf_dir):
     """J1 transform: L2-normalised tf-idf weight of every vocabulary term present in each document."""
     d = _docs(spark, sf_dir)
-    counts = TF.term_counts(d, "text", "doc_id")
-    t = TF.weigh(counts, TF.vocabulary(counts, d.agg(F.count(F.lit(1)).alias("__n"))), "doc_id")
+    t = TF.transform(d, cut_lineage(TF.fit(d, "text", "doc_id")), "text", "doc_id")
     return t.select("doc_id", "index", rnd("tfidf", R9).alias("tfidf"))
 
 
