@@ -38,14 +38,14 @@ def test_any_columns_of_the_flat_feed_equal_those_of_the_whole(spark):
 
 def test_feed_queries_parse_only_the_fields_they_use(spark):
     for query, unused in ((ingest.nvd_id_lookup, "descriptions"), (ingest.nvd_by_year, "metrics"), (ingest.nvd_incremental, "weaknesses"), (ingest.feed_features, "metrics")):
-        schema = re.search(r"from_json\((.*?)json#", _plan(query(spark, SF_SMALL))).group(1)
+        schema = re.search(r"from_json\((.*?), invoke", _plan(query(spark, SF_SMALL))).group(1)
         assert "StructField(id," in schema and f"StructField({unused}," not in schema
 
 
 def test_line_items_are_shuffled_without_their_structs(spark):
     items = X._line_items(spark, SF_SMALL)
-    collected = [line for line in _plan(items).splitlines() if "collect_list" in line]
-    assert collected and all("cpe:2.3" not in line and "CWE-" not in line for line in collected)
+    collected = re.findall(r"collect_list\((.*?), 0, 0", _plan(items))
+    assert collected and all("p_brand" in x and "cpe:2.3" not in x and "CWE-" not in x for x in collected)
     one = items.where(F.size("items") > 1).first()["items"]
     assert [(i["l_linenumber"], i["l_partkey"], i["l_suppkey"]) for i in one] == sorted((i["l_linenumber"], i["l_partkey"], i["l_suppkey"]) for i in one)
     assert one[0]["weak"]["description"][0]["value"] == f"CWE-{one[0]['l_partkey'] % 1000}"
@@ -53,7 +53,7 @@ def test_line_items_are_shuffled_without_their_structs(spark):
 
 def test_a_cvss_field_takes_one_regex(spark):
     f = CV.cvss_fields("v")
-    assert str(spark.createDataFrame([("x",)], "v string").select(f["attack_vector"])._jdf.queryExecution().analyzed()).count("regexp_extract(") == 1
+    assert str(spark.createDataFrame([("x",)], "v string").select(f["attack_vector"].alias("x"))._jdf.queryExecution().analyzed()).count("regexp_extract(") == 1
 
 
 def test_terms_are_counted_before_the_shuffle_and_repeated_keys_are_one_document(spark):
