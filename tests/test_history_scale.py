@@ -48,6 +48,13 @@ def test_a_task_of_score_history_has_no_more_rows_of_a_larger_table(spark, tmpdi
     assert four < 2 * one
 
 
+def test_score_trend_groups_where_the_history_was_dealt_out(spark, tmpdir_fresh, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 5)
+    at = _tables(spark, f"{tmpdir_fresh}/t")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan(ordering.score_trend(spark, at)).count("Exchange") == plan(X.epss_history(spark, at)).count("Exchange")
+
+
 def test_score_history_reads_its_rows_for_itself_and_one_summary(spark):
     df = spark.createDataFrame([("a", dt.date(2020, 1, d), float(d)) for d in (1, 2, 9)], "k string, d date, v double")
     plan = SP.score_history(df, "k", "d", "v")._jdf.queryExecution().optimizedPlan().toString()
