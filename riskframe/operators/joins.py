@@ -119,8 +119,10 @@ def substring_join(texts: DataFrame, text_cols: list[str], patterns: DataFrame,
         joined, F.lit(f"(?s)(?=([^\u0001]{{{GRAM}}}))"), 1))).alias("__g"))
     side = F.broadcast(long_) if n <= max_broadcast else long_
     # gram rows carry the key alone; texts come back for the candidates only
+    # a scan's size says nothing of its grams: neither they nor the texts are ever shipped whole
+    grams = grams.hint("shuffle_merge") if n > max_broadcast else grams
     found = grams.join(side, "__g").select(F.col("__key").alias("__found"), "__p").distinct()
-    via_gram = found.join(t, F.col("__found").eqNullSafe(F.col("__key"))).where(hit).select("__key", "__p")
+    via_gram = found.join(t.hint("shuffle_merge"), F.col("__found").eqNullSafe(F.col("__key"))).where(hit).select("__key", "__p")
     via_short = t.join(F.broadcast(short), hit).select("__key", "__p")
     return via_gram.unionByName(via_short).distinct()
 

@@ -13,12 +13,15 @@ from ..functions import cvss as CV
 from ..functions import risk as R
 from ..functions._util import round_half_away as rnd
 from ..operators import joins as J
-from ..session import read_table
+from ..session import by_rows, read_table, spread
 from . import scoring
 from . import sqlfrag as S
 
 R9 = 9
 
+#: Texts that a task of the gram join takes apart, about.
+TEXT_ROWS = 50_000
+
 
 def latest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.latest_value(X.epss_history(spark, sf_dir), out="latest_score")
@@ -83,7 +86,9 @@ def asset_match_gram(spark, sf_dir, broadcast_patterns: bool = False):
     assets = part.select(F.try_element_at(F.split("p_name", " "), F.lit(2)).alias("product")) \
                  .where(F.col("product").isNotNull() & (F.col("product") != "")).distinct() \
                  .withColumn("asset_id", F.col("product"))
-    texts = part.select("p_partkey", F.col("p_name").alias("product"))
+    # a text has many grams: texts are dealt out by key, few to a task
+    texts = by_rows(spread(part.select("p_partkey", "p_name"), "p_partkey"), part.count(), "p_partkey", per_task=TEXT_ROWS) \
+        .select("p_partkey", F.col("p_name").alias("product"))
     return J.match_assets(texts, assets, product_col="product", asset_key="asset_id",
                           cve_key="p_partkey", text_cols=("product",), cpe_col=None,
                           max_broadcast=J.MAX_BROADCAST_PATTERNS if broadcast_patterns else 0, nlj_max=0)
