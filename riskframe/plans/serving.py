@@ -21,7 +21,7 @@ from ..operators import sets as G
 from ..operators import topk as TK
 from ..sources import epss as EP
 from ..sources import io as IO
-from ..session import read_table, spread
+from ..session import read_table, spread, written
 from . import evaluation as EV
 from . import ingest, scoring
 from . import sqlfrag as S
@@ -387,8 +387,9 @@ WHERE in_kev AND base_score >= 7.0 ORDER BY risk_score_raw DESC, cve_id, o_order
 
 def cve_list_seek(spark, sf_dir):
     """The first three pages (50 rows each) of exploited CVEs, riskiest first, each sought behind the
-    last row of the page before it."""
-    s = scoring.scored_cves(spark, sf_dir).where("in_kev")
+    last row of the page before it. The scored rows are written once; pages and tokens read them there."""
+    s = written(scoring.scored_cves(spark, sf_dir).where("in_kev")
+                .select("cve_id", "o_orderkey", "risk_score_raw", "risk_score", "risk_tier"))
     order, down, token, out = ("risk_score_raw", "cve_id", "o_orderkey"), (True, False, False), None, None
     for number in range(1, 4):
         page = TK.seek_page(s, order, down, 50, token)
