@@ -23,7 +23,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -257,44 +257,53 @@ def train(docs: DataFrame) -> dict[str, float]:
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 
+def _finder(docs: DataFrame, threshold: float) -> Callable[[str | None], list[tuple[str, int, int, bool]]]:
+    """The spans of a text, as ``find_personal_data`` orders them, by the classifier of ``docs``."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs.select(F.col("text").cast("string").alias("text"))))
+    order = {k: i for i, k in enumerate(KINDS)}
+
+    def find(text):
+        base, loose = _candidates(text) if text else ([], [])
+        found = [(k, s, e, True) for k, s, e in base]
+        found += [(k, s, e, False) for k, s, e in loose
+                  if model.value.get(json.dumps(pattern(k, s, e, text, False)), 0.0) >= threshold]
+        return sorted(found, key=lambda x: (order[x[0]], x[1], x[2]))
+
+    return find
+
+
 def find_personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``spans``: (kind, start, end, base) in code points, by kind (base kinds first, as
     listed), then start."""
     docs = bounded_batches(docs).drop("spans")
-    model = docs.sparkSession.sparkContext.broadcast(train(docs.select(F.col("text").cast("string").alias("text"))))
-    order = {k: i for i, k in enumerate(KINDS)}
+    find = _finder(docs, threshold)
 
     @F.pandas_udf(SPANS)
     def spans(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            base, loose = _candidates(text) if text else ([], [])
-            found = [(k, s, e, True) for k, s, e in base]
-            found += [(k, s, e, False) for k, s, e in loose
-                      if model.value.get(json.dumps(pattern(k, s, e, text, False)), 0.0) >= threshold]
-            out.append([dict(zip(("kind", "start", "end", "base"), x, strict=True))
-                        for x in sorted(found, key=lambda x: (order[x[0]], x[1], x[2]))])
-        return pd.Series(out)
+        return pd.Series([[dict(zip(("kind", "start", "end", "base"), x, strict=True)) for x in find(text)] for text in texts])
 
     return docs.withColumn("spans", spans(F.col("text").cast("string")))
 
 
 def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets; ``n_chars``, if there, follows."""
+    """``docs`` with every span replaced by its kind in angle brackets; ``n_chars``, if there, follows.
+
+    Spans are found and cut in one function: two in a row would run a second Python worker for each task.
+    """
+    docs = bounded_batches(docs).drop("spans")
+    find = _finder(docs, threshold)
+
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series) -> pd.Series:
         out = []
-        for text, found in zip(texts, spans, strict=True):
-            if text is None or len(found) == 0:
-                out.append(text)
-                continue
+        for text in texts:
             parts, at = [], 0
-            for s in sorted(found, key=lambda s: (s["start"], -s["end"])):
-                if s["start"] >= at:
-                    parts += [text[at:s["start"]], f"<{s['kind']}>"]
-                at = max(at, s["end"])
-            out.append("".join([*parts, text[at:]]))
+            for kind, start, end, _ in sorted(find(text), key=lambda x: (x[1], -x[2])):
+                if start >= at:
+                    parts += [text[at:start], f"<{kind}>"]
+                at = max(at, end)
+            out.append("".join([*parts, text[at:]]) if at else text)
         return pd.Series(out, dtype=object)
 
-    out = find_personal_data(docs, threshold).withColumn("text", cut(F.col("text").cast("string"), "spans")).drop("spans")
+    out = docs.withColumn("text", cut(F.col("text").cast("string")))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
